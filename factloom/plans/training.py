@@ -60,12 +60,12 @@ _UP = """WITH RECURSIVE l AS (SELECT doc_id, sent_id, dependent AS node, min(nul
 """
 
 ORACLE = {
-    "p2_found": _UP + """w AS (SELECT doc_id, sent_id, node, up AS at FROM l WHERE up IS NOT NULL
-  UNION SELECT w.doc_id, w.sent_id, w.node, l.up FROM w JOIN l ON l.doc_id = w.doc_id AND l.sent_id = w.sent_id AND l.node = w.at WHERE l.up IS NOT NULL)
-SELECT doc_id, sent_id, node FROM w WHERE node = at""",
-    "p2_descendants": _UP + """w AS (SELECT doc_id, sent_id, node, up AS at, 1 AS distance FROM l WHERE up IS NOT NULL
-  UNION ALL SELECT w.doc_id, w.sent_id, w.node, l.up, distance + 1 FROM w JOIN l ON l.doc_id = w.doc_id AND l.sent_id = w.sent_id AND l.node = w.at WHERE l.up IS NOT NULL AND distance < 250),
+    "p2_found": _UP + """w AS (SELECT doc_id, sent_id, node, up AS cur FROM l WHERE up IS NOT NULL
+  UNION SELECT w.doc_id, w.sent_id, w.node, l.up FROM w JOIN l ON l.doc_id = w.doc_id AND l.sent_id = w.sent_id AND l.node = w.cur WHERE l.up IS NOT NULL)
+SELECT doc_id, sent_id, node FROM w WHERE node = cur""",
+    "p2_descendants": _UP + """w AS (SELECT doc_id, sent_id, node, up AS cur, 1 AS distance FROM l WHERE up IS NOT NULL
+  UNION ALL SELECT w.doc_id, w.sent_id, w.node, l.up, distance + 1 FROM w JOIN l ON l.doc_id = w.doc_id AND l.sent_id = w.sent_id AND l.node = w.cur WHERE l.up IS NOT NULL AND distance < 250),
 stuck AS (SELECT DISTINCT doc_id, sent_id, node FROM w WHERE distance = 250)
-SELECT doc_id, sent_id, at AS ancestor, node AS descendant, CAST(distance AS INT) AS distance FROM w ANTI JOIN stuck USING (doc_id, sent_id, node)""",
+SELECT doc_id, sent_id, cur AS ancestor, node AS descendant, CAST(distance AS INT) AS distance FROM w ANTI JOIN stuck USING (doc_id, sent_id, node)""",
     "p3_unparsable": "SELECT ann_id FROM annotations GROUP BY ann_id HAVING NOT coalesce(json_valid(min_by(payload, loaded_at)), false)",
 }
