@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import training
+from factloom.plans import facts, training
 
-MODULES = [training]
+MODULES = [training, facts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

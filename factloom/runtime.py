@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner", hot_rows: int = 200_000) -> DataFrame:
     """Join ``rows`` with ``groups``, which has one row for each key and in ``size`` the number of its rows.
 
