@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import formatting_duplicates, leakage, lookalike, term_frequency
+from factloom.llm import entity_names, formatting_duplicates, leakage, lookalike, mixing, sentences, term_frequency
 from factloom.runtime import squeeze, table
 
 TUPLE_FIELDS = ["subject", "predicate", "direct_object"]
@@ -21,6 +21,32 @@ def p1_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting_duplicates.collapse(table(spark, sf_dir, "tuple_dumps"), "rec_id", "record", TUPLE_FIELDS)
 
 
+def _named() -> Column:
+    return F.when(F.col("surface_form") != "", F.col("surface_form")).otherwise(F.col("word"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_names.link(table(spark, sf_dir, "mentions"), "mention_id", _named(), table(spark, sf_dir, "kb_things"))
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = entity_names.distinct_values(table(spark, sf_dir, "mentions"), _named())
+    mapped = entity_names.map_values(values, table(spark, sf_dir, "kb_things"))
+    return values.join(mapped.filter(F.col("uri") == entity_names.NIL).select("value"), "value").select("value", "n_rows")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text")[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*mixing.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text"))
+
+
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "tuples").select("tuple_id", "doc_id", F.lower(squeeze(F.col("predicate.word"))).alias("predicate"), F.trim("clause_type").alias("clause_type"))
     return t.dropDuplicates()
