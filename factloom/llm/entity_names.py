@@ -62,24 +62,24 @@ def normal(value: str | None) -> str:
     return "" if out in NOTHING or not any(c.isalpha() for c in out) else out
 
 
-def forms(label: str, kind: str | None) -> list[str]:
-    """The ways in which an entry may be named, normalized."""
+def forms(label: str, kind: str | None) -> list[tuple[str, int]]:
+    """The ways in which an entry may be named, normalized, each with the slips that its shortness counts as."""
     base = normal(label)
     if not base:
         return []
     words = base.split()
-    out = [base]
+    out = {base: 0}
     if visible(label).lower().startswith("the "):
-        out.append("the " + base)
+        out |= {"the " + base: 0}
     if kind == "PERSON" and len(words) > 1:
         first, last = words[0], words[-1]
-        out += [f"{last} {' '.join(words[:-1])}", f"{first[0]} {last}", f"{last} {first[0]}", last]
+        out |= {f"{last} {' '.join(words[:-1])}": 0, f"{first[0]} {last}": 1, f"{last} {first[0]}": 1, last: 1}
     if len(words) > 1 and words[-1] == "river":
         name = " ".join(words[:-1])
-        out += [f"river {name}", f"r {name} river", f"r {name}"]
+        out |= {f"river {name}": 0, f"r {name} river": 1, f"r {name}": 1}
     if words[0] == "royal" and len(words) > 1:
-        out.append("r " + " ".join(words[1:]))
-    return list(dict.fromkeys(out))
+        out |= {"r " + " ".join(words[1:]): 1}
+    return list(out.items())
 
 
 def grams(form: str) -> Counter:
@@ -94,27 +94,37 @@ def grams(form: str) -> Counter:
 
 
 def slips(a: str, b: str, most: int) -> int:
-    """Edits with swaps from ``a`` to ``b``, or ``most`` + 1 if there are more."""
+    """Insertions, deletions, changes and swaps of neighbours (also of ones with slips between) from ``a`` to ``b``, or
+    ``most`` + 1 if there are more."""
     if a == b:
         return 0
     la, lb = len(a), len(b)
-    if abs(la - lb) > most:
+    if abs(la - lb) > most or len(set(a) ^ set(b)) > 2 * most:
         return most + 1
-    before, last = [0] * (lb + 1), list(range(lb + 1))
+    top = la + lb
+    where: dict[str, int] = {}
+    d = [[top] * (lb + 2) for _ in range(la + 2)]
+    for j in range(lb + 1):
+        d[1][j + 1] = j
     for i in range(1, la + 1):
-        row = [i] + [most + 1] * lb
+        d[i + 1][1] = i
+        last = 0
         lo, hi = max(1, i - most), min(lb, i + most)
-        ca = a[i - 1]
+        row, up, ca = d[i + 1], d[i], a[i - 1]
+        for j in range(1, lo):
+            if b[j - 1] == ca:
+                last = j
         for j in range(lo, hi + 1):
-            cb = b[j - 1]
-            d = min(last[j] + 1 if j < i + most else most + 1, row[j - 1] + 1, last[j - 1] + (ca != cb))
-            if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
-                d = min(d, before[j - 2] + 1)
-            row[j] = d
-        if min(row[lo : hi + 1]) > most:
-            return most + 1
-        before, last = last, row
-    return min(last[lb], most + 1)
+            k = where.get(b[j - 1], 0)
+            same = b[j - 1] == ca
+            row[j + 1] = min(up[j] + (not same), row[j] + 1, up[j + 1] + 1, d[k][last] + (i - k - 1) + 1 + (j - last - 1))
+            if same:
+                last = j
+        where[ca] = i
+        if min(row[lo + 1 : hi + 2]) > most and i > most:
+            if min(up[max(1, lo - 1) : hi + 2]) > most:
+                return most + 1
+    return min(d[la + 1][lb + 1], most + 1)
 
 
 class Index:
@@ -123,10 +133,12 @@ class Index:
     def __init__(self, entries: list[tuple[str, str, str | None]]) -> None:
         self.form: list[str] = []
         self.entry: list[str] = []
+        self.short: list[int] = []
         for uri, label, kind in entries:
-            for f in forms(label, kind):
+            for f, short in forms(label, kind):
                 self.form.append(f)
                 self.entry.append(uri)
+                self.short.append(short)
         self.flat = [f.replace(" ", "") for f in self.form]
         held = [grams(f) for f in self.form]
         df = Counter(g for h in held for g in h)
@@ -140,8 +152,9 @@ class Index:
                 lists[g][1].append(n * self.idf[g] / norm)
         self.postings = {g: (np.array(i, np.int32), np.array(w)) for g, (i, w) in lists.items()}
         self.exact: dict[str, set] = defaultdict(set)
-        for f, e in zip(self.flat, self.entry):
-            self.exact[f].add(e)
+        for f, e, short in zip(self.flat, self.entry, self.short):
+            if not short:
+                self.exact[f].add(e)
 
     def candidates(self, value: str, threshold: float) -> list[tuple[int, float]]:
         x = grams(value)
@@ -163,12 +176,13 @@ def allowed(form: str, max_edits: int) -> int:
     return max_edits if len(form) >= 8 else min(1, max_edits) if len(form) >= 6 else 0
 
 
-def choose(value: str, found: list[tuple[str, str, float]], max_edits: int, margin: float) -> tuple[str, int, float]:
-    """The entry named by the value among (entry, form, cosine), the edits and the cosine; NIL if none or no margin."""
+def choose(value: str, found: list[tuple[str, str, int, float]], max_edits: int, margin: float) -> tuple[str, int, float]:
+    """The entry named by the value among (entry, form, shortness, cosine), the slips and the cosine; NIL if none or no
+    margin."""
     flat = value.replace(" ", "")
     best: dict[str, tuple[int, float]] = {}
-    for entry, form, cosine in found:
-        d = slips(flat, form, allowed(form, max_edits))
+    for entry, form, short, cosine in found:
+        d = slips(flat, form, allowed(form, max_edits)) + short
         if d <= allowed(form, max_edits):
             now = (d, -cosine)
             if entry not in best or now < best[entry]:
@@ -203,7 +217,7 @@ def map_values(values: DataFrame, entries: DataFrame, threshold: float = 0.25, m
                     if same and len(same) == 1:
                         rows.append((v, next(iter(same)), 0, 1.0))
                     elif name:
-                        near = [(ix.entry[i], ix.flat[i], c) for i, c in ix.candidates(name, threshold)]
+                        near = [(ix.entry[i], ix.flat[i], ix.short[i], c) for i, c in ix.candidates(name, threshold)]
                         rows.append((v, *choose(name, near, max_edits, margin)))
                     else:
                         rows.append((v, NIL, -1, 0.0))
@@ -221,32 +235,32 @@ def _map_joined(values: DataFrame, listed: DataFrame, threshold: float, margin:
     def norm_of(v: str | None) -> str:
         return normal(v)
 
-    @F.udf("array<string>")
-    def forms_of(label: str, kind: str | None) -> list[str]:
+    @F.udf("array<struct<form:string,short:int>>")
+    def forms_of(label: str, kind: str | None) -> list[tuple[str, int]]:
         return forms(label, kind)
 
     @F.udf("map<string,int>")
     def grams_of(form: str) -> dict[str, int]:
         return dict(grams(form))
 
-    f = cut(listed.select("uri", F.explode(forms_of("label", "ne_type")).alias("form")).distinct())
-    fg = f.select("uri", "form", F.explode(grams_of("form")).alias("g", "n"))
+    f = cut(listed.select("uri", F.explode(forms_of("label", "ne_type")).alias("f")).select("uri", "f.form", "f.short").distinct())
+    fg = f.select("uri", "form", "short", F.explode(grams_of("form")).alias("g", "n"))
     total = f.count()
     idf = fg.groupBy("g").agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("idf"))
     weighed = fg.join(idf, "g").withColumn("w", F.col("n") * F.col("idf"))
     norms = weighed.groupBy("uri", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    posting = weighed.join(norms, ["uri", "form"]).select("g", "uri", "form", (F.col("w") / F.col("norm")).alias("pw"))
+    posting = weighed.join(norms, ["uri", "form"]).select("g", "uri", "form", "short", (F.col("w") / F.col("norm")).alias("pw"))
     named = cut(values.select("value", norm_of("value").alias("name")))
     v = named.select("name").distinct().filter("name <> ''")
     vg = v.select("name", F.explode(grams_of("name")).alias("g", "n")).join(idf, "g", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(math.log(1 + total))))
     vn = vg.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vnorm"))
-    scored = vg.join(posting, "g").groupBy("name", "uri", "form").agg(F.sum(F.col("w") * F.col("pw")).alias("dot")).join(vn, "name").select("name", "uri", F.replace("form", F.lit(" "), F.lit("")).alias("form"), (F.col("dot") / F.col("vnorm")).alias("c")).filter(F.col("c") >= threshold)
+    scored = vg.join(posting, "g").groupBy("name", "uri", "form", "short").agg(F.sum(F.col("w") * F.col("pw")).alias("dot")).join(vn, "name").select("name", "uri", "short", F.replace("form", F.lit(" "), F.lit("")).alias("form"), (F.col("dot") / F.col("vnorm")).alias("c")).filter(F.col("c") >= threshold)
 
     @F.udf("struct<uri:string,edits:int,score:double>")
     def pick(name: str, found: list) -> tuple:
-        return choose(name, [(r.uri, r.form, r.c) for r in found], max_edits, margin)
+        return choose(name, [(r.uri, r.form, r.short, r.c) for r in found], max_edits, margin)
 
-    picked = scored.groupBy("name").agg(F.collect_list(F.struct("uri", "form", "c")).alias("found")).select("name", pick("name", "found").alias("p"))
+    picked = scored.groupBy("name").agg(F.collect_list(F.struct("uri", "form", "short", "c")).alias("found")).select("name", pick("name", "found").alias("p"))
     done = named.join(picked, "name", "left")
     return done.select("value", F.coalesce("p.uri", F.lit(NIL)).alias("uri"), F.coalesce("p.edits", F.lit(-1)).alias("edits"), F.coalesce("p.score", F.lit(0.0)).alias("score"))
 

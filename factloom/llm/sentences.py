@@ -36,7 +36,7 @@ INNER = "e.g i.e cf vs viz approx al ca bzw z.b d.h u.a p.ex env aprox pág pág
 ENDING = "etc usw a.m p.m am pm corp ltd inc co bros jr jh u.s.w и.т.д т.д т.п г гг в вв н.э a.c d.c d.c ee.uu uu"
 WITH_NUMBER = "no nos pp p vol vols est fig nr ch sec art t s d núm num pág págs bd cap с д гл т ст"
 GERMAN_ORDINALS = "januar februar märz april mai juni juli august september oktober november dezember jahrhundert jahrhunderts jahrtausend jahrestag mal klasse auflage etage stock bezirk januars"
-REPORTING = "said asked answered replied wrote whispered shouted added sagte fragte antwortete schrieb rief dit demanda répondit écrivit dijo preguntó contestó respondió escribió сказал сказала спросил спросила ответил ответила написал написала"
+REPORTING = "said told remarked explained insisted cried exclaimed observed noted murmured admitted said asked answered replied wrote whispered shouted added sagte fragte antwortete schrieb rief dit demanda répondit écrivit dijo preguntó contestó respondió escribió сказал сказала спросил спросила ответил ответила написал написала"
 NO_CASE_REPORT = re.compile(
     r"^[^。！？“「]{0,60}?(?:说|道|问|答|喊|写)(?:道)?[。！？]|^(?:と|って)|^(?:라고|이라고|하고|고 )|^[^.!?\"“]{0,80}?(?:말했다|물었다|대답했다|외쳤다|썼다|덧붙였다)[.!?]|^[^।!?“\"]{0,80}?(?:कहा|पूछा|बोला|बोली|लिखा|दिया)\s?[।!?]|^(?:قال|قالت|سأل|سألت|أجاب|أجابت|كتب|كتبت)\s[^:.!؟]{0,80}[.!؟]|^[^“\"]{0,60}?(?:กล่าว|พูด|ถาม|ตอบ)(?:\s|$)"
 )
@@ -45,7 +45,10 @@ _FLAT = str.maketrans(TO_CLASS)
 
 
 def _words(listed: str) -> frozenset[str]:
-    return frozenset(w.translate(_FLAT) for w in listed.split())
+    """The words, and the same without accents: combining ones are not seen in a shadow."""
+    flat = [w.translate(_FLAT) for w in listed.split()]
+    bare = ["".join(c for c in unicodedata.normalize("NFD", w) if not 0x300 <= ord(c) <= 0x36F) for w in flat]
+    return frozenset(flat + bare)
 
 
 TITLES, INNER, ENDING, WITH_NUMBER, GERMAN_ORDINALS, REPORTING = map(_words, (TITLES, INNER, ENDING, WITH_NUMBER, GERMAN_ORDINALS, REPORTING))
@@ -57,7 +60,6 @@ CLOSERS = frozenset("”»」』)）]’\"'›“")
 OPENING = "“«「『„(（[‘\"'¿¡‹—–-•*"
 CLUSTER = re.compile(rf"[{re.escape(END)}]+")
 BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
-TOKEN = re.compile(r"(?:[^\W\d_](?:\.[^\W_])*|[^\W_])[^\W_]*(?:\.[^\W_]+)*$|[^\W_]+(?:[.'’-][^\W_]+)*$")
 LAST_TOKEN = re.compile(r"[\w.'’ऀ-ॿ]+$")
 NEXT_WORD = re.compile(r"[\w'’]+")
 ACRONYM = re.compile(r"^[^\W\d_](?:\.[^\W\d_])+$")
@@ -169,6 +171,8 @@ def closing(before: str, marks: str, after: str, spaced: bool) -> float:
         return 1.5 if spaced else -1.0
     m = LAST_TOKEN.search(before)
     token = m.group().strip(".'’") if m else ""
+    if "." in token and any(len(part) > 2 for part in token.split(".")[:-1]):
+        token = token.rsplit(".", 1)[1]  # white space is missing before it
     low = token.lower()
     if kind == "lower":
         return NEVER
@@ -191,12 +195,13 @@ def closing(before: str, marks: str, after: str, spaced: bool) -> float:
         if kind == "digit" or len(low) == 1:
             return NEVER
         return 1.5 if low == "no" and kind in ("upper", "mark") else NEVER
-    if low in INNER or (low in TITLES and not (token.isupper() and len(token) > 2)):
+    if low in INNER or (low in TITLES and (token[0].isupper() or len(token) > 1)):
         return NEVER
     if ACRONYM.match(token):
         return 1.5 if kind != "caseless" or spaced else NEVER
     if len(token) == 1 and token.isalpha() and not _no_space_script(token):
-        return NEVER
+        unit = token.islower() and earlier_low[-1:].isdigit()
+        return 4.0 if unit and spaced and kind in ("upper", "digit", "caseless", "mark") else NEVER
     if token.isdigit() and len(token) <= 2 and word.lower() in GERMAN_ORDINALS:
         return NEVER
     if THAI.match(token[-1]):
@@ -272,7 +277,7 @@ def candidates(block: str) -> list[tuple[int, float]]:
 
 def _after_quote(block: str, pair: tuple[int, int, str], score: float, after: str) -> float:
     """The score of a cut right after a quotation or parenthesis that closes with an end mark inside it."""
-    rest = after.lstrip()
+    rest = unicodedata.normalize("NFC", after.lstrip())
     before = block[: pair[0]].rstrip()
     kind, word = _opens(after)
     if pair[2] in "(（[":
