@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import facts, training
+from factloom.plans import facts, parses, training
 
-MODULES = [training, facts]
+MODULES = [training, facts, parses]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
