@@ -12,8 +12,8 @@ A cut whose own score is above anything that the length of two spans can cost (`
 the search never looks back beyond the last such cut: the result is that of the full search, in nearly linear time.
 
 Offsets are code points of the text as stored. White space never belongs to a sentence's ends; all other characters
-belong to exactly one sentence. Defined results: null, empty and blank texts have no sentences; text without any closing
-mark is one sentence per block; characters that can't be seen stay with the sentence before them.
+belong to exactly one sentence. Defined results: null, empty and blank texts, and blocks in which nothing can be seen, have no sentences; text
+without any closing mark is one sentence per block; characters that can't be seen stay with the sentence before them.
 """
 
 from __future__ import annotations
@@ -321,25 +321,26 @@ def segment(text: str | None) -> list[tuple[int, int]]:
     if not text or text.isspace():
         return []
     flat, keep = shadow_of(text)
-    ends: list[int] = []
-    at = 0
+    place = (lambda k: k) if keep is None else (lambda k: keep[k] if k < len(keep) else len(text))
+    out: list[tuple[int, int]] = []
+    at, begin = 0, 0
     for m in [*BLANK.finditer(flat), None]:
         block = flat[at : m.start()] if m else flat[at:]
         if block.strip():
-            ends += [at + c for c in best_cuts(block)]
-        at = m.end() if m else len(flat)
-    out: list[tuple[int, int]] = []
-    prev, n = 0, len(text)
-    for k, e in enumerate(ends):
-        stop = n if k == len(ends) - 1 else e if keep is None else keep[e] if e < len(keep) else n
-        a, b = prev, stop
-        while a < b and text[a].isspace():
-            a += 1
-        while b > a and text[b - 1].isspace():
-            b -= 1
-        if a < b:
-            out.append((a, b))
-        prev = stop
+            cuts = best_cuts(block)
+            for k, c in enumerate(cuts):
+                stop = place(at + c) if k + 1 < len(cuts) or m else len(text)
+                a, b = begin, stop
+                while a < b and text[a].isspace():
+                    a += 1
+                while b > a and text[b - 1].isspace():
+                    b -= 1
+                if a < b:
+                    out.append((a, b))
+                begin = stop
+        if m:
+            at = m.end()
+            begin = place(at - 1) + 1
     return out
 
 
