@@ -128,14 +128,16 @@ def normalized(w: DataFrame) -> DataFrame:
 
 def walk(w: DataFrame, v: DataFrame, gamma: float, steps: int = 20, every: int = 5) -> DataFrame:
     """Random walk with restart, ``steps`` of r <- (1 - gamma) W r + gamma v: ``doc_id``, ``i``, ``r``."""
-    w = cut(w)
+    parts = int(w.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = cut(w).repartition(parts, "doc_id", "j").persist()  # every step finds the matrix where its join needs it
     v = cut(v.select("doc_id", "i", "r"))
     r = v
     for k in range(1, steps + 1):
         moved = w.join(r.select("doc_id", F.col("i").alias("j"), "r"), ["doc_id", "j"]).select("doc_id", "i", (F.col("w") * F.col("r") * (1 - gamma)).alias("r"))
         r = moved.unionByName(v.withColumn("r", F.col("r") * gamma)).groupBy("doc_id", "i").agg(F.sum("r").alias("r"))
-        if k % every == 0:
+        if k % every == 0 or k == steps:
             r = cut(r)
+    w.unpersist()
     return r
 
 
@@ -181,6 +183,12 @@ def propagate(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.3, gamma2: fl
     return walk(w1, v3, gamma1, steps), best
 
 
+def prune_entities(means: DataFrame, best: DataFrame) -> DataFrame:
+    """Of a noun's ``means`` edges only the one to its chosen entity; all of them where none was chosen."""
+    chosen = best.select("doc_id", F.col("noun").alias("src"), F.concat(F.lit("Entity:"), "uri").alias("_to"))
+    return means.join(chosen, ["doc_id", "src"], "left").filter(F.col("_to").isNull() | (F.col("_to") == F.col("dst"))).drop("_to")
+
+
 def independent_set(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """The greedy independent set of each document's conflict graph, heaviest first, ties by id: ``doc_id``, ``id``.
 

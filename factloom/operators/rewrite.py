@@ -430,6 +430,31 @@ def simplified(tree: Tree) -> Tree:
     return tree
 
 
+def from_spacy(tokens: list[dict]) -> list[dict]:
+    """Trees in the other dialect, in which prepositions and copulas are heads, turned into this one: an attribute or
+    adjectival complement becomes the head and its verb the copula, what a preposition governs becomes an 'nmod' with the
+    preposition as its case, and a predicative noun ('oprd') an 'xcomp'."""
+    out = [dict(t) for t in tokens]
+    by = {t["i"]: t for t in out}
+    for t in out:
+        rel = t["rel"] or ""
+        t["rel"] = {"dative": "iobj", "prt": "compound:prt", "poss": "nmod:poss", "relcl": "acl:relcl", "oprd": "xcomp"}.get(rel, rel)
+    for t in list(out):
+        if t["rel"] == "pobj" and t["head"] in by and by[t["head"]]["rel"] in ("prep", "agent"):
+            prep = by[t["head"]]
+            t["head"], t["rel"] = prep["head"], "nmod"
+            prep["head"], prep["rel"] = t["i"], "case"
+    for t in list(out):
+        verb = by.get(t["head"])
+        if t["rel"] in ("attr", "acomp") and verb is not None and (verb["word"] or "").lower() in COPULAS:
+            t["head"], t["rel"] = verb["head"], verb["rel"]
+            verb["head"], verb["rel"] = t["i"], "cop"
+            for k in out:
+                if k["head"] == verb["i"] and k is not t:
+                    k["head"] = t["i"]
+    return out
+
+
 def decompose(tokens: list[dict], simplify: bool = False, appositives_first: bool = True) -> list[Tree]:
     """A sentence as simple clauses."""
     tree = Tree.of(tokens)
@@ -468,9 +493,9 @@ def _adverbial(tree: Tree, parts: list[int]) -> dict:
     return {"word": tree.text(parts[1:]), "word_index": [tree.origin[k] for k in parts], "prep": tree.word[parts[0]]}
 
 
-def extract(sents: DataFrame, how: str = "raw") -> DataFrame:
+def extract(sents: DataFrame, how: str = "raw", dialect: str = "corenlp") -> DataFrame:
     """Tuples of sentences: ``how`` is 'raw', 'clauses' (appositives and clauses split first) or 'simplified' (modifiers
-    taken out before, and put back after)."""
+    taken out before, and put back after). With ``dialect`` 'spacy', trees are turned into the own dialect first."""
     keys = [c for c in sents.columns if c != "tokens"]
     types = [sents.schema[k].dataType.simpleString() for k in keys]
 
@@ -481,6 +506,8 @@ def extract(sents: DataFrame, how: str = "raw") -> DataFrame:
             for n, tokens in enumerate(batch.column(len(keys)).to_pylist()):
                 if not tokens:
                     continue
+                if dialect == "spacy":
+                    tokens = from_spacy(tokens)
                 full = Tree.of(tokens) if how == "simplified" else None
                 trees = [Tree.of(tokens)] if how == "raw" else decompose(tokens, how == "simplified")
                 number = 0

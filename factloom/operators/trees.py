@@ -231,3 +231,16 @@ def trimmed(sents: DataFrame, exclusion: list[str] | None = None) -> DataFrame:
     both = sents.join(gone, keys, "left")
     held = F.filter("tokens", lambda t: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), t["i"]))
     return both.select(*keys, F.array_join(F.transform(held, lambda t: F.coalesce(t["word"], F.lit(""))), " ").alias("text"))
+
+
+def verb_chunks(sents: DataFrame) -> DataFrame:
+    """Verbs with the prepositions, and the words between, that follow them, by a pattern over the tags: a verb and two
+    prepositions; a verb, words and (left out) the preposition after them; or a verb and one preposition."""
+    keys = keys_of(sents)
+    word = lambda t: t["pos"].rlike(r"^(NN|JJ|RB.*|PRP.*|DT)$")
+    code = lambda t: F.when(t["pos"].rlike("^VB"), "V").when(t["pos"].isin("IN", "TO", "PR"), "p").when(word(t), "w").otherwise("x")
+    coded = sents.select(*keys, "tokens", F.array_join(F.transform("tokens", code), "").alias("code"))
+    verbs = coded.select(*keys, "tokens", "code", F.explode(F.filter(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.substr("code", i, F.lit(1)) == "V")).alias("lo"))
+    n = F.length(F.regexp_extract(F.substr("code", F.col("lo")), "^(V(?:pp|p?w+(?=p)|p))", 1))
+    found = verbs.withColumn("n", n).filter("n > 1")
+    return found.select(*keys, "lo", (F.col("lo") + F.col("n") - 1).alias("hi"), F.array_join(F.transform(F.slice("tokens", F.col("lo"), F.col("n")), lambda t: F.coalesce(t["word"], F.lit(""))), " ").alias("words"))

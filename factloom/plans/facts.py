@@ -140,6 +140,13 @@ def entity_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.propagate(tuples(spark, sf_dir), table(spark, sf_dir, "kb"))[1].withColumn("score", F.round("score", 6))
 
 
+def pruned_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tuples(spark, sf_dir)
+    c = graph.candidates(t)
+    best = c.groupBy("doc_id", "noun").agg(F.max(F.struct("final_score", "uri")).alias("b")).select("doc_id", "noun", "b.uri")
+    return graph.prune_entities(graph.means_edges(t), best)
+
+
 def score_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.merged_edges(tuples(spark, sf_dir))
     w = graph.level1(edges)
@@ -187,7 +194,7 @@ def kb_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = [
     "elements", "refine_word", "pronoun_type", "to_triples", "tuple_dedup", "tuple_hash", "equal_tuples", "compare_tuples", "merge_runs", "lexical_validate", "overlap_collisions", "triple_eval",
     "graph_nodes", "graph_edges", "means_edges", "reference_edges", "semantic_edges", "merge_triples", "collision_edges", "refine_graph", "collect_tuples", "mention_link", "entity_candidates", "best_entity",
-    "level1_matrix", "level2_matrix", "rwr_20_steps", "entity_argmax", "score_tuples", "greedy_independent_set", "joint_optimize",
+    "level1_matrix", "level2_matrix", "rwr_20_steps", "entity_argmax", "pruned_entities", "score_tuples", "greedy_independent_set", "joint_optimize",
     "kb_neighbours", "kb_relations", "kb_heads", "kb_tails", "kb_paths", "kb_relatedness", "kb_pages",
 ]
 
@@ -308,6 +315,17 @@ w AS (SELECT doc_id, 'E:' || uri AS i, 'N:' || noun AS j, final_score AS w FROM
 v AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, j) AS s FROM w) SELECT doc_id, i, j, round(w / s, 6) AS w FROM v WHERE s > 0""",
     "rwr_20_steps": _L1 + ", " + _walk("r0", "w", 0.3, 20, "r_") + " SELECT doc_id, i, round(r, 6) AS r FROM r_20",
     "score_tuples": _L1 + ", " + _walk("r0", "w", 0.3, 5, "r_") + " SELECT ge.doc_id, src, round(avg(r), 6) AS score FROM ge JOIN r_5 ON ge.doc_id = r_5.doc_id AND ge.dst = r_5.i GROUP BY ALL",
+    "pruned_entities": _C + f""", bst AS (SELECT doc_id, noun, arg_max(uri, (final_score, uri)) AS uri FROM cand GROUP BY doc_id, noun),
+me AS (SELECT DISTINCT doc_id, src, x.uri AS uri FROM (SELECT doc_id, e.word AS src, unnest(e.entity) AS x FROM e WHERE {_USED}) WHERE x.uri IS NOT NULL)
+SELECT me.doc_id, src, 'Entity:' || me.uri AS dst, 'means' AS relation FROM me LEFT JOIN bst ON bst.doc_id = me.doc_id AND bst.noun = me.src WHERE bst.uri IS NULL OR bst.uri = me.uri""",
+    "semantic_edges": _TR + f""", ix AS (SELECT tuple_id, 'subject' AS role, 0 AS o, subject AS e FROM x UNION ALL SELECT tuple_id, 'dobj', 0, direct_object FROM x UNION ALL SELECT tuple_id, 'iobj', 0, indirect_object FROM x
+  UNION ALL SELECT tuple_id, 'adv', generate_subscripts(adv, 1), unnest(adv) FROM x),
+el AS (SELECT tuple_id, role, o, e.prep AS prep, concat_ws(' ', nullif(e.prep, ''), e.word) AS w, coalesce(list_min(e.word_index), -1) AS m FROM ix WHERE e.word IS NOT NULL),
+ok AS (SELECT tuple_id, doc_id, sent_id, {_PID} AS p FROM x WHERE subject.word IS NOT NULL AND predicate.word IS NOT NULL),
+os AS (SELECT ok.*, w || ':' || sent_id || '-' || m AS id, CASE role WHEN 'adv' THEN prep ELSE role END AS label, row_number() OVER (PARTITION BY ok.tuple_id ORDER BY CASE role WHEN 'dobj' THEN 0 WHEN 'iobj' THEN 1 ELSE 2 END, o) - 1 AS i FROM ok JOIN el USING (tuple_id) WHERE role <> 'subject'),
+ns AS (SELECT ok.tuple_id, ok.doc_id, ok.p, w || ':' || sent_id || '-' || m AS s FROM ok JOIN el USING (tuple_id) WHERE role = 'subject'),
+n AS (SELECT tuple_id, count(*) AS n FROM tr GROUP BY tuple_id), sx AS (SELECT ns.*, unnest(range(n.n)) AS i FROM ns JOIN n USING (tuple_id))
+SELECT DISTINCT doc_id, p || '#' || i AS src, s AS dst, 'subj' AS relation FROM sx UNION SELECT doc_id, p || '#' || i, id, label FROM os WHERE label IS NOT NULL""",
     "kb_neighbours": _KT + ", b AS (SELECT head AS uri, tail AS neighbour FROM k UNION ALL SELECT tail, head FROM k) SELECT uri, neighbour FROM b WHERE neighbour IN (SELECT uri FROM kb_things)",
     "kb_relations": _KT + " SELECT head, tail, array_to_string(list_sort(list(rel)), ',') AS rels FROM k GROUP BY ALL",
     "kb_heads": _KT + " SELECT rel, tail, count(*) AS n_heads FROM k GROUP BY ALL",

@@ -149,6 +149,23 @@ def _flat(how: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def verb_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.verb_chunks(sentences(spark, sf_dir))
+
+
+def extract_from_conllu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser-free path: CoNLL-U in, tuples out, by clause type."""
+    back = annotations.from_conllu(annotations.to_conllu(sentences(spark, sf_dir)))
+    return rewrite.extract(back).groupBy("clause_type").agg(F.count("*").alias("n"))
+
+
+def sentence_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence with the number of its tuples; those without any are kept."""
+    s = sentences(spark, sf_dir)
+    per = rewrite.extract(s, "clauses").groupBy(*KEYS).agg(F.count("*").alias("n"))
+    return s.select(*KEYS).join(per, KEYS, "left").select(*KEYS, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def lexical_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.clauses(sentences(spark, sf_dir), simplify=True)
 
@@ -207,7 +224,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
         "tokens", "conllu_roundtrip", "tokenize_count", "whitespace_tokens", "sentence_split", "clean_words", "pos_tag_hist", "tree_children", "tree_relations", "tree_subjects", "tree_objects", "conjunction_chain", "conjunction_span",
         "subtree_size", "subtree_pruned", "trim_clauses", "noun_chunks", "phrase_head", "clause_points", "clause_points_spacy", "clause_type_hist", "clause_type_spacy", "negation_flag", "sv_tuples", "svo_tuples", "svoo_tuples", "copula_svc",
-        "extra_adverbial", "adverbial_attach", "lexical_decomposition", "clause_rewrite", "coref_map", "pronoun_references", "tuple_text_roundtrip", "tuple_json",
+        "extra_adverbial", "adverbial_attach", "verb_chunks", "extract_from_conllu", "sentence_tuples", "lexical_decomposition", "clause_rewrite", "coref_map", "pronoun_references", "tuple_text_roundtrip", "tuple_json",
     ]
     return {n: globals()[n] for n in names} | {"extract_raw": _flat("raw"), "extract_clauses": _flat("clauses"), "extract_simplified": _flat("simplified")}
 
@@ -306,6 +323,9 @@ SELECT t.ann_id, t.sent_id, coalesce(string_agg(coalesce(word, ''), ' ' ORDER BY
     "copula_svc": _SUBJ + f""", cp AS (SELECT p.ann_id, p.sent_id, p.i AS p, x.i AS o, x.word AS object FROM tok p JOIN tok x ON {_on('p', 'x')} AND (x.i = p.i OR (x.head = p.i AND x.rel = 'conj' AND NOT EXISTS (SELECT 1 FROM tok c WHERE {_on('c', 'x')} AND c.head = x.i AND c.rel = 'cop'))) WHERE NOT coalesce(x.pos LIKE 'VB%', FALSE))
 SELECT ty.ann_id, ty.sent_id, ty.i, subject, v AS predicate, object FROM ty JOIN sj ON {_on('ty', 'sj')} AND sj.i = ty.head JOIN cp ON {_on('ty', 'cp')} AND cp.p = ty.head WHERE clause_type = 'SVc'""",
     "extra_adverbial": _NM + " SELECT * FROM pn WHERE nth > 1",
+    "verb_chunks": _TOK + """, cd AS (SELECT ann_id, sent_id, string_agg(CASE WHEN pos LIKE 'VB%' THEN 'V' WHEN pos IN ('IN', 'TO', 'PR') THEN 'p' WHEN regexp_matches(pos, '^(NN|JJ|RB.*|PRP.*|DT)$') THEN 'w' ELSE 'x' END, '' ORDER BY i) AS c FROM tok GROUP BY ALL),
+vc AS (SELECT t.ann_id, t.sent_id, t.i AS lo, CASE WHEN regexp_matches(substr(c, i), '^Vpp') THEN 3 WHEN regexp_matches(substr(c, i), '^Vp?w+p') THEN length(regexp_extract(substr(c, i), '^(Vp?w+)p', 1)) WHEN regexp_matches(substr(c, i), '^Vp') THEN 2 ELSE 1 END AS n FROM tok t JOIN cd USING (ann_id, sent_id) WHERE pos LIKE 'VB%')
+SELECT vc.ann_id, vc.sent_id, lo, CAST(lo + n - 1 AS INT) AS hi, string_agg(coalesce(word, ''), ' ' ORDER BY i) AS words FROM vc JOIN tok t ON t.ann_id = vc.ann_id AND t.sent_id = vc.sent_id AND i BETWEEN lo AND lo + n - 1 WHERE n > 1 GROUP BY ALL""",
     "adverbial_attach": _NM + " SELECT * FROM pn WHERE prep IS NOT NULL",
     "coref_map": _TOK.replace("WITH RECURSIVE a AS", _CR + ", a2 AS", 1).replace("FROM a) WHERE d IS NOT NULL),\nsl", "FROM a2) WHERE d IS NOT NULL),\nsl", 1).replace("rec AS (SELECT ann_id, coalesce(json_extract(d, '$.result'), d) AS d FROM (SELECT ann_id, TRY_CAST(p AS JSON) AS d FROM a2) WHERE d IS NOT NULL),\n", "", 1) + """,
 sz AS (SELECT ann_id, sent_id + 1 AS sentNum, count(*) AS n FROM tok GROUP BY ALL), bs AS (SELECT ann_id, sentNum, coalesce(sum(n) OVER (PARTITION BY ann_id ORDER BY sentNum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM sz),

@@ -33,6 +33,12 @@ def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame, rows: int, rows_per_task: int = 2_000) -> DataFrame:
+    """``df`` in as many even parts as work on each row is worth, whatever its bytes: for costly functions of rows."""
+    parts = max(1, min(-(-rows // rows_per_task), 20_000))
+    return df.repartition(parts)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner", hot_rows: int = 200_000) -> DataFrame:
     """Join ``rows`` with ``groups``, which has one row for each key and in ``size`` the number of its rows.
 

@@ -105,6 +105,8 @@ def test_graph_pieces(spark):
     assert graph.merge_triples(sem).count() == 4
     scores, best = graph.propagate(t, spark.createDataFrame([("Tom_B", "r", "X")], "head string, rel string, tail string"))
     assert [(r.noun, r.uri) for r in best.collect()] == [("Tom", "Tom_A")] and scores.count() == 6
+    assert [r.dst for r in graph.prune_entities(graph.means_edges(t), best).collect()] == ["Entity:Tom_A"]
+    assert graph.prune_entities(graph.means_edges(t), best.limit(0)).count() == 2
     back = graph.collect_tuples(graph.merged_edges(t)).filter("predicate_id = '1:0:1'").first()
     assert (back.subject, back.direct_object, back.adverbial) == ("Tom", "the cat", ["on roof"])
     mentions = spark.createDataFrame([(1, 1, "cat", None, "ANIMAL"), (2, 1, "", "Tom", "PERSON"), (3, 1, None, None, "X")], "mention_id bigint, doc_id bigint, surface_form string, word string, ne_type string")

@@ -72,3 +72,14 @@ def test_odd_trees():
 
 def test_stem():
     assert [stem(w) for w in ("waving", "running", "walking", "making", "studied", "opened", "falls")] == ["wave", "run", "walk", "make", "study", "open", "fall"]
+
+
+def test_other_dialect():
+    was = tree("He/PRP(2,nsubj) was/VBD(0,ROOT) not/RB(2,neg) a/DT(5,det) composer/NN(2,attr) in/IN(2,prep) Vienna/NNP(6,pobj)")
+    gave = tree("She/PRP(2,nsubj) gave/VBD(0,ROOT) him/PRP(2,dative) books/NNS(2,dobj)")
+    made = tree("They/PRP(2,nsubj) became/VBD(0,ROOT) friends/NNS(2,oprd)")
+    from factloom.operators.rewrite import from_spacy
+
+    assert found(from_spacy(was)) == ["He; was; a composer; ; in Vienna !"]
+    assert found(from_spacy(gave)) == ["She; gave; books; him; "]
+    assert found(from_spacy(made)) == ["They; became; friends; ; "]

@@ -65,6 +65,7 @@ def test_sentences_and_trees(spark):
     assert sizes[6] == 12 and sizes[8] == 2 and sizes[1] == 3
     pruned = {r.i: r["count"] for r in trees.subtrees(s, ["conj"]).filter("ann_id = 1").groupBy("i").count().collect()}
     assert pruned[6] == 11 and pruned[1] == 2 and 3 not in pruned
+    assert [r.words for r in trees.verb_chunks(annotations.sentences(spark.createDataFrame([(1, payload([("He", "PRP"), ("got", "VBD"), ("rid", "NN"), ("of", "IN"), ("it", "PRP"), ("and", "CC"), ("went", "VBD"), ("up", "IN"), ("to", "TO"), ("sit", "VB")], []))], "ann_id bigint, payload string"), "ann_id", "payload")).orderBy("lo").collect()] == ["got rid", "went up to"]
     types = {r.word: r.clause_type for r in trees.typed_verbs(s).collect()}
     assert types == {"did": None, "see": "SVO"}
 
