@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.lookalike import visible
-from factloom.runtime import cut, join_groups
+from factloom.runtime import cut, join_groups, spread
 
 NIL = "_NIL_"
 # Short forms, titles, and words that name nothing.
@@ -224,7 +224,8 @@ def map_values(values: DataFrame, entries: DataFrame, threshold: float = 0.25, m
                 cols = [*zip(*rows)] or [()] * 4
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.float64()))], names=["value", "uri", "edits", "score"])
 
-        return values.select("value").mapInArrow(run, out)
+        held = cut(values.select("value"))
+        return spread(held, held.count()).mapInArrow(run, out)
     return _map_joined(values, listed, threshold, margin, max_edits, out)
 
 
@@ -270,6 +271,6 @@ def link(df: DataFrame, id_col: str, value: Column, entries: DataFrame, **option
     joined without gathering its rows."""
     rows = df.select(id_col, value.alias("value")).filter(F.col(id_col).isNotNull()).distinct()
     counted = cut(distinct_values(df, value))
-    mapped = cut(map_values(counted.repartition(F.col("value")), entries, **options).join(counted, "value"))
+    mapped = cut(map_values(counted, entries, **options).join(counted, "value"))
     there = join_groups(rows, mapped.select("value", "uri", "n_rows"), ["value"], "n_rows").select(id_col, "uri")
     return there.unionByName(rows.filter("value IS NULL OR value = ''").select(id_col, F.lit(NIL).alias("uri"))).distinct()
