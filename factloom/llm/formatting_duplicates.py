@@ -24,18 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.runtime import join_groups
+from factloom.runtime import cut, join_groups
 
 HASHES = 8
 CHUNK_BITS = 1 << 15  # 4 KB: what one merging group holds of each partition's filter
 
 
-def field_of(record: Column, name: str) -> Column:
-    """A field of a record written as JSON object or as ``name=value`` or ``name: value`` parts between bars."""
-    text = F.trim(record)
-    as_json = F.from_json(text, f"`{name}` string", {"allowUnquotedControlChars": "true"})[name]
-    as_parts = F.regexp_extract(record, rf"(?is)(?:^|\|)\s*{name}\s*[=:]((?:[^|]|\|(?!\s*\w+\s*[=:]))*)", 1)
-    return F.when(text.startswith("{"), as_json).otherwise(as_parts)
+def fields_of(df: DataFrame, record_col: str, fields: list[str], keep: list[str]) -> DataFrame:
+    """``keep`` and the fields of each record, written as JSON object or as ``name=value`` or ``name: value`` parts
+    between bars. A record is parsed once for all its fields."""
+    text = F.trim(F.col(record_col))
+    schema = ", ".join(f"`{f}` string" for f in fields)
+    parsed = df.select(*keep, F.col(record_col).alias("_record"), F.when(text.startswith("{"), F.from_json(text, schema, {"allowUnquotedControlChars": "true"})).alias("_json"))
+    part = lambda f: F.regexp_extract("_record", rf"(?is)(?:^|\|)\s*{f}\s*[=:]((?:[^|]|\|(?!\s*\w+\s*[=:]))*)", 1)
+    return parsed.select(*keep, *[F.when(F.col("_json").isNotNull(), F.col("_json")[f]).otherwise(part(f)).alias(f) for f in fields])
 
 
 def canonical(value: Column) -> Column:
@@ -45,9 +47,9 @@ def canonical(value: Column) -> Column:
 
 def keyed(df: DataFrame, id_col: str, record_col: str, fields: list[str]) -> DataFrame:
     """``id_col``, ``_key`` and its hash ``_h`` for every record in which some field can be read."""
-    parts = [canonical(field_of(F.col(record_col), f)) for f in fields]
-    key = F.concat_ws("\u0001", *parts)
-    return df.filter(F.col(record_col).isNotNull()).select(id_col, key.alias("_key")).filter(F.length("_key") >= len(fields)).withColumn("_h", F.xxhash64("_key"))
+    read = fields_of(df.filter(F.col(record_col).isNotNull()), record_col, fields, [id_col])
+    key = F.concat_ws("\u0001", *[canonical(F.col(f)) for f in fields])
+    return read.select(id_col, key.alias("_key")).filter(F.length("_key") >= len(fields)).withColumn("_h", F.xxhash64("_key"))
 
 
 def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -66,14 +68,13 @@ def repeat_filter(hashes: DataFrame, bits: int, tasks: int) -> DataFrame:
     """The merged filter of hashes that may have been seen again: ``chunk``, ``again`` (4 KB each; empty ones absent)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+        first, second = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         seen: list[np.ndarray] = []
         for batch in batches:
             seen.append(_bits(np.asarray(batch.column(0)), bits).ravel())
-            if sum(map(len, seen)) > 4_000_000:
-                _add(once, again, seen)
-        _add(once, again, seen)
-        first, second = np.packbits(once), np.packbits(again)
+            if sum(map(len, seen)) > 2_000_000:
+                _add(first, second, seen)
+        _add(first, second, seen)
         size = CHUNK_BITS // 8
         used = [c for c in range(bits // CHUNK_BITS) if first[c * size : (c + 1) * size].any()]
         for at in range(0, len(used), 256):
@@ -93,20 +94,25 @@ def repeat_filter(hashes: DataFrame, bits: int, tasks: int) -> DataFrame:
     return parts.groupBy("chunk").applyInArrow(merge, "chunk int, again binary")
 
 
+BIT = (0x80 >> np.arange(8)).astype(np.uint8)
+
+
 def _add(once: np.ndarray, again: np.ndarray, seen: list[np.ndarray]) -> None:
     """Record-wise exactness isn't needed: a bit hit twice, by whatever records, may mean a repeat."""
     if not seen:
         return
     where, times = np.unique(np.concatenate(seen), return_counts=True)
-    again[where[(times > 1) | once[where]]] = True
-    once[where] = True
+    hot = where[(times > 1) | (once[where >> 3] & BIT[where & 7] != 0)]
+    np.bitwise_or.at(again, hot >> 3, BIT[hot & 7])
+    np.bitwise_or.at(once, where >> 3, BIT[where & 7])
     seen.clear()
 
 
-def possible_repeats(keys: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
-    """``keys`` with ``_maybe``: whether another record may have the same hash. False only where none has."""
+def possible_repeats(keys: DataFrame, records: int, max_bits: int = 1 << 28) -> DataFrame:
+    """``keys`` (of about so many ``records``) with ``_maybe``: whether another record may have the same hash. False only
+    where none has."""
     spark = keys.sparkSession
-    bits = filter_bits(keys.count(), max_bits)
+    bits = filter_bits(records, max_bits)
     chunks = repeat_filter(keys, bits, spark.sparkContext.defaultParallelism).collect()  # at most bits / 8 bytes
     again = np.zeros(bits // 8, np.uint8)
     for row in chunks:
@@ -128,7 +134,7 @@ def _groups(probed: DataFrame, id_col: str) -> DataFrame:
 
 def collapse(df: DataFrame, id_col: str, record_col: str, fields: list[str], max_bits: int = 1 << 28) -> DataFrame:
     """One row for each distinct tuple: ``kept_id`` (its smallest id), ``n_copies`` and the canonical fields."""
-    probed = possible_repeats(keyed(df, id_col, record_col, fields), max_bits)
+    probed = possible_repeats(keyed(df, id_col, record_col, fields), df.count(), max_bits)
     single = probed.filter("NOT _maybe").select("_key", F.col(id_col).alias("kept_id"), F.lit(1).cast("bigint").alias("n_copies"))
     parts = F.split("_key", "\u0001")
     return _groups(probed, id_col).unionByName(single).select("kept_id", "n_copies", *[parts[i].alias(f) for i, f in enumerate(fields)])
@@ -136,8 +142,8 @@ def collapse(df: DataFrame, id_col: str, record_col: str, fields: list[str], max
 
 def copies(df: DataFrame, id_col: str, record_col: str, fields: list[str], max_bits: int = 1 << 28) -> DataFrame:
     """``kept_id``, ``copy_id``: each record that is not the one with the smallest id of its tuple."""
-    probed = possible_repeats(keyed(df, id_col, record_col, fields), max_bits)
-    groups = _groups(probed, id_col).filter("n_copies > 1")
-    rows = probed.filter("_maybe").select(id_col, "_key")
+    rows = cut(possible_repeats(keyed(df, id_col, record_col, fields), df.count(), max_bits).filter("_maybe").select(id_col, "_key", "_maybe"))
+    groups = cut(_groups(rows, id_col).filter("n_copies > 1"))
+    rows = rows.select(id_col, "_key")
     joined = join_groups(rows, groups, ["_key"], "n_copies")
     return joined.filter(F.col(id_col) > F.col("kept_id")).select("kept_id", F.col(id_col).alias("copy_id")).distinct()

@@ -45,7 +45,8 @@ def test_brute_force_with_a_saturated_filter(spark):
 
 def test_no_repeat_is_missed():
     h = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
-    once, again = np.zeros(1 << 17, bool), np.zeros(1 << 17, bool)
-    fd._add(once, again, [fd._bits(np.concatenate([h, h[:50]]), 1 << 17).ravel()])
-    held = again[fd._bits(h, 1 << 17)].all(axis=0)
+    once, again = np.zeros(1 << 14, np.uint8), np.zeros(1 << 14, np.uint8)
+    fd._add(once, again, [fd._bits(np.concatenate([h, h[:30]]), 1 << 17).ravel()])
+    fd._add(once, again, [fd._bits(h[30:50], 1 << 17).ravel()])
+    held = np.unpackbits(again).astype(bool)[fd._bits(h, 1 << 17)].all(axis=0)
     assert held[:50].all() and held[50:].mean() < 0.05
