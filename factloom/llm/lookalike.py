@@ -17,6 +17,7 @@ line and around the text can't be seen and are deleted; case, accents, quotation
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -69,6 +70,22 @@ class _Fold(dict):
 
 
 FOLD = _Fold()
+
+
+@functools.cache
+def folded() -> re.Pattern:
+    """All characters that step 1 changes, found by trying them, as one class."""
+    places = [c for c in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE01F0)) if FOLD[c] != chr(c)]
+    runs: list[list[int]] = []
+    for c in [9, *places]:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return re.compile("[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs) + "]")
+
+
+OTHER_SCRIPTS = re.compile("[\u0370-\u052f\u1f00-\u1fff]")  # Greek and Cyrillic
 _JOINERS = re.compile("(?:(?<=[\u094d\u09cd\u0a4d\u0acd\u0b4d\u0bcd\u0c4d\u0ccd\u0d4d])|(?<=[\u0620-\u06ff]))[\u200c\u200d]")
 _FARSI = re.compile("[یک]")
 _EDGES = re.compile(r"[ ]+(?=\n)|[ ]+\Z|\A\s+|\s+\Z")
@@ -93,10 +110,14 @@ def visible(text: str) -> str:
     if not text.isascii():
         if "\u200c" in text or "\u200d" in text:  # a joiner after a virama or an Arabic letter changes what is seen
             text = _JOINERS.sub(lambda m: "\ue000" if m.group() == "\u200c" else "\ue001", text)
-        text = text.translate(FOLD).replace("\ue000", "\u200c").replace("\ue001", "\u200d")
+        if folded().search(text):
+            text = text.translate(FOLD).replace("\ue000", "\u200c").replace("\ue001", "\u200d")
         if _FARSI.search(text):
             text = _farsi(text)
-        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_CLASSES))
+        if OTHER_SCRIPTS.search(text):
+            text = unicodedata.normalize("NFD", text).translate(_CLASSES)
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
     else:
         text = text.translate({9: " "}) if "\t" in text else text
     if "\r" in text:
@@ -141,6 +162,24 @@ class Model:
             if own:
                 self.floor[s] = math.log(0.5 / (100.0 + max(first.values())))
         self.words: dict[str, tuple] = {}
+        self.plain: set[str] = set()
+
+    def all_plain(self, words: list[str]) -> bool:
+        """Whether every word is of another script, or Latin scores at least as well for it as any other: the best path
+        then never leaves Latin, and the text is its own form."""
+        if self.plain.issuperset(words):
+            return True
+        if len(self.plain) > 500_000:
+            self.plain.clear()
+        for w in set(words) - self.plain:
+            score = self.word(w)
+            if len(score) == 4:
+                if score[3] != w:
+                    return False
+            elif score[0] is None or any(x is not None and x > score[0] for x in score[1:]):
+                return False
+            self.plain.add(w)
+        return True
 
     def step(self, script: int, before: str, now: str) -> float:
         return self.logp[script].get(before + now, self.floor[script])
@@ -192,12 +231,9 @@ def canonical(text: str | None, model: Model) -> str | None:
     if text is None:
         return None
     text = visible(text)
-    words = [(m.start(), m.end(), model.word(m.group())) for m in WORD.finditer(text)]
-    if not words:
+    if model.all_plain(WORD.findall(text)):
         return text
-    if all(len(w[2]) == 3 and w[2][0] is not None and w[2][1] is None and w[2][2] is None for w in words):
-        return text  # all words are Latin beyond doubt
-    best: list[tuple[float, int]] | None = None
+    words = [(m.start(), m.end(), model.word(m.group())) for m in WORD.finditer(text)]
     back: list[list[int]] = []
     scores = [0.0, 0.0, 0.0]
     lattice = [w for w in words if len(w[2]) == 3]
