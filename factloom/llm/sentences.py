@@ -143,7 +143,10 @@ def quotes(block: str) -> list[tuple[int, int, str]]:
 
 def _opens(after: str) -> tuple[str, str]:
     """Kind of the first letter or digit of what follows ('upper', 'lower', 'digit', 'caseless', ''), and the word."""
-    rest = after.lstrip().lstrip(OPENING).lstrip()
+    rest = after.lstrip()
+    if rest[:1] == "[":
+        return "mark", "["  # an editor's remark stands apart
+    rest = rest.lstrip(OPENING).lstrip()
     if not rest:
         return "", ""
     m = NEXT_WORD.match(rest)
