@@ -29,6 +29,8 @@ def links(df: DataFrame, keys: list[str], child: str, parent: str, label: str |
     up = F.col(parent) if top is None else F.when(F.col(parent) != F.lit(top), F.col(parent))
     name = F.lower(F.trim(F.col(label))) if label else F.lit(None).cast("string")
     clean = df.select(*keys, F.col(child).alias("_node"), up.alias("_up"), name.alias("_label")).dropna(subset=[*keys, "_node"])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clean = clean.repartition(parts, *keys, "_node")  # where the first round of joins needs the links, too
     return clean.groupBy(*keys, "_node").agg(F.min(F.struct(F.col("_up").isNull().alias("void"), "_up", F.col("_label").isNull().alias("bare"), "_label")).alias("_s")).select(*keys, "_node", "_s._up", "_s._label")
 
 
@@ -43,9 +45,9 @@ def unresolved(one: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """From ``links``: the nodes on a round, and all nodes that never reach a top, without building paths.
 
     A node whose pointer has no link among the unresolved ones has reached a top, so resolved nodes are dropped at once
-    and every round joins only what is left.
+    and every round joins only what is left. ``one`` is read twice in the first round: it should be held.
     """
-    state = cut(one.filter(F.col("_up").isNotNull()).select(*keys, "_node", F.col("_up").alias("_ptr")))
+    state = one.filter(F.col("_up").isNotNull()).select(*keys, "_node", F.col("_up").alias("_ptr"))
     before = None
     while True:
         a, s = state.alias("a"), state.alias("s")
@@ -59,7 +61,10 @@ def unresolved(one: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
 def cycles(df: DataFrame, keys: list[str], child: str, parent: str, top: int | str | None = None) -> DataFrame:
     """The nodes from which going up leads back to the node itself: ``keys`` and ``child``."""
-    return unresolved(links(df, keys, child, parent, None, top), keys)[0].withColumnRenamed("_node", child)
+    one = links(df, keys, child, parent, None, top).drop("_label").persist()
+    rounds = unresolved(one, keys)[0]  # what this gives no longer depends on what is held
+    one.unpersist()
+    return rounds.withColumnRenamed("_node", child)
 
 
 def resolve(df: DataFrame, keys: list[str], child: str, parent: str, label: str | None = None, top: int | str | None = None) -> DataFrame:
@@ -69,21 +74,27 @@ def resolve(df: DataFrame, keys: list[str], child: str, parent: str, label: str
     rounds, stuck = unresolved(one, keys)
     kind = stuck.join(rounds.withColumn("_on", F.lit(True)), [*keys, "_node"], "left").select(*keys, "_node", F.coalesce("_on", F.lit(False)).alias("_on"))
     free = one.join(stuck, [*keys, "_node"], "left_anti")
-    state = cut(
+    step = cut(
         free.select(
             *keys, "_node", F.col("_up").alias("_ptr"),
             F.when(F.col("_up").isNull(), F.array("_node")).otherwise(F.array("_up", "_node")).alias("_path"),
             F.array(F.coalesce("_label", F.lit(""))).alias("_labels"),
         )
     )
-    while state.filter("_ptr IS NOT NULL").limit(1).count():
-        a, s = state.filter("_ptr IS NOT NULL").alias("a"), state.alias("s")
-        step = a.join(s, _same(keys, "a", "s") & (F.col("a._ptr") == F.col("s._node")), "left").select(
-            *[F.col(f"a.{k}") for k in keys], F.col("a._node"), F.col("s._ptr"),
-            F.coalesce(F.concat(F.slice(F.col("s._path"), 1, F.greatest(F.size("s._path") - 1, F.lit(0))), F.col("a._path")), F.col("a._path")).alias("_path"),
-            F.coalesce(F.concat(F.col("s._labels"), F.col("a._labels")), F.col("a._labels")).alias("_labels"),
+    resolved = step.filter("_ptr IS NULL")
+    active = step.filter("_ptr IS NOT NULL")
+    while active.limit(1).count():  # what is resolved is written once and only looked up after
+        a, s = active.alias("a"), resolved.unionByName(active).alias("s")
+        step = cut(
+            a.join(s, _same(keys, "a", "s") & (F.col("a._ptr") == F.col("s._node")), "left").select(
+                *[F.col(f"a.{k}") for k in keys], F.col("a._node"), F.col("s._ptr"),
+                F.coalesce(F.concat(F.slice(F.col("s._path"), 1, F.greatest(F.size("s._path") - 1, F.lit(0))), F.col("a._path")), F.col("a._path")).alias("_path"),
+                F.coalesce(F.concat(F.col("s._labels"), F.col("a._labels")), F.col("a._labels")).alias("_labels"),
+            )
         )
-        state = cut(state.filter("_ptr IS NULL").unionByName(step))
+        resolved = resolved.unionByName(step.filter("_ptr IS NULL"))
+        active = step.filter("_ptr IS NOT NULL")
+    state = resolved
     done = state.select(*keys, F.col("_node").alias(child), F.col("_path").alias("path"), F.col("_labels").alias("labels"), (F.size("_path") - 1).alias("depth"), F.element_at("_path", 1).alias("top"), F.lit(False).alias("cyclic"), F.lit(False).alias("leads_to_cycle"))
     return done.unionByName(kind.select(*keys, F.col("_node").alias(child), F.col("_on").alias("cyclic"), (~F.col("_on")).alias("leads_to_cycle")), allowMissingColumns=True)
 
