@@ -129,7 +129,7 @@ def normalized(w: DataFrame) -> DataFrame:
 def walk(w: DataFrame, v: DataFrame, gamma: float, steps: int = 20, every: int = 5) -> DataFrame:
     """Random walk with restart, ``steps`` of r <- (1 - gamma) W r + gamma v: ``doc_id``, ``i``, ``r``."""
     parts = int(w.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    w = cut(w).repartition(parts, "doc_id", "j").persist()  # every step finds the matrix where its join needs it
+    w = cut(w).repartition(parts, "doc_id", "j").sortWithinPartitions("doc_id", "j").persist()  # placed and sorted as every step needs it
     v = cut(v.select("doc_id", "i", "r"))
     r = v
     for k in range(1, steps + 1):

@@ -48,14 +48,19 @@ def unresolved(one: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     and every round joins only what is left. ``one`` is read twice in the first round: it should be held.
     """
     state = one.filter(F.col("_up").isNotNull()).select(*keys, "_node", F.col("_up").alias("_ptr"))
-    before = None
+    nodes = targets = -1
     while True:
         a, s = state.alias("a"), state.alias("s")
         state = cut(a.join(s, _same(keys, "a", "s") & (F.col("a._ptr") == F.col("s._node"))).select(*[F.col(f"a.{k}") for k in keys], F.col("a._node"), F.col("s._ptr")))
-        left = state.agg(F.count("*"), F.count_distinct(*keys, "_ptr")).first()
-        if left[0] == 0 or tuple(left) == before:
+        left = state.count()
+        if left == nodes:  # all that can resolve has done so; now the set pointed at shrinks onto the rounds
+            now = state.select(*keys, "_ptr").distinct().count()
+            if now == targets:
+                break
+            targets = now
+        nodes = left
+        if not left:
             break
-        before = tuple(left)
     return state.select(*keys, F.col("_ptr").alias("_node")).distinct(), state.select(*keys, "_node")
 
 
