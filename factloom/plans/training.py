@@ -67,5 +67,13 @@ SELECT doc_id, sent_id, node FROM w WHERE node = cur""",
   UNION ALL SELECT w.doc_id, w.sent_id, w.node, l.up, distance + 1 FROM w JOIN l ON l.doc_id = w.doc_id AND l.sent_id = w.sent_id AND l.node = w.cur WHERE l.up IS NOT NULL AND distance < 250),
 stuck AS (SELECT DISTINCT doc_id, sent_id, node FROM w WHERE distance = 250)
 SELECT doc_id, sent_id, cur AS ancestor, node AS descendant, CAST(distance AS INT) AS distance FROM w ANTI JOIN stuck USING (doc_id, sent_id, node)""",
+    "p3_found": """WITH a AS (SELECT ann_id, arg_min(payload, loaded_at) AS p FROM annotations GROUP BY ann_id),
+rec AS (SELECT ann_id, coalesce(json_extract(d, '$.result'), d) AS d FROM (SELECT ann_id, TRY_CAST(p AS JSON) AS d FROM a) WHERE d IS NOT NULL),
+sl AS (SELECT ann_id, json_extract(d, '$.sentences[*]') AS l FROM rec), st AS (SELECT ann_id, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS s FROM sl),
+ck AS (SELECT ann_id, d, unnest(json_keys(d, '$.corefs')) AS k FROM rec),
+v AS (SELECT ann_id, 'token' AS kind, CAST(k AS VARCHAR) AS parent, json_extract(s, '$.tokens') AS v FROM st UNION ALL SELECT ann_id, 'dependency', CAST(k AS VARCHAR), coalesce(json_extract(s, '$.basicDependencies'), json_extract(s, '$."basic-dependencies"')) FROM st
+  UNION ALL SELECT ann_id, 'entitymention', CAST(k AS VARCHAR), json_extract(s, '$.entitymentions') FROM st UNION ALL SELECT ann_id, 'coref', k, json_extract(d, '$.corefs."' || k || '"') FROM ck),
+i AS (SELECT ann_id, kind, parent, unnest(CAST(v AS JSON[])) AS x, generate_subscripts(CAST(v AS JSON[]), 1) - 1 AS child FROM v WHERE json_type(v) = 'ARRAY')
+SELECT ann_id, kind, parent, CAST(child AS INT) AS child FROM i WHERE json_type(x) = 'OBJECT' UNION ALL SELECT ann_id, kind, parent, 0 FROM v WHERE json_type(v) = 'OBJECT'""",
     "p3_unparsable": "SELECT ann_id FROM annotations GROUP BY ann_id HAVING NOT coalesce(json_valid(min_by(payload, loaded_at)), false)",
 }
