@@ -150,7 +150,7 @@ def pruned_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.merged_edges(tuples(spark, sf_dir))
     w = graph.level1(edges)
-    return graph.score_tuples(edges, graph.walk(w, graph.start(w), 0.3, steps=5))
+    return graph.score_tuples(edges, graph.settle(w, graph.start(w), 0.3))
 
 
 def greedy_independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
