@@ -257,22 +257,33 @@ def level2(cand: DataFrame, related: DataFrame) -> DataFrame:
     return normalized(down.unionByName(up("u1", "u2")).unionByName(up("u2", "u1")))
 
 
-def propagate(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.3, gamma2: float = 0.1, steps: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Node scores (``doc_id``, ``i``, ``r``) and the entity chosen for each noun (``doc_id``, ``noun``, ``uri``,
-    ``score``). A document without candidates keeps its first-level scores."""
+def _chosen(t: DataFrame, kb_table: DataFrame, gamma1: float, gamma2: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """First-level matrix and scores, candidates, and the entity chosen for each noun."""
     w1 = cut(level1(merged_edges(t)))
-    r1 = cut(walk(w1, start(w1), gamma1, steps))
+    r1 = settle(w1, start(w1), gamma1)
     cand = cut(candidates(t))
-    w2 = cut(level2(cand, kb.relatedness(kb_table)))
+    w2 = level2(cand, kb.relatedness(kb_table))
     seed = r1.join(cand.select("doc_id", F.col("noun").alias("i")).distinct(), ["doc_id", "i"])
     total = seed.groupBy("doc_id").agg(F.sum("r").alias("_s"))
     v2 = seed.join(total, "doc_id").filter("_s > 0").select("doc_id", F.concat(F.lit("N:"), "i").alias("i"), (F.col("r") / F.col("_s")).alias("r"))
-    r2 = walk(w2, v2, gamma2, steps)
+    r2 = settle(w2, v2, gamma2)
     scored = cand.join(r2.withColumn("uri", F.expr("substring(i, 3)")).filter("i LIKE 'E:%'").select("doc_id", "uri", "r"), ["doc_id", "uri"]).withColumn("score", F.round(F.col("r") * F.col("final_score"), 12)).filter("score > 0")
     best = cut(scored.groupBy("doc_id", "noun").agg(F.max(F.struct(F.col("score"), F.col("uri"))).alias("b")).select("doc_id", "noun", "b.uri", "b.score"))
+    return w1, r1, cand, best
+
+
+def best_entities(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.3, gamma2: float = 0.1) -> DataFrame:
+    """The entity that propagation chooses for each noun: ``doc_id``, ``noun``, ``uri``, ``score``."""
+    return _chosen(t, kb_table, gamma1, gamma2)[3]
+
+
+def propagate(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.3, gamma2: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """Node scores (``doc_id``, ``i``, ``r``) and the entity chosen for each noun (``doc_id``, ``noun``, ``uri``,
+    ``score``). All walks are settled. A document without candidates keeps its first-level scores."""
+    w1, r1, cand, best = _chosen(t, kb_table, gamma1, gamma2)
     factor = cand.select("doc_id", F.col("noun").alias("i")).distinct().join(best.select("doc_id", F.col("noun").alias("i"), "score"), ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce("score", F.lit(0.0)).alias("f"))
     v3 = r1.join(factor, ["doc_id", "i"], "left").select("doc_id", "i", (F.col("r") * F.coalesce("f", F.lit(1.0))).alias("r"))
-    return walk(w1, v3, gamma1, steps), best
+    return settle(w1, v3, gamma1), best
 
 
 def prune_entities(means: DataFrame, best: DataFrame) -> DataFrame:
@@ -328,6 +339,7 @@ def join_optimize(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.1, gamma2
     """Resolve collisions and entities of every document and give back its tuples: scores by propagation, a greedy
     independent set of the collision graph, removal of what loses (a noun with the predicates that point to it), then
     the remaining graph refined and turned into tuples."""
+    t = cut(t)
     scores, _ = propagate(t, kb_table, gamma1, gamma2)
     edges = cut(merged_edges(t))
     pairs = cut(collisions(t))

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from factloom.operators import graph
+from factloom.operators import graph, kb
 from factloom.plans import catalog, facts
 
 from .conftest import DATA
@@ -21,7 +21,7 @@ def exact(w, v, gamma):
         m = np.eye(len(ids))
         for i, j, x in entries:
             m[at[i], at[j]] -= (1 - gamma) * x
-        out |= dict(zip([(d, x) for x in ids], np.linalg.solve(m, [gamma * starts.get((d, x), 0.0) for x in ids])))
+        out |= dict(zip([(d, x) for x in ids], np.linalg.solve(m, [gamma * starts.get((d, x), 0.0) for x in ids]).tolist()))
     return out
 
 
@@ -43,3 +43,23 @@ def test_settled_walk_of_a_star_and_of_nothing(spark):
         got = {(r.doc_id, r.i): r.r for r in graph.settle(w, v, 0.1, in_task=in_task).collect()}
         assert got.keys() == want.keys() and sum(abs(got[k] - want[k]) for k in want) < 1e-10
     assert graph.settle(w.limit(0), v.limit(0), 0.1).count() == 0
+
+
+def test_propagation_is_that_of_settled_walks(spark):
+    """All of propagation in plain Python from its matrices on, with the gammas of joint_optimize."""
+    t, k = facts.tuples(spark, DATA), facts.table(spark, DATA, "kb")
+    w1, cand = graph.level1(graph.merged_edges(t)), graph.candidates(t)
+    w2 = graph.level2(cand, kb.relatedness(k))
+    r1, pairs = exact(w1, graph.start(w1), 0.1), [(r.doc_id, r.noun, r.uri, r.final_score) for r in cand.collect()]
+    seed = {(d, n): r1[d, n] for d, n, _, _ in pairs if (d, n) in r1}
+    total = defaultdict(float)
+    for (d, _), x in seed.items():
+        total[d] += x
+    schema = "doc_id bigint, i string, r double"
+    r2 = exact(w2, spark.createDataFrame([(d, f"N:{n}", x / total[d]) for (d, n), x in seed.items()], schema), 0.2)
+    best = defaultdict(float)
+    for d, n, u, f in pairs:
+        best[d, n] = max(best[d, n], r2.get((d, f"E:{u}"), 0.0) * f)
+    want = exact(w1, spark.createDataFrame([(d, i, x * best.get((d, i), 1.0)) for (d, i), x in r1.items()], schema), 0.1)
+    got = {(r.doc_id, r.i): r.r for r in graph.propagate(t, k, 0.1, 0.2)[0].collect()}
+    assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in want) < 1e-9
