@@ -335,16 +335,22 @@ def score_tuples(edges: DataFrame, scores: DataFrame) -> DataFrame:
     return edges.join(scores.select("doc_id", F.col("i").alias("dst"), "r"), ["doc_id", "dst"]).groupBy("doc_id", "src").agg(F.round(F.avg("r"), 6).alias("score"))
 
 
-def join_optimize(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.1, gamma2: float = 0.2) -> DataFrame:
-    """Resolve collisions and entities of every document and give back its tuples: scores by propagation, a greedy
-    independent set of the collision graph, removal of what loses (a noun with the predicates that point to it), then
-    the remaining graph refined and turned into tuples."""
+def resolve(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.1, gamma2: float = 0.2) -> DataFrame:
+    """Edges of every document's graph with collisions and entities resolved: scores by propagation, a greedy independent
+    set of the collision graph, removal of what loses (a noun with the predicates that point to it), then the remaining
+    graph refined, its nouns with the ``means`` edges to the entities chosen by propagation."""
     t = cut(t)
-    scores, _ = propagate(t, kb_table, gamma1, gamma2)
+    scores, best = propagate(t, kb_table, gamma1, gamma2)
     edges = cut(merged_edges(t))
     pairs = cut(collisions(t))
     kept = independent_set(pairs, scores.select("doc_id", F.col("i").alias("id"), F.col("r").alias("weight")))
     lost = cut(pairs.select("doc_id", F.col("a").alias("id")).unionByName(pairs.select("doc_id", F.col("b").alias("id"))).distinct().join(kept, ["doc_id", "id"], "left_anti"))
     with_noun = edges.join(lost.withColumnRenamed("id", "dst"), ["doc_id", "dst"], "left_semi").select("doc_id", "src").distinct()
-    rest = edges.join(lost.withColumnRenamed("id", "src"), ["doc_id", "src"], "left_anti").join(with_noun, ["doc_id", "src"], "left_anti")
-    return collect_tuples(refine(rest))
+    rest = refine(edges.join(lost.withColumnRenamed("id", "src"), ["doc_id", "src"], "left_anti").join(with_noun, ["doc_id", "src"], "left_anti"))
+    means = prune_entities(means_edges(t), best).join(rest.select("doc_id", F.col("dst").alias("src")).distinct(), ["doc_id", "src"], "left_semi")
+    return rest.unionByName(means)
+
+
+def join_optimize(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.1, gamma2: float = 0.2) -> DataFrame:
+    """Resolve collisions and entities of every document and give back its tuples."""
+    return collect_tuples(resolve(t, kb_table, gamma1, gamma2))

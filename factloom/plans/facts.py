@@ -137,14 +137,12 @@ def rwr_20_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.propagate(tuples(spark, sf_dir), table(spark, sf_dir, "kb"))[1].withColumn("score", F.round("score", 6))
+    return graph.best_entities(tuples(spark, sf_dir), table(spark, sf_dir, "kb")).withColumn("score", F.round("score", 6))
 
 
 def pruned_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tuples(spark, sf_dir)
-    c = graph.candidates(t)
-    best = c.groupBy("doc_id", "noun").agg(F.max(F.struct("final_score", "uri")).alias("b")).select("doc_id", "noun", "b.uri")
-    return graph.prune_entities(graph.means_edges(t), best)
+    return graph.prune_entities(graph.means_edges(t), graph.best_entities(t, table(spark, sf_dir, "kb")))
 
 
 def score_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,9 +152,9 @@ def score_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = graph.collisions(tuples(spark, sf_dir))
-    ends = pairs.select("doc_id", F.col("a").alias("id")).unionByName(pairs.select("doc_id", F.col("b").alias("id")))
-    return graph.independent_set(pairs, ends.groupBy("doc_id", "id").agg((1.0 / F.count("*")).alias("weight")))
+    t = tuples(spark, sf_dir)
+    scores, _ = graph.propagate(t, table(spark, sf_dir, "kb"))
+    return graph.independent_set(graph.collisions(t), scores.select("doc_id", F.col("i").alias("id"), F.col("r").alias("weight")))
 
 
 def joint_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:

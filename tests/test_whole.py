@@ -63,3 +63,27 @@ def test_propagation_is_that_of_settled_walks(spark):
     want = exact(w1, spark.createDataFrame([(d, i, x * best.get((d, i), 1.0)) for (d, i), x in r1.items()], schema), 0.1)
     got = {(r.doc_id, r.i): r.r for r in graph.propagate(t, k, 0.1, 0.2)[0].collect()}
     assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in want) < 1e-9
+
+
+E = "struct<word:string,word_index:array<int>,prep:string,reference:string,ne_type:string,entity:array<struct<uri:string,final_score:double>>>"
+
+
+def test_pruning_and_independent_set_take_what_propagation_gives(spark, tmp_path):
+    el = lambda w, i, entity=None: (w, [i], None, None, None, entity)
+    saw = lambda i, s, o: (1, 0, i, 0, s, el("saw", 20), o, None)
+    # Tom_A has the greater score of its own, but only Tom_B is related to what Ann and Bob mean
+    tom = el("Tom", 0, [("Tom_A", 0.51), ("Tom_B", 0.5)])
+    rows = [saw(1, tom, el("Ann", 2, [("Ann_X", 0.9)])), saw(2, tom, el("Bob", 4, [("Bob_X", 0.9)])), saw(3, el("Eve", 6), el("the hat", 2))]
+    schema = f"doc_id bigint, sent_id int, tuple_id bigint, loaded_at int, subject {E}, predicate {E}, direct_object {E}, indirect_object {E}, adverbial array<{E}>, run string, clause_type string, negation boolean"
+    spark.createDataFrame([(*r, [], "raw", "SVO", None) for r in rows], schema).write.parquet(str(tmp_path / "tuples.parquet"))
+    spark.createDataFrame([("Tom_B", "knows", "Ann_X"), ("Tom_B", "met", "Bob_X")], "head string, rel string, tail string").write.parquet(str(tmp_path / "kb.parquet"))
+    q = catalog.queries()
+    pruned = {(r.src, r.dst) for r in q["pruned_entities"](spark, str(tmp_path)).collect()}
+    assert pruned == {("Tom", "Entity:Tom_B"), ("Ann", "Entity:Ann_X"), ("Bob", "Entity:Bob_X")}
+    t, k = facts.tuples(spark, str(tmp_path)), facts.table(spark, str(tmp_path), "kb")
+    means = {(r.src, r.dst) for r in graph.resolve(t, k).filter("relation = 'means'").collect()}
+    assert ("Tom", "Entity:Tom_B") in means and ("Tom", "Entity:Tom_A") not in means
+    weight = {r.i: r.r for r in graph.propagate(t, k)[0].collect()}
+    pairs = [(r.a, r.b) for r in graph.collisions(t).collect()]
+    assert pairs == [("Ann", "the hat")]
+    assert {r.id for r in q["greedy_independent_set"](spark, str(tmp_path)).collect()} == {max(pairs[0], key=weight.get)} == {"the hat"}
