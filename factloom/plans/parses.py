@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import nested, rewrite, trees
+from factloom.operators import algebra, nested, rewrite, trees
 from factloom.plans import facts, training
 from factloom.runtime import table
 from factloom.sources import annotations, tuple_text
@@ -200,19 +200,12 @@ def pronoun_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tuple_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tuples written in the text format and read again: one row per tuple line."""
-    t = facts.tuples(spark, sf_dir).filter("sent_id IS NOT NULL").select("doc_id", "sent_id", "tuple_id", *[_plain(r).alias(r) for r in ("subject", "predicate", "direct_object", "indirect_object")], F.array().cast(f"array<{tuple_text.ELEMENT}>").alias("adverbial"))
-    texts = tuple_text.to_text(t, "doc_id", "sent_id", F.concat(F.lit("sentence "), F.col("sent_id")), "tuple_id")
+    """Tuples written in the text format and read again: one row per tuple line, whole."""
+    t = facts.tuples(spark, sf_dir).select("doc_id", "sent_id", "tuple_id", "negation", *algebra.ROLES, "adverbial")
+    texts = tuple_text.to_text(t, "doc_id", "sent_id", F.concat(F.lit("sentence "), F.coalesce(F.col("sent_id").cast("string"), F.lit("unknown"))), "tuple_id")
     back = tuple_text.parse(texts)
-    word = lambda r: F.col(f"{r}.word").alias(r)
-    return back.select("doc_id", "sentence", word("subject"), word("predicate"), word("direct_object"), word("indirect_object"))
-
-
-def _plain(role: str):
-    """An element whose word has no character of the format's own."""
-    word = F.trim(F.regexp_replace(F.col(f"{role}.word"), r"[;|()?#!\s]+", " "))
-    index = F.when(F.size(F.split(word, " ")) == F.size(f"{role}.word_index"), F.col(f"{role}.word_index"))
-    return F.when(word != "", F.struct(word.alias("word"), F.coalesce(index, F.array().cast("array<int>")).alias("word_index"), F.lit(None).cast("string").alias("prep"), F.lit(None).cast("string").alias("reference")))
+    nouns = [r for r in algebra.ROLES if r != "predicate"]
+    return back.select("doc_id", "sentence", *[F.col(f"{r}.word").alias(r) for r in algebra.ROLES], "negation", *[F.col(f"{r}.reference").alias(f"{r}_reference") for r in nouns], *[F.col(f"{r}.word_index").alias(f"{r}_index") for r in algebra.ROLES], F.transform("adverbial", lambda a: F.struct(a["prep"].alias("prep"), a["word"].alias("word"), a["word_index"].alias("word_index"))).alias("adverbial"))
 
 
 def tuple_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,33 @@ def test_pruning_and_independent_set_take_what_propagation_gives(spark, tmp_path
     pairs = [(r.a, r.b) for r in graph.collisions(t).collect()]
     assert pairs == [("Ann", "the hat")]
     assert {r.id for r in q["greedy_independent_set"](spark, str(tmp_path)).collect()} == {max(pairs[0], key=weight.get)} == {"the hat"}
+
+
+def _written(t):
+    """What whole tuples should be read back as."""
+    has = lambda e: e is not None and e.word is not None
+    out = []
+    for r in t.collect():
+        roles = [r.subject, r.predicate, r.direct_object, r.indirect_object]
+        advs = [(a.prep, a.word, list(a.word_index or [])) for a in r.adverbial or [] if has(a)]
+        out.append((r.doc_id, f"sentence {'unknown' if r.sent_id is None else r.sent_id}", [e.word if has(e) else None for e in roles], bool(r.negation), [e.reference if has(e) else None for e in (roles[0], *roles[2:])], [list(e.word_index or []) if has(e) else None for e in roles], advs))
+    return sorted(map(repr, out))
+
+
+def _read(df):
+    roles = ["subject", "predicate", "direct_object", "indirect_object"]
+    return sorted(repr((r.doc_id, r.sentence, [r[x] for x in roles], r.negation, [r[f"{x}_reference"] for x in (roles[0], *roles[2:])], [r[f"{x}_index"] for x in roles], [(a.prep, a.word, a.word_index) for a in r.adverbial])) for r in df.collect())
+
+
+def test_whole_tuples_are_read_back_from_text(spark, tmp_path):
+    q = catalog.queries()["tuple_text_roundtrip"]
+    assert _read(q(spark, DATA)) == _written(facts.tuples(spark, DATA))
+    el = lambda w, index=(), prep=None, reference=None: (w, list(index), prep, reference, None, None)
+    rows = [
+        (1, None, 1, 0, el("?a; b|c (d)", [1, 2, 3], None, "x (y); \\s|z"), el(" was  \\b", [4, 5]), el("!#"), el("======", [6]), [el("noon", [8], "at"), el("last night", [9, 10]), el("the rain", [13, 14], "because of"), el("soon"), None, el(None)], "raw", "SVO", True),
+        (1, 0, 2, 0, None, el("tab\there\nnow"), None, None, [el("", [1], ""), el("x y", [1, 2, 3], "in"), el(" z ", (), " ")], "raw", "SVO", None),
+    ]
+    schema = f"doc_id bigint, sent_id int, tuple_id bigint, loaded_at int, subject {E}, predicate {E}, direct_object {E}, indirect_object {E}, adverbial array<{E}>, run string, clause_type string, negation boolean"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "tuples.parquet"))
+    got, want = _read(q(spark, str(tmp_path))), _written(facts.tuples(spark, str(tmp_path)))
+    assert got == want
