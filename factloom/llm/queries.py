@@ -63,8 +63,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_predicate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _values(spark, sf_dir).filter("predicate <> ''").select("doc_id", F.split("predicate", " ").alias("words"))
-    return term_frequency.frequencies(words, "doc_id", "words", longest=3).filter("gram IS NOT NULL")
+    t = _values(spark, sf_dir)
+    total = t.agg(F.count_distinct("doc_id")).first()[0]
+    words = t.filter("predicate <> ''").select("doc_id", F.split("predicate", " ").alias("words"))
+    return term_frequency.marked(term_frequency.frequencies(words, "doc_id", "words").filter("gram IS NOT NULL"), max(total, 1))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

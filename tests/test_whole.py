@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
+from factloom.llm import queries as llm
 from factloom.operators import graph, kb
 from factloom.plans import catalog, facts
 
@@ -117,3 +118,18 @@ def test_whole_tuples_are_read_back_from_text(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "tuples.parquet"))
     got, want = _read(q(spark, str(tmp_path))), _written(facts.tuples(spark, str(tmp_path)))
     assert got == want
+
+
+def test_predicate_terms_are_counted_up_to_the_longest_and_marked(spark, tmp_path):
+    said = [(1, 1, "would have been sold"), (2, 2, "would  have been sold"), (3, 3, "Would have been"), (4, 3, "was"), (5, 4, "")]
+    rows = [(i, d, (w, None, None, None, None, None), "SVO") for i, d, w in said]
+    spark.createDataFrame(rows, f"tuple_id bigint, doc_id bigint, predicate {E}, clause_type string").write.parquet(str(tmp_path / "tuples.parquet"))
+    docs, n = defaultdict(set), defaultdict(int)
+    for _, d, text in said:
+        ws = text.lower().split()
+        for g in (" ".join(ws[i:j]) for i in range(len(ws)) for j in range(i + 1, len(ws) + 1)):
+            docs[g].add(d)
+            n[g] += 1
+    want = {g: (n[g], len(docs[g]), "rare" if len(docs[g]) < 3 else "common") for g in n}
+    got = {r.gram: (r.n, r.n_records, r.mark) for r in llm.queries()["p5_predicate_terms"](spark, str(tmp_path)).collect()}
+    assert got == want and got["would have been sold"] == (2, 2, "rare")
