@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from factloom.operators import hierarchy
 
 SCHEMA = "doc bigint, child int, parent int, lab string, path string, extra int"
@@ -54,3 +56,21 @@ def test_against_walking(spark):
         if at == c:
             expected.add((d, c))
     assert set(rows(hierarchy.cycles(make(spark, links), ["doc"], "child", "parent", 0), "doc", "child")) == expected
+
+
+def test_joined_rounds_give_the_same(spark):
+    rng = random.Random(9)
+    links = [(d, c, rng.randint(0, 40)) for d in range(5) for c in range(1, 41) if rng.random() < 0.9]
+    links += [(7, i, i + 1) for i in range(1, 70)] + [(8, i, i - 1) for i in range(1, 70)]
+    df = make(spark, links).withColumn("lab", F.concat(F.lit(" L"), "child"))
+    cols = ["doc", "child", "path", "labels", "depth", "top", "cyclic", "leads_to_cycle"]
+    in_tasks = hierarchy.resolve(df, ["doc"], "child", "parent", "lab", 0)
+    joined = hierarchy.resolve(df, ["doc"], "child", "parent", "lab", 0, in_task=10)
+    assert sorted(map(repr, rows_of(in_tasks, cols))) == sorted(map(repr, rows_of(joined, cols)))
+    assert rows(hierarchy.cycles(df, ["doc"], "child", "parent", 0), "doc", "child") == rows(hierarchy.cycles(df, ["doc"], "child", "parent", 0, in_task=10), "doc", "child")
+    one = hierarchy.resolve(df.filter("doc = 8"), [], "child", "parent", "lab", 0)
+    assert max(len(r.path) for r in one.collect()) == 69
+
+
+def rows_of(df, cols):
+    return [tuple(r[c] for c in cols) for r in df.collect()]
