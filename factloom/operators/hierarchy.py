@@ -135,6 +135,9 @@ class Doubled:
         return np.concatenate([[0], ends]), at
 
 
+UP = " > "
+
+
 def _same(keys: list[str], a: str, b: str) -> Column:
     same = F.lit(True)
     for k in keys:

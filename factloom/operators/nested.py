@@ -1,30 +1,37 @@
 """Deeply nested records to related flat tables.
 
-Each record is parsed on its own, in a stream of Arrow batches, into path-value-ordinal triples: the names on the way
-down, the leaf, and the positions in all arrays (or the keys of all keyed objects) passed. The triples of a record are
-grouped by their repeated ancestor and every group is pivoted into the rows of one table, all within the task that
-parsed the record: nothing is shuffled, and of a record only the parts are walked that a wanted table names.
+Each record is parsed as a stream of tokens into path-value-ordinal triples: the names on the way down, the leaf, and the
+positions in all arrays (or the keys of all objects with free keys) passed. Triples are grouped by their repeated
+ancestor, and every group is pivoted into one row of the table of its path, all within the task that reads the record:
+nothing is shuffled. Tables need not be named beforehand: each path at which objects stand is a table, in which a row
+keeps the ordinals of all its ancestors, so it can be joined with the rows above and below it.
+
+Depth has no limit: the parser holds a stack of its own. A record's rows are given out once its text has proved valid.
 
 Defined results for odd input: names are compared without case and without characters other than letters and digits;
-wrapper objects around the record's parts are passed through; a lone object where an array is usual has position 0;
-null, empty or missing parts, and array items that are no objects, give no rows; text that is not valid JSON (NaN and
-Infinity included), null text or text nested beyond the parser's depth gives no rows, and is listed by ``unparsable``.
-Repeated input rows give repeated output rows unless ``id_col`` is passed through ``once`` before. A leaf that is an
-object or an array is given as JSON text.
+wrapper objects around the record's parts are passed through; a lone object where an array is usual has position 0; an
+object whose first name is a number has free keys, as have the paths that a wanted table marks with '*'; array items that
+are no objects are rows of a table of their own (the array's path and '/=') with the leaf '='; arrays directly in an array
+add the step '#' and an ordinal, a top-level array only an ordinal; null, empty or missing parts give no rows; of a name
+twice in one object both parts are walked and the last leaf counts; text that is not valid JSON (NaN and Infinity
+included) and null text give no rows, and are listed by ``unparsable``. Repeated input rows give repeated output rows
+unless ``id_col`` is passed through ``once`` before. Numbers are given as written, a leaf that is an object or an array
+as its JSON text.
 """
 
 from __future__ import annotations
 
-import json
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import JSONDecodeError, scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.runtime import cut, small
+
 
 @dataclass(frozen=True)
 class Nested:
@@ -38,127 +45,301 @@ class Nested:
     columns: tuple[str, ...] = field(default=())
 
 
+class Number(str):
+    """A number as written, told apart from a text."""
+
+
+class Invalid(ValueError):
+    """The text is not valid JSON."""
+
+
+_SPACE = r"[ \t\n\r]*"
+_PLAIN = r'"([^"\\\x00-\x1f]*)"'
+_SCALAR = rf"(?:{_PLAIN}|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))"
+_ws = re.compile(_SPACE).match
+_member = re.compile(rf"{_SPACE}{_PLAIN}{_SPACE}:{_SPACE}{_SCALAR}{_SPACE}([,}}])").match  # most of a record, in one step
+_colon = re.compile(rf"{_SPACE}:{_SPACE}").match
+_scalar = re.compile(_SCALAR).match
+_after = re.compile(rf"{_SPACE}([,}}\]])").match
+_free = re.compile(rf'\{{{_SPACE}"[0-9]+"{_SPACE}:').match
+LITERAL = {"true": "true", "false": "false", "null": None}
+
+
 def plain(name: str) -> str:
     return re.sub(r"[\W_]", "", name).lower()
 
 
-def _refuse(token: str) -> None:
-    raise ValueError(token)
+class Step:
+    """A path: its name, what is above it, and what has been seen below."""
 
+    __slots__ = ("name", "up", "below", "leaf", "kind", "columns", "free", "live")
 
-def parse(text: str | None) -> object:
-    """The record, or None where the text is not valid JSON."""
-    if text is None:
-        return None
-    try:
-        return json.loads(text, parse_constant=_refuse)
-    except (ValueError, RecursionError):
-        return None
+    def __init__(self, name: str, up: Step | None, live: bool) -> None:
+        self.name, self.up, self.live = name, up, live
+        self.below: dict[str, Step] = {}
+        self.leaf: dict[str, str | None] = {}
+        self.kind: str | None = None
+        self.columns: dict[str, str] | None = None
+        self.free = False
+
+    def path(self) -> str:
+        names, at = [], self
+        while at.up is not None:
+            names.append(at.name)
+            at = at.up
+        return "/".join(reversed(names))
 
 
 class Shredder:
-    """Turns a record into triples, and triples into rows, for the tables wanted."""
-
-    def __init__(self, tables: list[Nested], wrappers: tuple[str, ...]) -> None:
-        self.tables, self.wrappers, self.names = tables, frozenset(map(plain, wrappers)), {}
-        self.tree: dict = {}
-        for t in tables:
-            at = self.tree
-            for step in t.path.split("/"):
-                at = at.setdefault(step if step == "*" else plain(step), {})
-            at.setdefault("", []).append((t.kind, {plain(c): c for c in t.columns}))
-
-    def name(self, raw: str) -> str:
-        if (known := self.names.get(raw)) is None:
-            known = plain(raw)
-            if len(self.names) < 10_000:
-                self.names[raw] = known
-        return known
-
-    def triples(self, record: object) -> Iterator[tuple[str, str, object, tuple]]:
-        """(table, leaf name or '' for the object itself, value, ordinals of the repeated ancestors)."""
-        stack: list[tuple[object, dict, tuple]] = [(record, self.tree, ())]
-        while stack:
-            value, spec, ordinals = stack.pop()
-            if not isinstance(value, dict):
-                continue
-            here = "" in spec
-            if here:
-                for kind, columns in spec[""]:
-                    yield kind, "", None, ordinals
-                    if columns:
-                        for raw, leaf in value.items():
-                            if (leaf_name := columns.get(self.name(raw))) is not None:
-                                yield kind, leaf_name, leaf, ordinals
-            below = []
-            for raw, part in value.items():
-                if "*" in spec:
-                    below.append((part, spec["*"], (*ordinals, raw)))
-                elif (next_spec := spec.get(self.name(raw))) is not None:
-                    below.append((part, next_spec, ordinals))
-                elif spec is self.tree and self.name(raw) in self.wrappers:
-                    below.append((part, spec, ordinals))
-            for part, next_spec, at in reversed(below):
-                if isinstance(part, list):
-                    stack.extend((item, next_spec, (*at, i)) for i, item in reversed([*enumerate(part)]) if isinstance(item, dict))
-                elif isinstance(part, dict):
-                    free_keys_or_wrapper = "*" in next_spec or next_spec is self.tree
-                    stack.append((part, next_spec, at if free_keys_or_wrapper else (*at, 0)))
-
-    def rows(self, record: object) -> Iterator[tuple[str, tuple, dict]]:
-        """Triples of one repeated ancestor follow each other: pivot each run of them into (kind, ordinals, leaves)."""
-        key, leaves = None, {}
-        for kind, leaf, value, ordinals in self.triples(record):
-            if leaf == "":
-                if key is not None:
-                    yield *key, leaves
-                key, leaves = (kind, ordinals), {}
+    """Turns a record into rows. With ``tables``, of these only; without, of every path found, whole."""
+
+    def __init__(self, tables: list[Nested] | None, wrappers: tuple[str, ...], free: tuple[str, ...] = ()) -> None:
+        self.every, self.wrappers, self.free = tables is None, frozenset(map(plain, wrappers)), free
+        self.tables = tables or []
+        self.start()
+
+    def start(self) -> None:
+        self.known = 0
+        self.root = Step("", None, True)
+        self.dead = Step("", None, False)
+        for t in self.tables:
+            at = self.root
+            for name in t.path.split("/"):
+                if name == "*":
+                    at.free = True
+                key = name if name == "*" else plain(name)
+                at = at.below.setdefault(key, Step(key, at, True))
+            at.kind, at.columns = t.kind, {plain(c): c for c in t.columns}
+        if self.every:
+            self.root.kind = ""
+            for path in self.free:
+                at = self.root
+                for name in path.split("/"):
+                    at = at.below.setdefault(plain(name), Step(plain(name), at, True))
+                    at.kind = at.path()
+                at.free = True
+
+    def child(self, step: Step, raw: str) -> Step:
+        """The path of a name below ``step``."""
+        if (found := step.below.get(raw)) is not None:
+            return found
+        if not step.live:
+            return self.dead
+        key = "*" if step.free else raw if raw in ("#", "=") else plain(raw)
+        if step is self.root and key in self.wrappers:
+            found = step
+        elif (found := step.below.get(key)) is None:
+            if not self.every:
+                found = self.dead
             else:
-                leaves[leaf] = value
-        if key is not None:
-            yield *key, leaves
+                found = Step(key, step, True)
+                found.kind = found.path()
+                step.below[key] = found
+        self.known += 1
+        if not step.free:  # free keys are not held: there may be any number of them
+            step.below[raw] = found
+        return found
+
+    def leaf(self, step: Step, raw: str) -> str | None:
+        """The column of a leaf, None if it isn't wanted."""
+        key = plain(raw)
+        found = key if step.columns is None and step.live else (step.columns or {}).get(key)
+        self.known += 1
+        step.leaf[raw] = found
+        return found
+
+    def rows(self, text: str | None) -> list[tuple[str, tuple, dict]]:
+        """(table, ordinals, leaves) of all objects of a record; none for null text. Raises Invalid."""
+        if text is None:
+            return []
+        if self.known > 200_000:
+            self.start()
+        try:
+            return self._rows(text)
+        except (JSONDecodeError, IndexError) as e:
+            raise Invalid(str(e)) from e
+
+    def _rows(self, text: str) -> list[tuple[str, tuple, dict]]:
+        out: list[tuple[str, tuple | None, dict]] = []
+        child, dead = self.child, self.dead
+        stack: list[tuple] = []
+        # the container that is open: its path, the ordinals (as a chain of pairs), whether it is an object, its leaves,
+        # how many items it had, and, where it is a wanted leaf itself, whose and where it begins
+        step, at, is_object, leaves, index, held = self.root, None, False, None, 0, None
+        pos = _ws(text, 0).end()
+        first = text[pos]
+        if first not in "{[":
+            m = _scalar(text, pos)
+            end = m.end() if m else scanstring(text, pos + 1)[1] if first == '"' else -1
+            if end < 0 or _ws(text, end).end() != len(text):
+                raise Invalid
+            return []
+        opening, fresh = first, True
+        while True:
+            if opening:  # at an opening bracket, of a container for which step, at and held are set
+                pos += 1
+                is_object = opening == "{"
+                fresh, index = True, 0
+                if is_object:
+                    leaves = {}
+                    if step.kind is not None:
+                        out.append((step.kind, at, leaves))
+                opening = ""
+            closed = False
+            if is_object:
+                m = _member(text, pos)
+                if m is not None:
+                    raw, value, number, literal, end = m.groups()
+                    if step.live and step.kind is not None:
+                        name = step.leaf[raw] if raw in step.leaf else self.leaf(step, raw)
+                        if name is not None:
+                            leaves[name] = value if value is not None else Number(number) if number is not None else LITERAL[literal]
+                    pos = m.end()
+                    fresh = False
+                    if end == ",":
+                        continue
+                    closed = True
+                else:
+                    pos = _ws(text, pos).end()
+                    if text[pos] == "}" and fresh:
+                        pos += 1
+                        closed = True
+                    elif text[pos] != '"':
+                        raise Invalid
+                    else:
+                        raw, pos = scanstring(text, pos + 1)
+                        m = _colon(text, pos)
+                        if m is None:
+                            raise Invalid
+                        pos = m.end()
+                        fresh = False
+                        c = text[pos]
+                        name = None
+                        if step.live and step.kind is not None:
+                            name = step.leaf[raw] if raw in step.leaf else self.leaf(step, raw)
+                        if c in "{[":
+                            below = child(step, raw)
+                            stack.append((step, at, True, leaves, index, held))
+                            held = (leaves, name, pos) if name is not None else None
+                            if step.free and below is not dead and below.live:
+                                at = (at, raw)
+                            if c == "{" and below.live and below is not self.root and not below.free:
+                                if self.every and _free(text, pos):
+                                    below.free = True
+                                else:
+                                    at = (at, 0)
+                            step, opening = below, c
+                            continue
+                        value, pos = self._value(text, pos, c)
+                        if name is not None:
+                            leaves[name] = value
+            else:
+                pos = _ws(text, pos).end()
+                c = text[pos]
+                if c == "]" and fresh:
+                    pos += 1
+                    closed = True
+                elif c in "{[":
+                    fresh = False
+                    stack.append((step, at, False, None, index, held))
+                    held = None
+                    if step.live:
+                        at = (at, index)
+                        if c == "[":
+                            step = child(step, "#")
+                    opening = c
+                    continue
+                else:
+                    fresh = False
+                    value, pos = self._value(text, pos, c)
+                    if self.every and step.live:
+                        kind = child(step, "=").kind
+                        out.append((kind, (at, index), {"=": value}))
+            while True:  # after a value
+                if closed:
+                    if held is not None:
+                        held[0][held[1]] = text[held[2] : pos]
+                    if not stack:
+                        if _ws(text, pos).end() != len(text):
+                            raise Invalid
+                        return [(kind, _flat(chain), found) for kind, chain, found in out]
+                    step, at, is_object, leaves, index, held = stack.pop()
+                m = _after(text, pos)
+                if m is None:
+                    raise Invalid
+                pos = m.end()
+                end = m.group(1)
+                if end == ",":
+                    index += 1
+                    fresh = False
+                    break
+                if end != ("}" if is_object else "]"):
+                    raise Invalid
+                closed = True
+
+    @staticmethod
+    def _value(text: str, pos: int, first: str) -> tuple[str | None, int]:
+        if first == '"':
+            return scanstring(text, pos + 1)
+        m = _scalar(text, pos)
+        if m is None:
+            raise Invalid
+        return (Number(m.group(2)) if m.group(2) is not None else LITERAL[m.group(3)]), m.end()
+
+
+def _flat(chain: tuple | None) -> tuple:
+    out = []
+    while chain is not None:
+        chain, ordinal = chain
+        out.append(ordinal)
+    return tuple(reversed(out))
 
 
 def _text(value: object) -> str | None:
     if value is None:
         return None
-    out = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
-    return out if out.isascii() else out.encode("utf-8", "replace").decode("utf-8")
+    return value if value.isascii() else value.encode("utf-8", "replace").decode("utf-8")
 
 
-def shred(df: DataFrame, id_col: str, json_col: str, tables: list[Nested], wrappers: tuple[str, ...] = ("result",)) -> DataFrame:
-    """Rows ``id_col``, ``kind``, ``parent`` (position or key of the ancestor just above, as text), ``child`` (own
-    position), and, where a table has columns, ``leaves`` (map of column to text)."""
-    keep = any(t.columns for t in tables)
+def shred(df: DataFrame, id_col: str, json_col: str, tables: list[Nested] | None = None, wrappers: tuple[str, ...] = ("result",), free: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``id_col``, ``kind``, ``ordinals`` (of all repeated ancestors and its own, as text), ``parent`` (position or
+    key of the ancestor just above), ``child`` (own position) and, unless the ``tables`` wanted have no columns,
+    ``leaves`` (map of column to text). Without ``tables``, of every table found; its kind is then its path. ``free``:
+    paths whose objects have free keys, whether they are numbers or not."""
+    keep = tables is None or any(t.columns for t in tables)
     id_type = df.schema[id_col].dataType
     arrow_id = pa.int64() if id_type.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
-    fields = [("id", arrow_id), ("kind", pa.string()), ("parent", pa.string()), ("child", pa.int32())] + ([("leaves", pa.map_(pa.string(), pa.string()))] if keep else [])
+    fields = [("id", arrow_id), ("kind", pa.string()), ("ordinals", pa.list_(pa.string())), ("parent", pa.string()), ("child", pa.int32())] + ([("leaves", pa.map_(pa.string(), pa.string()))] if keep else [])
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.set_int_max_str_digits(0)
-        shredder = Shredder(tables, wrappers)
+        shredder = Shredder(tables, wrappers, free)
         for batch in batches:
-            ids, kinds, parents, children, leaves = [], [], [], [], []
+            columns: list[list] = [[] for _ in fields]
+            ids, kinds, places, parents, children = columns[:5]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                record = parse(text)
-                if record is None:
+                try:
+                    found = shredder.rows(text)
+                except Invalid:
                     continue
-                for kind, ordinals, values in shredder.rows(record):
+                for kind, ordinals, values in found:
                     ids.append(key)
                     kinds.append(kind)
-                    parents.append(_text(str(ordinals[-2])) if len(ordinals) > 1 else None)
+                    place = [x if isinstance(x, str) else str(x) for x in ordinals]
+                    places.append(place)
+                    parents.append(_text(place[-2]) if len(place) > 1 else None)
                     children.append(ordinals[-1] if ordinals and isinstance(ordinals[-1], int) else 0)
                     if keep:
-                        leaves.append([(k, _text(v)) for k, v in values.items()])
+                        columns[5].append([(k, _text(v)) for k, v in values.items()])
                 if len(ids) > 50_000:
-                    yield pa.record_batch([pa.array(c, f[1]) for c, f in zip((ids, kinds, parents, children, leaves), fields)], schema=schema)
-                    ids, kinds, parents, children, leaves = [], [], [], [], []
+                    yield pa.record_batch([pa.array(c, f[1]) for c, f in zip(columns, fields)], schema=schema)
+                    for c in columns:
+                        c.clear()
             if ids:
-                yield pa.record_batch([pa.array(c, f[1]) for c, f in zip((ids, kinds, parents, children, leaves), fields)], schema=schema)
+                yield pa.record_batch([pa.array(c, f[1]) for c, f in zip(columns, fields)], schema=schema)
 
     spark_id = "bigint" if arrow_id == pa.int64() else "string"
-    out = f"id {spark_id}, kind string, parent string, child int" + (", leaves map<string,string>" if keep else "")
+    out = f"id {spark_id}, kind string, ordinals array<string>, parent string, child int" + (", leaves map<string,string>" if keep else "")
     narrow = df.select(F.col(id_col).cast(spark_id), json_col).filter(F.col(json_col).isNotNull())
     return narrow.mapInArrow(run, out).withColumnRenamed("id", id_col)
 
@@ -168,23 +349,41 @@ def table_of(rows: DataFrame, id_col: str, nested: Nested) -> DataFrame:
     return rows.filter(F.col("kind") == nested.kind).select(id_col, "parent", "child", *[F.col("leaves")[c].alias(c) for c in nested.columns])
 
 
+def tables_of(rows: DataFrame) -> DataFrame:
+    """The tables found by ``shred``: ``kind``, ``n_rows`` and the sorted names of its ``columns``."""
+    named = rows.select("kind", F.map_keys("leaves").alias("names"))
+    columns = named.select("kind", F.explode("names").alias("name")).distinct().groupBy("kind").agg(F.array_sort(F.collect_list("name")).alias("columns"))
+    return named.groupBy("kind").agg(F.count("*").alias("n_rows")).join(columns, "kind", "left").select("kind", "n_rows", F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))
+
+
 def once(df: DataFrame, id_col: str, order: str) -> DataFrame:
     """One row for each id, the one with the smallest ``order``; ids sent again are rare, so only theirs are ranked.
 
-    Only the ids are shuffled to find those that occur again. Rows with a null id are left out.
+    Only ids are shuffled to find those that occur again; these are broadcast if they are few. Where they are many, all
+    rows are placed by id and ranked, in one shuffle. Rows with a null id are left out.
     """
-    again = df.groupBy(id_col).agg(F.count("*").alias("_n"), F.min(order).alias("_first")).filter("_n > 1")
+    again = cut(df.groupBy(id_col).agg(F.count("*").alias("_n")).filter(f"_n > 1 AND `{id_col}` IS NOT NULL").select(id_col))
     first = Window.partitionBy(id_col).orderBy(order)
-    repeated = df.join(again.select(id_col), id_col, "left_semi").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
-    return df.filter(F.col(id_col).isNotNull()).join(again.select(id_col), id_col, "left_anti").unionByName(repeated)
+    ranked = lambda rows: rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    few = small(again)
+    if few is again:
+        return ranked(df.filter(F.col(id_col).isNotNull()))
+    return df.filter(F.col(id_col).isNotNull()).join(few, id_col, "left_anti").unionByName(ranked(df.join(few, id_col, "left_semi")))
 
 
 def unparsable(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """The ids whose text is not valid JSON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        check = Shredder([], ())
+
+        def bad(text: str | None) -> bool:
+            try:
+                return text is None or check.rows(text) is None
+            except Invalid:
+                return True
+
         for batch in batches:
-            bad = [k for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if parse(t) is None]
-            yield pa.record_batch([pa.array(bad, batch.schema.field(0).type)], names=[id_col])
+            yield pa.record_batch([pa.array([k for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if bad(t)], batch.schema.field(0).type)], names=[id_col])
 
     return df.select(id_col, json_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.nested import Nested, Shredder, parse
+from factloom.operators.nested import Invalid, Nested, Number, Shredder
 
 TOKEN = "struct<i:int,word:string,pos:string,head:int,rel:string,ner:string>"
 # Labels of other dialects and what they are here.
@@ -28,18 +28,18 @@ ARROW_TOKEN = pa.struct([("i", pa.int32()), ("word", pa.string()), ("pos", pa.st
 
 
 def label(rel: object) -> str | None:
-    if not isinstance(rel, str) or not rel.strip():
+    if not isinstance(rel, str) or isinstance(rel, Number) or not rel.strip():
         return None
     low = rel.strip().lower()
     return DIALECT.get(low, low)
 
 
 def _whole(x: object) -> int | None:
-    return x if isinstance(x, int) and not isinstance(x, bool) else None
+    return int(x) if isinstance(x, Number) and len(x) < 10 and x.lstrip("-").isdigit() else None
 
 
 def _string(x: object) -> str | None:
-    return x.encode("utf-8", "replace").decode() if isinstance(x, str) else None
+    return x.encode("utf-8", "replace").decode() if isinstance(x, str) and not isinstance(x, Number) else None
 
 
 def sentences(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -51,17 +51,21 @@ def sentences(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
         for batch in batches:
             ids, sents, tokens = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words: dict[int, list] = {}
-                links: dict[int, dict] = {}
-                for kind, at, leaves in shredder.rows(parse(text)):
+                words: dict[tuple, list] = {}
+                links: dict[tuple, dict] = {}
+                try:
+                    found = shredder.rows(text)
+                except Invalid:
+                    continue
+                for kind, at, leaves in found:
                     if kind == "token":
-                        words.setdefault(at[0], []).append((at[1] + 1, leaves))
+                        words.setdefault(at[:-1], []).append((at[-1] + 1, leaves))
                     elif (d := _whole(leaves.get("dependent"))) is not None:
-                        links.setdefault(at[0], {}).setdefault(d, (_whole(leaves.get("governor")), label(leaves.get("dep"))))
+                        links.setdefault(at[:-1], {}).setdefault(d, (_whole(leaves.get("governor")), label(leaves.get("dep"))))
                 for s, found in words.items():
                     link = links.get(s, {})
                     ids.append(key)
-                    sents.append(s)
+                    sents.append(s[-1])
                     tokens.append([{"i": i, "word": _string(t.get("word", t.get("originalText"))), "pos": _string(t.get("pos")), "head": link.get(i, (None, None))[0], "rel": link.get(i, (None, None))[1], "ner": _string(t.get("ner"))} for i, t in found])
             yield pa.record_batch([pa.array(ids, batch.schema.field(0).type), pa.array(sents, pa.int32()), pa.array(tokens, pa.list_(ARROW_TOKEN))], names=names)
 
