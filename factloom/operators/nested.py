@@ -21,6 +21,8 @@ as its JSON text.
 
 from __future__ import annotations
 
+import gc
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,10 +47,6 @@ class Nested:
     columns: tuple[str, ...] = field(default=())
 
 
-class Number(str):
-    """A number as written, told apart from a text."""
-
-
 class Invalid(ValueError):
     """The text is not valid JSON."""
 
@@ -58,9 +56,12 @@ _PLAIN = r'"([^"\\\x00-\x1f]*)"'
 _SCALAR = rf"(?:{_PLAIN}|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))"
 _ws = re.compile(_SPACE).match
 _member = re.compile(rf"{_SPACE}{_PLAIN}{_SPACE}:{_SPACE}{_SCALAR}{_SPACE}([,}}])").match  # most of a record, in one step
+_bare = r'"[^"\\\x00-\x1f]*"'
+_pair = rf"{_SPACE}{_bare}{_SPACE}:{_SPACE}(?:{_bare}|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null){_SPACE}"
+_leaf_object = re.compile(rf"\{{(?:{_pair},)*+{_pair}\}}").match  # an object that holds leaves only
+_leaves = re.compile(rf"{_PLAIN}{_SPACE}:{_SPACE}(?:{_PLAIN}|([^\s,}}\"]+))").findall  # of an object known to be valid
 _colon = re.compile(rf"{_SPACE}:{_SPACE}").match
 _scalar = re.compile(_SCALAR).match
-_after = re.compile(rf"{_SPACE}([,}}\]])").match
 _free = re.compile(rf'\{{{_SPACE}"[0-9]+"{_SPACE}:').match
 LITERAL = {"true": "true", "false": "false", "null": None}
 
@@ -176,24 +177,40 @@ class Shredder:
             return []
         opening, fresh = first, True
         while True:
+            closed = False
             if opening:  # at an opening bracket, of a container for which step, at and held are set
-                pos += 1
                 is_object = opening == "{"
                 fresh, index = True, 0
                 if is_object:
-                    leaves = {}
-                    if step.kind is not None:
-                        out.append((step.kind, at, leaves))
+                    m = _leaf_object(text, pos)
+                    if m is None:
+                        leaves = {}
+                        if step.kind is not None:
+                            out.append((step.kind, at, leaves))
+                    else:
+                        if step.kind is not None:
+                            names, found = step.leaf, _leaves(text, pos, m.end())
+                            try:
+                                leaves = {names[raw]: value if not other else None if other == "null" else other for raw, value, other in found}
+                            except KeyError:
+                                leaves = {self.leaf(step, raw): value if not other else None if other == "null" else other for raw, value, other in found}
+                            if None in leaves:
+                                del leaves[None]
+                            out.append((step.kind, at, leaves))
+                        pos = m.end() - 1
+                        closed = True
                 opening = ""
-            closed = False
-            if is_object:
+                pos += 1
+            if closed:
+                pass
+            elif is_object:
                 m = _member(text, pos)
                 if m is not None:
                     raw, value, number, literal, end = m.groups()
                     if step.live and step.kind is not None:
                         name = step.leaf[raw] if raw in step.leaf else self.leaf(step, raw)
                         if name is not None:
-                            leaves[name] = value if value is not None else Number(number) if number is not None else LITERAL[literal]
+                            leaves[name] = value if value is not None else number if number is not None else LITERAL[literal]
                     pos = m.end()
                     fresh = False
                     if end == ",":
@@ -234,8 +251,10 @@ class Shredder:
                         if name is not None:
                             leaves[name] = value
             else:
-                pos = _ws(text, pos).end()
                 c = text[pos]
+                if c in " \t\n\r":
+                    pos = _ws(text, pos).end()
+                    c = text[pos]
                 if c == "]" and fresh:
                     pos += 1
                     closed = True
@@ -264,11 +283,11 @@ class Shredder:
                             raise Invalid
                         return [(kind, _flat(chain), found) for kind, chain, found in out]
                     step, at, is_object, leaves, index, held = stack.pop()
-                m = _after(text, pos)
-                if m is None:
-                    raise Invalid
-                pos = m.end()
-                end = m.group(1)
+                end = text[pos]
+                if end in " \t\n\r":
+                    pos = _ws(text, pos).end()
+                    end = text[pos]
+                pos += 1
                 if end == ",":
                     index += 1
                     fresh = False
@@ -284,62 +303,81 @@ class Shredder:
         m = _scalar(text, pos)
         if m is None:
             raise Invalid
-        return (Number(m.group(2)) if m.group(2) is not None else LITERAL[m.group(3)]), m.end()
+        return (m.group(2) if m.group(2) is not None else LITERAL[m.group(3)]), m.end()
 
 
 def _flat(chain: tuple | None) -> tuple:
+    if chain is not None and (chain[0] is None or chain[0][0] is None):  # the usual depths
+        return (chain[1],) if chain[0] is None else (chain[0][1], chain[1])
     out = []
     while chain is not None:
         chain, ordinal = chain
         out.append(ordinal)
-    return tuple(reversed(out))
+    out.reverse()
+    return tuple(out)
+
+
+def _strings(values: list) -> pa.Array:
+    """Texts as a column; half of a surrogate pair becomes a question mark."""
+    try:
+        return pa.array(values, pa.string())
+    except (UnicodeEncodeError, pa.ArrowInvalid):
+        return pa.array([None if v is None else v.encode("utf-8", "replace").decode("utf-8") for v in values], pa.string())
 
 
-def _text(value: object) -> str | None:
-    if value is None:
-        return None
-    return value if value.isascii() else value.encode("utf-8", "replace").decode("utf-8")
+def _lists(sizes: list[int]) -> pa.Array:
+    return pa.array([0, *itertools.accumulate(sizes)], pa.int32())
 
 
-def shred(df: DataFrame, id_col: str, json_col: str, tables: list[Nested] | None = None, wrappers: tuple[str, ...] = ("result",), free: tuple[str, ...] = ()) -> DataFrame:
+def _batch(ids: pa.Array, found: list[tuple[str, tuple, dict]], leaves: bool) -> pa.RecordBatch:
+    kinds, places, values = zip(*found)
+    texts = [[x if x.__class__ is str else str(x) for x in p] for p in places]
+    columns = [
+        ids, pa.array(kinds, pa.string()), pa.ListArray.from_arrays(_lists(map(len, texts)), _strings([x for t in texts for x in t])),
+        _strings([t[-2] if len(t) > 1 else None for t in texts]), pa.array([p[-1] if p and p[-1].__class__ is int else 0 for p in places], pa.int32()),
+    ]
+    names = ["id", "kind", "ordinals", "parent", "child"]
+    if leaves:
+        columns.append(pa.MapArray.from_arrays(_lists(map(len, values)), _strings([k for v in values for k in v]), _strings([x for v in values for x in v.values()])))
+        names.append("leaves")
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def shred(df: DataFrame, id_col: str, json_col: str, tables: list[Nested] | None = None, wrappers: tuple[str, ...] = ("result",), free: tuple[str, ...] = (), leaves: bool = True) -> DataFrame:
     """Rows ``id_col``, ``kind``, ``ordinals`` (of all repeated ancestors and its own, as text), ``parent`` (position or
-    key of the ancestor just above), ``child`` (own position) and, unless the ``tables`` wanted have no columns,
-    ``leaves`` (map of column to text). Without ``tables``, of every table found; its kind is then its path. ``free``:
-    paths whose objects have free keys, whether they are numbers or not."""
-    keep = tables is None or any(t.columns for t in tables)
+    key of the ancestor just above), ``child`` (own position) and, with ``leaves``, their map of column to text. Without
+    ``tables``, rows of every table found; its kind is then its path. ``free``: paths whose objects have free keys,
+    whether they are numbers or not."""
     id_type = df.schema[id_col].dataType
     arrow_id = pa.int64() if id_type.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
-    fields = [("id", arrow_id), ("kind", pa.string()), ("ordinals", pa.list_(pa.string())), ("parent", pa.string()), ("child", pa.int32())] + ([("leaves", pa.map_(pa.string(), pa.string()))] if keep else [])
-    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shredder = Shredder(tables, wrappers, free)
+        gc.disable()  # rows are many and hold no cycles
+        try:
+            yield from shredded(shredder, batches)
+        finally:
+            gc.enable()
+
+    def shredded(shredder: Shredder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in fields]
-            ids, kinds, places, parents, children = columns[:5]
+            ids: list = []
+            rows: list = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     found = shredder.rows(text)
                 except Invalid:
                     continue
-                for kind, ordinals, values in found:
-                    ids.append(key)
-                    kinds.append(kind)
-                    place = [x if isinstance(x, str) else str(x) for x in ordinals]
-                    places.append(place)
-                    parents.append(_text(place[-2]) if len(place) > 1 else None)
-                    children.append(ordinals[-1] if ordinals and isinstance(ordinals[-1], int) else 0)
-                    if keep:
-                        columns[5].append([(k, _text(v)) for k, v in values.items()])
+                ids += [key] * len(found)
+                rows += found
                 if len(ids) > 50_000:
-                    yield pa.record_batch([pa.array(c, f[1]) for c, f in zip(columns, fields)], schema=schema)
-                    for c in columns:
-                        c.clear()
+                    yield _batch(pa.array(ids, arrow_id), rows, leaves)
+                    ids, rows = [], []
             if ids:
-                yield pa.record_batch([pa.array(c, f[1]) for c, f in zip(columns, fields)], schema=schema)
+                yield _batch(pa.array(ids, arrow_id), rows, leaves)
 
     spark_id = "bigint" if arrow_id == pa.int64() else "string"
-    out = f"id {spark_id}, kind string, ordinals array<string>, parent string, child int" + (", leaves map<string,string>" if keep else "")
+    out = f"id {spark_id}, kind string, ordinals array<string>, parent string, child int" + (", leaves map<string,string>" if leaves else "")
     narrow = df.select(F.col(id_col).cast(spark_id), json_col).filter(F.col(json_col).isNotNull())
     return narrow.mapInArrow(run, out).withColumnRenamed("id", id_col)
 

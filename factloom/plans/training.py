@@ -40,14 +40,14 @@ def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.once(table(spark, sf_dir, "annotations").select("ann_id", "payload", "loaded_at"), "ann_id", "loaded_at")
 
 
-def _every_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.shred(_annotations(spark, sf_dir), "ann_id", "payload", free=("corefs",))
+def _every_table(spark: SparkSession, sf_dir: str, leaves: bool = True) -> DataFrame:
+    return nested.shred(_annotations(spark, sf_dir), "ann_id", "payload", free=("corefs",), leaves=leaves)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four kinds among all tables that the payloads turn out to hold."""
     kind = F.create_map(*[F.lit(x) for path, k in KINDS.items() for x in (path, k)])[F.col("kind")]
-    return _every_table(spark, sf_dir).select("ann_id", kind.alias("kind"), "parent", "child").filter("kind IS NOT NULL")
+    return _every_table(spark, sf_dir, leaves=False).select("ann_id", kind.alias("kind"), "parent", "child").filter("kind IS NOT NULL")
 
 
 def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

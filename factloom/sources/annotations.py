@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.nested import Invalid, Nested, Number, Shredder
+from factloom.operators.nested import Invalid, Nested, Shredder
 
 TOKEN = "struct<i:int,word:string,pos:string,head:int,rel:string,ner:string>"
 # Labels of other dialects and what they are here.
@@ -28,18 +28,18 @@ ARROW_TOKEN = pa.struct([("i", pa.int32()), ("word", pa.string()), ("pos", pa.st
 
 
 def label(rel: object) -> str | None:
-    if not isinstance(rel, str) or isinstance(rel, Number) or not rel.strip():
+    if not isinstance(rel, str) or not rel.strip():
         return None
     low = rel.strip().lower()
     return DIALECT.get(low, low)
 
 
-def _whole(x: object) -> int | None:
-    return int(x) if isinstance(x, Number) and len(x) < 10 and x.lstrip("-").isdigit() else None
+def _whole(x: str | None) -> int | None:
+    return int(x) if x and len(x) < 10 and x.isascii() and x.lstrip("-").isdigit() else None
 
 
 def _string(x: object) -> str | None:
-    return x.encode("utf-8", "replace").decode() if isinstance(x, str) and not isinstance(x, Number) else None
+    return x.encode("utf-8", "replace").decode() if isinstance(x, str) else None
 
 
 def sentences(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
