@@ -59,9 +59,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows; else as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small(df: DataFrame, max_rows: int = 200_000, text: str | None = None, max_bytes: int = 1 << 26) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows and, where a column ``text`` of any length is named,
+    at most ``max_bytes`` in it; else ``df`` itself, to be joined by shuffle."""
+    if text is None:
+        fits = df.limit(max_rows + 1).count() <= max_rows
+    else:
+        rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+        fits = rows <= max_rows and size <= max_bytes
+    return F.broadcast(df) if fits else df
 
 
 def spread(df: DataFrame, rows: int, rows_per_task: int = 2_000) -> DataFrame:
