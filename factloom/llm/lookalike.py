@@ -31,18 +31,25 @@ from pyspark.sql import functions as F
 
 from factloom.runtime import cut, join_groups
 
-# Letters that look alike, by script.
-LATIN = "aceopxyijsdhqwABEKMHOPCTXYIJSZN"
-CYRILLIC = {"а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S"}
-GREEK = {"ο": "o", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X"}
+# Letters that look like Latin ones, by script. Letters that differ visibly in text fonts (as Greek small
+# alpha, rho, nu or upsilon, or a dotless i) are left out: a difference that can be seen makes two texts different.
+LATIN = {"ɡ": "g"}
+CYRILLIC = {"а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ә": "ə", "ӕ": "æ", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ӏ": "I", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ѵ": "V", "Ә": "Ə", "Ӕ": "Æ"}
+GREEK = {"ο": "o", "ϲ": "c", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J"}
+ARMENIAN = {"օ": "o", "հ": "h", "ո": "n", "ս": "u", "Օ": "O", "Տ": "S", "Ս": "U"}
+CHEROKEE = {"Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B"}
+LISU = {"ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U"}
 HYPHENS = "\u2010\u2011"
 UNSEEN = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xE0000, 0xE01EF)]
 LINE_ENDS = "\u2028\u2029\x85\x0b\x0c"
-SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
-
-SCRIPTS = ("latin", "cyrillic", "greek")
-BACK = ({}, {v: k for k, v in CYRILLIC.items()}, {v: k for k, v in GREEK.items()})
-TO_CLASS = CYRILLIC | GREEK
+SAME_LOOK = ("<wide>", "<narrow>", "<small>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
+
+SCRIPTS = ("latin", "cyrillic", "greek", "armenian", "cherokee", "lisu")
+ALIKE = (LATIN, CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU)
+COUNT = len(SCRIPTS)
+TO_CLASS = {letter: plain for script in ALIKE for letter, plain in script.items()}
+# how a class is written in each script; of several letters of one class the first listed one
+BACK = ({}, *({plain: letter for letter, plain in reversed(script.items())} for script in ALIKE[1:]))
 WORD = re.compile(r"[^\W\d_]+")
 INSIDE, BETWEEN = 9.0, 4.0  # prices of changing the script, in nats
 
@@ -63,8 +70,9 @@ class _Fold(dict):
         else:
             mapping = unicodedata.decomposition(ch)
             kind = mapping.split(" ", 1)[0] if mapping.startswith("<") else ""
-            ligature = kind == "<compat>" and unicodedata.category(ch)[0] == "L"
-            out = unicodedata.normalize("NFKC", ch) if kind in SAME_LOOK or ligature else ch
+            joined = kind == "<compat>" and unicodedata.category(ch) in ("Ll", "Lu", "Lt", "Lo", "Lm", "Nl")  # ligatures, Roman numerals
+            upright = kind == "<font>" and re.fullmatch(r"MATHEMATICAL (?:SANS-SERIF|MONOSPACE) (?:CAPITAL|SMALL|DIGIT) \w+", unicodedata.name(ch, ""))
+            out = unicodedata.normalize("NFKC", ch) if kind in SAME_LOOK or joined or upright else ch
         self[code] = out
         return out
 
@@ -85,7 +93,7 @@ def folded() -> re.Pattern:
     return re.compile("[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs) + "]")
 
 
-OTHER_SCRIPTS = re.compile("[\u0370-\u052f\u1f00-\u1fff]")  # Greek and Cyrillic
+OTHER_SCRIPTS = re.compile("[\u0261\u0370-\u058f\u13a0-\u13ff\u1f00-\u1fff\ua4d0-\ua4ff]")  # where letters of TO_CLASS stand
 _JOINERS = re.compile("(?:(?<=[\u094d\u09cd\u0a4d\u0acd\u0b4d\u0bcd\u0c4d\u0ccd\u0d4d])|(?<=[\u0620-\u06ff]))[\u200c\u200d]")
 _FARSI = re.compile("[یک]")
 _EDGES = re.compile(r"[ ]+(?=\n)|[ ]+\Z|\A\s+|\s+\Z")
@@ -125,6 +133,37 @@ def visible(text: str) -> str:
     return _EDGES.sub("", text)
 
 
+def _case_classes() -> dict[int, str]:
+    """One small letter for all letters that look alike in either case: H, Greek Eta and Cyrillic En look alike, so h, eta
+    and en count as the same where case and look don't count. Made from TO_CLASS by joining what it and case link."""
+    parent: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while parent.setdefault(c, c) != c:
+            c = parent[c]
+        return c
+
+    for letter, plain in TO_CLASS.items():
+        for a, b in ((letter, letter.lower()), (letter, plain), (plain, plain.lower())):
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    parent[top("ς")] = top("σ")
+    lowest: dict[str, str] = {}
+    for c in sorted(parent):
+        if c == c.lower():
+            lowest.setdefault(top(c), c)
+    return {ord(c): lowest[top(c)] for c in parent if lowest[top(c)] != c}
+
+
+_CASE_CLASSES = _case_classes()
+
+
+def compared(text: str) -> str:
+    """The form in which words are compared regardless of case and of what only looks alike; it depends on nothing but
+    the characters themselves, so equal passages are equal whatever stands around them."""
+    low = visible(text).lower()
+    return low if low.isascii() else low.translate(_CASE_CLASSES)
+
+
 def _base(ch: str) -> str:
     """The class of a letter, without its accents."""
     return ch if ch.isascii() else unicodedata.normalize("NFD", ch)[0]
@@ -136,23 +175,22 @@ _script_cache: dict[str, int] = {}
 def scripts_of(ch: str) -> int:
     """The scripts, as bits, that can write this class; 0 for letters of other scripts."""
     if (known := _script_cache.get(ch)) is None:
-        base, known = _base(ch), 0
-        if base.isascii() and base.isalpha():
-            known = 1 | (base in BACK[1]) << 1 | (base in BACK[2]) << 2
-        else:
-            name = unicodedata.name(base, "")
-            known = 1 if name.startswith("LATIN") else 2 if name.startswith("CYRILLIC") else 4 if name.startswith("GREEK") else 0
+        base = _base(ch)
+        own = unicodedata.name(base, "").split(" ")[0].lower()
+        known = 1 << SCRIPTS.index(own) if own in SCRIPTS else 0
+        if known == 1:
+            known += sum(1 << s for s in range(1, COUNT) if base in BACK[s])
         _script_cache[ch] = known
     return known
 
 
 class Model:
-    """Letter bigrams of each script, by class; the number of bigrams is bounded by the letters of three scripts."""
+    """Letter bigrams of each script, by class; the number of bigrams is bounded by the letters of the scripts."""
 
     def __init__(self, counts: dict[tuple[int, str], int]) -> None:
-        self.logp: list[dict[str, float]] = [{}, {}, {}]
-        self.floor = [math.log(1e-3)] * 3
-        for s in range(3):
+        self.logp: list[dict[str, float]] = [{} for _ in SCRIPTS]
+        self.floor = [math.log(1e-3)] * COUNT
+        for s in range(COUNT):
             own = {pair: n for (script, pair), n in counts.items() if script == s}
             first = Counter()
             for pair, n in own.items():
@@ -161,7 +199,7 @@ class Model:
                 self.logp[s][pair] = math.log(n / (first[pair[0]] + 100.0))
             if own:
                 self.floor[s] = math.log(0.5 / (100.0 + max(first.values())))
-        self.words: dict[str, tuple] = {}
+        self.words: dict[str, tuple | str] = {}
         self.plain: set[str] = set()
 
     def all_plain(self, words: list[str]) -> bool:
@@ -173,8 +211,8 @@ class Model:
             self.plain.clear()
         for w in set(words) - self.plain:
             score = self.word(w)
-            if len(score) == 4:
-                if score[3] != w:
+            if isinstance(score, str):
+                if score != w:
                     return False
             elif score[0] is None or any(x is not None and x > score[0] for x in score[1:]):
                 return False
@@ -184,21 +222,22 @@ class Model:
     def step(self, script: int, before: str, now: str) -> float:
         return self.logp[script].get(before + now, self.floor[script])
 
-    def word(self, word: str) -> tuple:
-        """Scores of the word in each script (None where it can't be written), or the mixed path as a string."""
+    def word(self, word: str) -> tuple | str:
+        """Scores of the word in each script (None where it can't be written), or, as a string, the form of a word that no
+        single script can write."""
         if (known := self.words.get(word)) is None:
-            possible = 7
+            possible = (1 << COUNT) - 1
             for ch in word:
                 if not (s := scripts_of(ch)):
                     possible = -1
                     break
                 possible &= s
             if possible < 0:
-                known = (None, None, None, word)  # a word of another script stays as it is
+                known = word  # a word of another script stays as it is
             elif possible == 0:
-                known = (None, None, None, self.mixed(word))
+                known = self.mixed(word)
             else:
-                known = tuple(sum((self.step(s, a, b) for a, b in zip("^" + word, word + "$")), 0.0) if possible >> s & 1 else None for s in range(3))
+                known = tuple(sum((self.step(s, a, b) for a, b in zip("^" + word, word + "$")), 0.0) if possible >> s & 1 else None for s in range(COUNT))
             if len(self.words) > 200_000:
                 self.words.clear()
             self.words[word] = known
@@ -206,11 +245,11 @@ class Model:
 
     def mixed(self, word: str) -> str:
         """Viterbi over the letters of a word that no single script can write."""
-        best = {s: (0.0, "") for s in range(3)}
+        best = {s: (0.0, "") for s in range(COUNT)}
         before = "^"
         for ch in word:
             now = {}
-            for s in range(3):
+            for s in range(COUNT):
                 if scripts_of(ch) >> s & 1:
                     score, path = max((v - (INSIDE if t != s and path else 0.0), path) for t, (v, path) in best.items())
                     now[s] = (score + self.step(s, before, ch), path + write(ch, s))
@@ -235,12 +274,12 @@ def canonical(text: str | None, model: Model) -> str | None:
         return text
     words = [(m.start(), m.end(), model.word(m.group())) for m in WORD.finditer(text)]
     back: list[list[int]] = []
-    scores = [0.0, 0.0, 0.0]
-    lattice = [w for w in words if len(w[2]) == 3]
+    scores = [0.0] * COUNT
+    lattice = [w for w in words if not isinstance(w[2], str)]
     for _, _, score in lattice:
-        top = max(range(3), key=lambda s: scores[s])
+        top = max(range(COUNT), key=lambda s: scores[s])
         now, frm = [], []
-        for s in range(3):
+        for s in range(COUNT):
             stay, move = scores[s], scores[top] - BETWEEN
             frm.append(s if stay >= move else top)
             now.append(max(stay, move) + score[s] if score[s] is not None else -math.inf)
@@ -249,7 +288,7 @@ def canonical(text: str | None, model: Model) -> str | None:
     if not lattice:
         chosen: list[int] = []
     else:
-        s = max(range(3), key=lambda k: scores[k])
+        s = max(range(COUNT), key=lambda k: scores[k])
         chosen = []
         for frm in reversed(back):
             chosen.append(s)
@@ -257,13 +296,13 @@ def canonical(text: str | None, model: Model) -> str | None:
         chosen.reverse()
     out, at, picks = [], 0, iter(chosen)
     for start, end, score in words:
-        if len(score) == 3:
+        if not isinstance(score, str):
             s = next(picks)
             if s:
                 out += [text[at:start], write(text[start:end], s)]
                 at = end
-        elif score[3] != text[start:end]:
-            out += [text[at:start], score[3]]
+        elif score != text[start:end]:
+            out += [text[at:start], score]
             at = end
     return "".join([*out, text[at:]]) if out else text
 
@@ -278,10 +317,10 @@ def train(df: DataFrame, text: str) -> Model:
 
         def spend() -> None:
             for word, n in words.items():
-                possible = 7
+                possible = (1 << COUNT) - 1
                 for ch in word:
                     possible &= scripts_of(ch)
-                if possible in (1, 2, 4):
+                if possible and not possible & (possible - 1):
                     s = possible.bit_length() - 1
                     for a, b in zip("^" + word, word + "$"):
                         pairs[s, a + b] += n
@@ -325,14 +364,16 @@ def digests(df: DataFrame, id_col: str, text: str, model: Model) -> DataFrame:
 
 def same_look_pairs(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """``<id_col>_a`` < ``<id_col>_b``: rows whose stored texts differ but have the same form. Forms with only one
-    stored text are left out before the join, which pairs rows of different stored texts of one form."""
+    stored text are left out before the join, which pairs rows of different stored texts of one form. A form with many
+    rows is split: each of its parts is paired with all of them in a task of its own. It still has one row for each pair,
+    as asked for; ``same_look_classes`` has one row for each text instead."""
     d = digests(df.filter(F.col(text).isNotNull() & F.col(id_col).isNotNull()), id_col, text, train(df, text))
     d = cut(d)
-    forms = d.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select("form")
-    open_rows = d.join(forms, "form", "left_semi")
+    forms = cut(d.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi"), F.count("*").alias("_n")).filter("lo <> hi").select("form", "_n"))
+    open_rows = cut(join_groups(d, forms, ["form"], "_n"))
     a = open_rows.select("form", F.col(id_col).alias(f"{id_col}_a"), F.col("stored").alias("_sa"))
-    b = open_rows.select("form", F.col(id_col).alias(f"{id_col}_b"), F.col("stored").alias("_sb"))
-    return a.join(b, "form").filter((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("_sa") != F.col("_sb"))).select(f"{id_col}_a", f"{id_col}_b").distinct()
+    b = open_rows.select("form", F.col(id_col).alias(f"{id_col}_b"), F.col("stored").alias("_sb"), "_n")
+    return join_groups(a, b, ["form"], "_n", hot_rows=10_000).filter((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("_sa") != F.col("_sb"))).select(f"{id_col}_a", f"{id_col}_b").distinct()
 
 
 def same_look_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -340,5 +381,5 @@ def same_look_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
     texts of the class), ``n_rows``."""
     d = cut(digests(df.filter(F.col(text).isNotNull() & F.col(id_col).isNotNull()), id_col, text, train(df, text)))
     per = d.groupBy("form", "stored").agg(F.min(id_col).alias("_lo"), F.count("*").alias("_n"))
-    groups = per.groupBy("form").agg(F.min("_lo").alias("class_id"), F.count("*").alias("n_stored"), F.sum("_n").alias("n_rows"))
+    groups = cut(per.groupBy("form").agg(F.min("_lo").alias("class_id"), F.count("*").alias("n_stored"), F.sum("_n").alias("n_rows")))
     return join_groups(d.select(id_col, "form"), groups, ["form"], "n_rows").select(id_col, "class_id", "n_stored", "n_rows")

@@ -50,3 +50,25 @@ def test_window_guarantee():
     _, at = leakage.fingerprints(h, 8, 6)
     assert np.diff(at).max() <= 6 and at[0] <= 5
     assert len(leakage.fingerprints(h[:12], 8, 6)[0]) == 0
+
+
+def test_longest_run_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = [rng.choice("abc") for _ in range(rng.randint(0, 30))]
+        b = [rng.choice("abc") for _ in range(rng.randint(0, 30))]
+        n, x, y = leakage.Runs(b).longest(a)
+        most = max((k for k in range(31) for i in range(len(a) - k + 1) for j in range(len(b) - k + 1) if a[i : i + k] == b[j : j + k]), default=0)
+        assert n == most and a[x : x + n] == b[y : y + n]
+
+
+def test_repetitive_texts_are_linear():
+    words = ["na", "na", "hey"] * 40_000
+    assert leakage.Runs(words[:60_000]).longest(words)[0] == 60_000
+
+
+def test_surroundings_do_not_matter(spark):
+    passage = "ΤΟ ΜΕΓΑΛΟ ΣΠΙΤΙ ΤΗΣ ΠΟΛΗΣ ΕΙΝΑΙ ΚΟΝΤΑ ΣΤΗΝ ΠΑΛΙΑ ΑΓΟΡΑ ΚΑΙ ΤΟ ΛΙΜΑΝΙ"
+    docs = [(1, "the old map and more English words here " + passage), (2, "это русский текст рядом " + passage.lower()), (3, passage)]
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, passage)], "item_id bigint, text string"), "doc_id", "item_id")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3]
