@@ -24,6 +24,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -189,7 +190,7 @@ class Model:
 
     def __init__(self, counts: dict[tuple[int, str], int]) -> None:
         self.logp: list[dict[str, float]] = [{} for _ in SCRIPTS]
-        self.floor = [math.log(1e-3)] * COUNT
+        most = 0
         for s in range(COUNT):
             own = {pair: n for (script, pair), n in counts.items() if script == s}
             first = Counter()
@@ -197,47 +198,39 @@ class Model:
                 first[pair[0]] += n
             for pair, n in own.items():
                 self.logp[s][pair] = math.log(n / (first[pair[0]] + 100.0))
-            if own:
-                self.floor[s] = math.log(0.5 / (100.0 + max(first.values())))
+            most = max(most, max(first.values(), default=0))
+        self.floor = math.log(0.5 / (100.0 + most))  # the same for all scripts: one that is rarely seen is no likelier
         self.words: dict[str, tuple | str] = {}
-        self.plain: set[str] = set()
-
-    def all_plain(self, words: list[str]) -> bool:
-        """Whether every word is of another script, or Latin scores at least as well for it as any other: the best path
-        then never leaves Latin, and the text is its own form."""
-        if self.plain.issuperset(words):
-            return True
-        if len(self.plain) > 500_000:
-            self.plain.clear()
-        for w in set(words) - self.plain:
-            score = self.word(w)
-            if isinstance(score, str):
-                if score != w:
-                    return False
-            elif score[0] is None or any(x is not None and x > score[0] for x in score[1:]):
-                return False
-            self.plain.add(w)
-        return True
+        self.changed: set[str] = set()
+        self.gains = [_Gains(self, s) for s in range(COUNT)]
+        self.written = [_Written(self, s) for s in range(COUNT)]
+
+    def one_script(self, words: list[str]) -> int | None:
+        """The script in which the best path writes all words, where that is seen without a search: a stretch of words in
+        other scripts costs BETWEEN at least, so none is on the best path if no stretch gains as much by its words."""
+        for s, gains in enumerate(self.gains):
+            if len(gains) > 500_000:
+                gains.clear()
+            gain = np.fromiter(map(gains.__getitem__, words), float, len(words))
+            if gain.max(initial=0.0) >= BETWEEN:
+                continue
+            sums = np.cumsum(gain)
+            if (sums - np.minimum.accumulate(np.minimum(sums - gain, 0.0))).max(initial=0.0) < BETWEEN:
+                return s
+        return None
 
     def step(self, script: int, before: str, now: str) -> float:
-        return self.logp[script].get(before + now, self.floor[script])
+        return self.logp[script].get(before + now, self.floor)
 
     def word(self, word: str) -> tuple | str:
-        """Scores of the word in each script (None where it can't be written), or, as a string, the form of a word that no
-        single script can write."""
+        """The scripts that can write the word, each with its score, or, as a string, the form of a word that no single script
+        can write."""
         if (known := self.words.get(word)) is None:
-            possible = (1 << COUNT) - 1
-            for ch in word:
-                if not (s := scripts_of(ch)):
-                    possible = -1
-                    break
-                possible &= s
-            if possible < 0:
-                known = word  # a word of another script stays as it is
-            elif possible == 0:
-                known = self.mixed(word)
+            bits = possible(word)
+            if not bits:  # a word with letters of other scripts stays as it is
+                known = self.mixed(word) if all(map(scripts_of, word)) else word
             else:
-                known = tuple(sum((self.step(s, a, b) for a, b in zip("^" + word, word + "$")), 0.0) if possible >> s & 1 else None for s in range(COUNT))
+                known = tuple((s, sum((self.step(s, a, b) for a, b in zip("^" + word, word + "$")), 0.0)) for s in range(COUNT) if bits >> s & 1)
             if len(self.words) > 200_000:
                 self.words.clear()
             self.words[word] = known
@@ -257,6 +250,38 @@ class Model:
         return max(best.values())[1]
 
 
+class _Gains(dict):
+    """For a word, what the best other script scores above this one: very much where this one can't write it, very little
+    where no other can, 0 for a word that is the same in all paths."""
+
+    def __init__(self, model: Model, script: int) -> None:
+        self.model, self.script = model, script
+
+    def __missing__(self, word: str) -> float:
+        score = self.model.word(word)
+        if isinstance(score, str):
+            out = 0.0
+            if score != word:
+                self.model.changed.add(word)
+        else:
+            own = dict(score).get(self.script)
+            out = 1e6 if own is None else max((x for s, x in score if s != self.script), default=own - 1e4) - own
+        self[word] = out
+        return out
+
+
+class _Written(dict):
+    """A word as written in this script."""
+
+    def __init__(self, model: Model, script: int) -> None:
+        self.model, self.script = model, script
+
+    def __missing__(self, word: str) -> str:
+        score = self.model.word(word)
+        self[word] = out = score if isinstance(score, str) else write(word, self.script)
+        return out
+
+
 def write(text: str, script: int) -> str:
     """Classes written in a script."""
     if script == 0:
@@ -270,29 +295,37 @@ def canonical(text: str | None, model: Model) -> str | None:
     if text is None:
         return None
     text = visible(text)
-    if model.all_plain(WORD.findall(text)):
+    found = WORD.findall(text)
+    s = model.one_script(found)
+    if s == 0 and model.changed.isdisjoint(found):
         return text
+    if s is not None:
+        written = model.written[s]
+        if len(written) > 500_000:
+            written.clear()
+        return WORD.sub(lambda m: written[m.group()], text)
     words = [(m.start(), m.end(), model.word(m.group())) for m in WORD.finditer(text)]
+    lattice = [w[2] for w in words if not isinstance(w[2], str)]
+    live = sorted({s for score in lattice for s, _ in score})  # no path leads through a script that can write no word
+    place = {s: k for k, s in enumerate(live)}
     back: list[list[int]] = []
-    scores = [0.0] * COUNT
-    lattice = [w for w in words if not isinstance(w[2], str)]
-    for _, _, score in lattice:
-        top = max(range(COUNT), key=lambda s: scores[s])
-        now, frm = [], []
-        for s in range(COUNT):
-            stay, move = scores[s], scores[top] - BETWEEN
-            frm.append(s if stay >= move else top)
-            now.append(max(stay, move) + score[s] if score[s] is not None else -math.inf)
+    scores = [0.0] * len(live)
+    every = range(len(live))
+    for score in lattice:
+        best = max(scores)
+        top, move = scores.index(best), best - BETWEEN
+        now, frm = [-math.inf] * len(live), [k if scores[k] >= move else top for k in every]
+        for s, x in score:
+            k = place[s]
+            now[k] = max(scores[k], move) + x
         scores = now
         back.append(frm)
-    if not lattice:
-        chosen: list[int] = []
-    else:
-        s = max(range(COUNT), key=lambda k: scores[k])
-        chosen = []
+    chosen: list[int] = []
+    if lattice:
+        k = scores.index(max(scores))
         for frm in reversed(back):
-            chosen.append(s)
-            s = frm[s]
+            chosen.append(live[k])
+            k = frm[k]
         chosen.reverse()
     out, at, picks = [], 0, iter(chosen)
     for start, end, score in words:
@@ -307,32 +340,54 @@ def canonical(text: str | None, model: Model) -> str | None:
     return "".join([*out, text[at:]]) if out else text
 
 
-def train(df: DataFrame, text: str) -> Model:
-    """Bigrams from all words of the corpus that one script alone can write. Tasks count, the driver gets only the sums:
-    at most one for each pair of letters of a script."""
+def possible(word: str) -> int:
+    """The scripts, as bits, that can write the whole word."""
+    out = (1 << COUNT) - 1
+    for ch in word:
+        out &= scripts_of(ch)
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: Counter = Counter()
-        words: Counter = Counter()
-
-        def spend() -> None:
-            for word, n in words.items():
-                possible = (1 << COUNT) - 1
-                for ch in word:
-                    possible &= scripts_of(ch)
-                if possible and not possible & (possible - 1):
-                    s = possible.bit_length() - 1
+
+class _Possible(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = out = possible(word)
+        return out
+
+
+def script_counts(texts: Iterator[str]) -> Counter:
+    """Letter pairs by script. Words that one script alone can write count for it; in a text in which only one script has
+    such words, all words that it can write."""
+    known = _Possible()
+    words: list[Counter] = [Counter() for _ in range(COUNT + 1)]
+    pairs: Counter = Counter()
+
+    def spend() -> None:
+        for script, held in enumerate(words):
+            for word, n in held.items():
+                p = known[word]
+                s = script if script < COUNT and p >> script & 1 else p.bit_length() - 1 if p and not p & (p - 1) else None
+                if s is not None:
                     for a, b in zip("^" + word, word + "$"):
                         pairs[s, a + b] += n
-            words.clear()
+            held.clear()
+        known.clear()
 
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    words.update(WORD.findall(visible(t)))
-            if len(words) > 200_000:
-                spend()
-        spend()
+    for text in texts:
+        found = WORD.findall(visible(text))
+        only = {p for p in set(map(known.__getitem__, found)) if p and not p & (p - 1)}
+        words[only.pop().bit_length() - 1 if len(only) == 1 else COUNT].update(found)
+        if len(known) > 200_000:
+            spend()
+    spend()
+    return pairs
+
+
+def train(df: DataFrame, text: str) -> Model:
+    """Letter bigrams of each script from the whole corpus. Tasks count, the driver gets only the sums: at most one for each
+    pair of letters of a script."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = script_counts(t for batch in batches for t in batch.column(0).to_pylist() if t)
         yield pa.record_batch([pa.array([k[0] for k in pairs], pa.int32()), pa.array([k[1] for k in pairs], pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["script", "pair", "n"])
 
     summed = df.select(text).mapInArrow(count, "script int, pair string, n bigint").groupBy("script", "pair").agg(F.sum("n").alias("n"))
