@@ -1,20 +1,22 @@
 """Mapping free-entered values to a reference list.
 
-1. Distinct values are normalized: one visible form, no markup, possessives, titles, case or accents; short forms spelled
-   out.
-2. Every entry of the list has the forms in which it may be named (a person's surname, initial and inverted name, a title
-   without its article, ...). Character 2- and 3-grams of all forms make an inverted index with idf weights.
-3. For each value the cosine with every form that shares a gram is summed over the postings; forms above ``threshold``
-   are its candidates.
-4. A candidate is accepted if at most ``max_edits`` slips (insertion, deletion, change, swap of neighbours) lead from the
-   value to the form, spaces ignored, and if it is nearer than any form of another entry, or as near and better in
-   cosine by ``margin``. All other values are reported as naming no entry.
-
-The index is broadcast only if the list has at most ``index_rows`` entries; above that, values and forms are joined by
-their grams, with the same scores. No candidate is dropped by number.
+1. Distinct values are normalized: one visible form, no markup, possessives, titles, case or accents; common short forms
+   spelled out.
+2. Every entry of the list has the forms in which it may be named: its label, with and without article, with the first or
+   last word as an initial and, for a person, the last name alone. Character 2- and 3-grams of the words of all forms make an inverted
+   index with idf weights; the order of words doesn't count.
+3. For each value the cosine with every form that shares a gram is summed over the postings touched. Accepted are the
+   entries with a form whose cosine is at least ``threshold`` and that no other form beats by ``margin``.
+4. An exact check follows: of the accepted entries, those count from one of whose forms at most ``max_edits`` slips
+   (insertion, deletion, change, swap of neighbours) lead to the value, spaces ignored, words rotated if need be. The one
+   with the fewest slips is named; if two have as few, or none passes, the value is reported as naming no entry.
+
+The index is broadcast only if the list has at most ``index_rows`` entries with at most 16 MB of labels; above that,
+values and forms are joined by the grams of the values' prefixes (what is left out can't reach the threshold), with the
+same scores and the same choice. No candidate is dropped by number.
 
 Defined results: null and empty values, and values without letters, name no entry; entries with null uri or label are
-left out; of entries with equal labels none is named (no margin); equal values get equal results.
+left out; of entries with equal labels none is named; equal values get equal results.
 """
 
 from __future__ import annotations
@@ -28,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.lookalike import visible
-from factloom.runtime import cut, join_groups, spread
+from factloom.runtime import cut, join_groups, small, spread
 
 NIL = "_NIL_"
-# Short forms, titles, and words that name nothing.
+# Common English short forms, titles, and words that name nothing.
 SPELLED = {"univ": "university", "uni": "university", "inst": "institute", "soc": "society", "mus": "museum", "st": "saint", "obs": "observatory", "co": "company", "bros": "brothers", "philh": "philharmonic", "phil": "philharmonic", "ss": "steamship", "riv": "river"}
 TITLES = frozenset("prof dr mr mrs ms rev gen capt sir lady".split())
 NOTHING = frozenset("he him his she her hers it its they them their theirs who which that this these those i me my we us our you your none null nil unknown na nan nobody someone something anyone illegible".split())
@@ -70,15 +72,12 @@ def forms(label: str, kind: str | None) -> list[tuple[str, int]]:
     words = base.split()
     out = {base: 0}
     if visible(label).lower().startswith("the "):
-        out |= {"the " + base: 0}
-    if kind == "PERSON" and len(words) > 1:
-        first, last = words[0], words[-1]
-        out |= {f"{last} {' '.join(words[:-1])}": 0, f"{first[0]} {last}": 1, f"{last} {first[0]}": 1, last: 1}
-    if len(words) > 1 and words[-1] == "river":
-        name = " ".join(words[:-1])
-        out |= {f"river {name}": 0, f"r {name} river": 1, f"r {name}": 1}
-    if words[0] == "royal" and len(words) > 1:
-        out |= {"r " + " ".join(words[1:]): 1}
+        out["the " + base] = 0
+    if len(words) > 1:
+        out.setdefault(" ".join([words[0][0], *words[1:]]), 1)
+        out.setdefault(" ".join([*words[:-1], words[-1][0]]), 1)
+        if kind == "PERSON":
+            out.setdefault(words[-1], 1)
     return list(out.items())
 
 
@@ -127,19 +126,39 @@ def slips(a: str, b: str, most: int) -> int:
     return min(d[la + 1][lb + 1], most + 1)
 
 
+def allowed(form: str, max_edits: int) -> int:
+    """Short forms may differ less."""
+    return max_edits if len(form) >= 8 else min(1, max_edits) if len(form) >= 6 else 0
+
+
+def checked(value: str, form: str, short: int, max_edits: int) -> int | None:
+    """The exact check: the slips from the value to the form (with its words in the order given or rotated) and its
+    shortness, or None if there are too many."""
+    flat, words = value.replace(" ", ""), form.split()
+    most = allowed("".join(words), max_edits) - short
+    if most < 0:
+        return None
+    best = most + 1
+    for k in range(len(words)):
+        turned = "".join(words[k:] + words[:k])
+        best = min(best, slips(flat, turned, best - 1)) if best else 0
+    return best + short if best <= most else None
+
+
 class Index:
     """Inverted index of the entries' forms."""
 
     def __init__(self, entries: list[tuple[str, str, str | None]]) -> None:
-        self.form: list[str] = []
-        self.entry: list[str] = []
-        self.short: list[int] = []
+        found: dict[tuple[str, str], int] = {}
         for uri, label, kind in entries:
             for f, short in forms(label, kind):
-                self.form.append(f)
-                self.entry.append(uri)
-                self.short.append(short)
-        self.flat = [f.replace(" ", "") for f in self.form]
+                found[uri, f] = min(short, found.get((uri, f), short))
+        self.entry = [uri for uri, _ in found]
+        self.form = [f for _, f in found]
+        self.short = list(found.values())
+        self.forms: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        for (uri, f), short in found.items():
+            self.forms[uri].append((f, short))
         held = [grams(f) for f in self.form]
         df = Counter(g for h in held for g in h)
         self.idf = {g: math.log(1 + len(held) / n) for g, n in df.items()}
@@ -151,119 +170,135 @@ class Index:
                 lists[g][0].append(i)
                 lists[g][1].append(n * self.idf[g] / norm)
         self.postings = {g: (np.array(i, np.int32), np.array(w)) for g, (i, w) in lists.items()}
-        self.exact: dict[str, set] = defaultdict(set)
-        for f, e, short in zip(self.flat, self.entry, self.short):
-            if not short:
-                self.exact[f].add(e)
-
-    def candidates(self, value: str, threshold: float) -> list[tuple[int, float]]:
-        x = grams(value)
-        weights = {g: n * self.idf.get(g, self.unseen) for g, n in x.items()}
+
+    def accepted(self, value: str, threshold: float, margin: float) -> list[tuple[int, float]]:
+        """Forms above the threshold that none beats by the margin."""
+        weights = {g: n * self.idf.get(g, self.unseen) for g, n in grams(value).items()}
         norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
-        ids, scores = [], []
-        for g, w in weights.items():
-            if (p := self.postings.get(g)) is not None:
-                ids.append(p[0])
-                scores.append(p[1] * (w / norm))
-        if not ids:
+        touched = [(p, w / norm) for g, w in weights.items() if (p := self.postings.get(g)) is not None]
+        if not touched:
             return []
-        total = np.bincount(np.concatenate(ids), np.concatenate(scores), len(self.form))
-        return [(int(i), float(total[i])) for i in np.flatnonzero(total >= threshold)]
-
-
-def allowed(form: str, max_edits: int) -> int:
-    """Short forms may differ less."""
-    return max_edits if len(form) >= 8 else min(1, max_edits) if len(form) >= 6 else 0
-
-
-def choose(value: str, found: list[tuple[str, str, int, float]], max_edits: int, margin: float) -> tuple[str, int, float]:
-    """The entry named by the value among (entry, form, shortness, cosine), the slips and the cosine; NIL if none or no
-    margin."""
-    flat = value.replace(" ", "")
-    best: dict[str, tuple[int, float]] = {}
-    for entry, form, short, cosine in found:
-        d = slips(flat, form, allowed(form, max_edits)) + short
-        if d <= allowed(form, max_edits):
-            now = (d, -cosine)
-            if entry not in best or now < best[entry]:
-                best[entry] = now
-    order = sorted((d, c, e) for e, (d, c) in best.items())
-    if not order:
-        return NIL, -1, 0.0
-    if len(order) > 1 and order[1][0] == order[0][0] and order[1][1] - order[0][1] < margin:
-        return NIL, order[0][0], -order[0][1]
-    return order[0][2], order[0][0], -order[0][1]
+        ids = np.concatenate([p[0] for p, _ in touched])
+        scores = np.concatenate([p[1] * w for p, w in touched])
+        if 4 * len(ids) < len(self.form):  # few postings of a long list
+            where, back = np.unique(ids, return_inverse=True)
+            total = np.bincount(back, scores)
+        else:
+            where, total = None, np.bincount(ids, scores, len(self.form))
+        near = np.flatnonzero(total >= max(threshold, total.max() - margin))
+        return [(int(i if where is None else where[i]), float(total[i])) for i in near]
+
+    def choose(self, value: str, threshold: float, margin: float, max_edits: int) -> tuple[str, int, float]:
+        """The entry named by a normalized value, the slips and the cosine; NIL if there is none, or no single one."""
+        cosines: dict[str, float] = {}
+        for i, c in self.accepted(value, threshold, margin):
+            cosines[self.entry[i]] = max(c, cosines.get(self.entry[i], 0.0))
+        best = {}
+        for e in cosines:
+            found = [d for f, short in self.forms[e] if (d := checked(value, f, short, max_edits)) is not None]
+            if found:
+                best[e] = min(found)
+        if not best:
+            return NIL, -1, 0.0
+        least = min(best.values())
+        names = [e for e, d in best.items() if d == least]
+        return (names[0] if len(names) == 1 else NIL), least, max(cosines[e] for e in names)
 
 
 def distinct_values(df: DataFrame, value: Column) -> DataFrame:
     return df.select(value.alias("value")).filter("value IS NOT NULL AND value <> ''").groupBy("value").agg(F.count("*").alias("n_rows"))
 
 
-def map_values(values: DataFrame, entries: DataFrame, threshold: float = 0.25, margin: float = 0.05, max_edits: int = 2, index_rows: int = 200_000) -> DataFrame:
+def map_values(values: DataFrame, entries: DataFrame, threshold: float = 0.25, margin: float = 0.05, max_edits: int = 2, index_rows: int = 50_000) -> DataFrame:
     """``value``, ``uri`` (or NIL), ``edits``, ``score`` for every distinct value of ``values``; ``entries`` has ``uri``,
     ``label`` and ``ne_type``."""
     listed = entries.select("uri", "label", "ne_type").dropna(subset=["uri", "label"]).distinct()
-    out = "value string, uri string, edits int, score double"
-    if listed.limit(index_rows + 1).count() <= index_rows:
-        index = values.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in listed.orderBy("uri", "label").collect()]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            for batch in batches:
-                rows = []
-                for v in batch.column(0).to_pylist():
-                    name = normal(v)
-                    same = ix.exact.get(name.replace(" ", "")) if name else None
-                    if same and len(same) == 1:
-                        rows.append((v, next(iter(same)), 0, 1.0))
-                    elif name:
-                        near = [(ix.entry[i], ix.flat[i], ix.short[i], c) for i, c in ix.candidates(name, threshold)]
-                        rows.append((v, *choose(name, near, max_edits, margin)))
-                    else:
-                        rows.append((v, NIL, -1, 0.0))
-                cols = [*zip(*rows)] or [()] * 4
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.float64()))], names=["value", "uri", "edits", "score"])
-
-        held = cut(values.select("value"))
-        return spread(held, held.count()).mapInArrow(run, out)
-    return _map_joined(values, listed, threshold, margin, max_edits, out)
-
-
-def _map_joined(values: DataFrame, listed: DataFrame, threshold: float, margin: float, max_edits: int, out: str) -> DataFrame:
-    """The same by a join of grams, for lists too long to broadcast."""
-
-    @F.udf("string")
-    def norm_of(v: str | None) -> str:
-        return normal(v)
-
-    @F.udf("array<struct<form:string,short:int>>")
-    def forms_of(label: str, kind: str | None) -> list[tuple[str, int]]:
-        return forms(label, kind)
-
-    @F.udf("map<string,int>")
-    def grams_of(form: str) -> dict[str, int]:
-        return dict(grams(form))
-
-    f = cut(listed.select("uri", F.explode(forms_of("label", "ne_type")).alias("f")).select("uri", "f.form", "f.short").distinct())
-    fg = f.select("uri", "form", "short", F.explode(grams_of("form")).alias("g", "n"))
-    total = f.count()
-    idf = fg.groupBy("g").agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("idf"))
-    weighed = fg.join(idf, "g").withColumn("w", F.col("n") * F.col("idf"))
-    norms = weighed.groupBy("uri", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    posting = weighed.join(norms, ["uri", "form"]).select("g", "uri", "form", "short", (F.col("w") / F.col("norm")).alias("pw"))
-    named = cut(values.select("value", norm_of("value").alias("name")))
-    v = named.select("name").distinct().filter("name <> ''")
-    vg = v.select("name", F.explode(grams_of("name")).alias("g", "n")).join(idf, "g", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(math.log(1 + total))))
-    vn = vg.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vnorm"))
-    scored = vg.join(posting, "g").groupBy("name", "uri", "form", "short").agg(F.sum(F.col("w") * F.col("pw")).alias("dot")).join(vn, "name").select("name", "uri", "short", F.replace("form", F.lit(" "), F.lit("")).alias("form"), (F.col("dot") / F.col("vnorm")).alias("c")).filter(F.col("c") >= threshold)
-
-    @F.udf("struct<uri:string,edits:int,score:double>")
-    def pick(name: str, found: list) -> tuple:
-        return choose(name, [(r.uri, r.form, r.short, r.c) for r in found], max_edits, margin)
-
-    picked = scored.groupBy("name").agg(F.collect_list(F.struct("uri", "form", "short", "c")).alias("found")).select("name", pick("name", "found").alias("p"))
-    done = named.join(picked, "name", "left")
-    return done.select("value", F.coalesce("p.uri", F.lit(NIL)).alias("uri"), F.coalesce("p.edits", F.lit(-1)).alias("edits"), F.coalesce("p.score", F.lit(0.0)).alias("score"))
+    rows, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("label") + F.octet_length("uri")), F.lit(0))).first()
+    if rows > index_rows or size > 1 << 24:
+        return _map_joined(values, listed, threshold, margin, max_edits)
+    index = values.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in listed.orderBy("uri", "label", "ne_type").collect()]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = index.value
+        for batch in batches:
+            given = batch.column(0).to_pylist()
+            found = [ix.choose(name, threshold, margin, max_edits) if (name := normal(v)) else (NIL, -1, 0.0) for v in given]
+            yield _mapped(given, found)
+
+    held = cut(values.select("value"))
+    return spread(held, held.count()).mapInArrow(run, MAPPED)
+
+
+MAPPED = "value string, uri string, edits int, score double"
+
+
+def _mapped(given: list[str], found: list[tuple[str, int, float]]) -> pa.RecordBatch:
+    uri, edits, score = zip(*found) if found else ((), (), ())
+    return pa.record_batch([pa.array(given, pa.string()), pa.array(uri, pa.string()), pa.array(edits, pa.int32()), pa.array(score, pa.float64())], names=["value", "uri", "edits", "score"])
+
+
+def _gram_maps(texts: list[str]) -> pa.Array:
+    return pa.array([list(grams(t).items()) for t in texts], pa.map_(pa.string(), pa.int32()))
+
+
+def _map_joined(values: DataFrame, listed: DataFrame, threshold: float, margin: float, max_edits: int) -> DataFrame:
+    """The same by joins, for lists too long to broadcast."""
+
+    def entry_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(uri, f, short) for uri, label, kind in zip(*(c.to_pylist() for c in batch.columns)) for f, short in forms(label, kind)]
+            uris, texts, shorts = zip(*rows) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(uris, pa.string()), pa.array(texts, pa.string()), pa.array(shorts, pa.int32())], names=["uri", "form", "short"])
+
+    def with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _gram_maps(batch.column(0).to_pylist())], [*batch.schema.names, "grams"])
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([normal(v) for v in batch.column(0).to_pylist()], pa.string())], names=["value", "name"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = [checked(n, f, s, max_edits) for n, f, s in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.int32())], [*batch.schema.names, "edits"])
+
+    form = cut(listed.mapInArrow(entry_forms, "uri string, form string, short int").groupBy("uri", "form").agg(F.min("short").alias("short")))
+    total = form.count()
+    text = form.groupBy("form").agg(F.count("*").alias("n_entries")).mapInArrow(with_grams, "form string, n_entries bigint, grams map<string,int>")
+    text = cut(text)
+    idf = cut(text.select(F.explode("grams").alias("g", "n"), "n_entries").groupBy("g").agg(F.log(1 + F.lit(float(total)) / F.sum("n_entries")).alias("idf")))
+    norm = lambda w: F.sqrt(F.sum(F.col(w) * F.col(w)))
+
+    def weighed(df: DataFrame, key: str, unseen: float | None) -> DataFrame:
+        """``key``, ``g`` and its share ``w`` in the unit vector of ``key``."""
+        rows = df.select(key, F.explode("grams").alias("g", "n"))
+        rows = rows.join(small(idf), "g", "left" if unseen else "inner").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unseen)))
+        return rows.join(rows.groupBy(key).agg(norm("w").alias("_norm")), key).select(key, "g", (F.col("w") / F.col("_norm")).alias("w"))
+
+    named = cut(values.select("value").mapInArrow(names, "value string, name string"))
+    distinct = named.select("name").distinct().filter("name <> ''").mapInArrow(with_grams, "name string, grams map<string,int>")
+    vectors = cut(weighed(distinct, "name", math.log(1 + total)))
+    # A form that shares only the last of a value's grams, in order of weight, has a cosine of at most their norm.
+    rest = Window.partitionBy("name").orderBy(F.col("w"), "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prefix = cut(vectors.withColumn("_rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).filter(F.col("_rest") >= threshold * (1 - 1e-9)).select("name", "g"))
+    posting = cut(weighed(text, "form", None))
+    sizes = prefix.groupBy("g").agg(F.count("*").alias("_n"))
+    pairs = join_groups(prefix, cut(posting.select("form", "g").join(sizes, "g")), ["g"], "_n").select("name", "form").distinct()
+    unit = lambda df, key, out: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias(out))  # noqa: E731  # of one short text
+    both = pairs.join(unit(vectors, "name", "_v"), "name").join(unit(posting, "form", "_f"), "form")
+    dot = F.aggregate(F.map_entries("_v"), F.lit(0.0), lambda at, x: at + x["value"] * F.coalesce(F.try_element_at("_f", x["key"]), F.lit(0.0)))
+    scored = cut(both.select("name", "form", dot.alias("score")).filter(F.col("score") >= threshold))
+    top = scored.groupBy("name").agg(F.max("score").alias("_top"))
+    near = scored.join(top, "name").filter(F.col("score") >= F.col("_top") - margin)
+    accepted = near.join(form.select("form", "uri"), "form").groupBy("name", "uri").agg(F.max("score").alias("score"))
+    entry = accepted.join(form, "uri").select("name", "form", "short", "uri", "score")
+    passed = entry.mapInArrow(check, "name string, form string, short int, uri string, score double, edits int").filter("edits IS NOT NULL")
+    per = cut(passed.groupBy("name", "uri").agg(F.min("edits").alias("edits"), F.max("score").alias("score")))
+    least = per.groupBy("name").agg(F.min("edits").alias("edits"))
+    chosen = per.join(least, ["name", "edits"]).groupBy("name", "edits").agg(F.count("*").alias("_n"), F.min("uri").alias("uri"), F.max("score").alias("score"))
+    done = named.join(chosen, "name", "left")
+    return done.select("value", F.when(F.col("_n") == 1, F.col("uri")).otherwise(NIL).alias("uri"), F.coalesce("edits", F.lit(-1)).alias("edits"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def link(df: DataFrame, id_col: str, value: Column, entries: DataFrame, **options: float) -> DataFrame:

@@ -48,3 +48,19 @@ def test_slips_against_search():
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(2))
         exact = 0 if a == b else next((n for n in (1, 2) if b in near(a, n)), 3)
         assert min(en.slips(a, b, 2), 3) == exact
+
+
+def test_both_arms_choose_alike(spark):
+    rng = random.Random(8)
+    syllables = "mor lon kus vel pom rit sab nuk dul gek fir tan".split()
+    labels = [" ".join("".join(rng.choice(syllables) for _ in range(3)).title() for _ in range(rng.randint(1, 3))) for _ in range(80)]
+    rows = [(f"u{i}", x, rng.choice(["PERSON", None])) for i, x in enumerate(labels)] + [("u1", labels[0] + " " + labels[1], "PERSON"), ("u2", labels[2], None)]
+    things = spark.createDataFrame(rows, "uri string, label string, ne_type string")
+
+    def typed(x):
+        k = rng.randrange(len(x))
+        return rng.choice([x, x.upper(), x[:k] + x[k + 1 :], x[:k] + "x" + x[k:], " ".join(reversed(x.split())), x[0] + ". " + x.split()[-1], x[: k + 3]])
+
+    values = spark.createDataFrame([(v,) for v in sorted({typed(rng.choice(labels)) for _ in range(300)})], "value string")
+    arms = [sorted((r.value, r.uri, r.edits, round(r.score, 9)) for r in en.map_values(values, things, index_rows=n).collect()) for n in (10**6, 0)]
+    assert arms[0] == arms[1] and sum(r[1] != en.NIL for r in arms[0]) > 150
