@@ -98,7 +98,19 @@ def slips(a: str, b: str, most: int) -> int:
     if a == b:
         return 0
     la, lb = len(a), len(b)
-    if abs(la - lb) > most or len(set(a) ^ set(b)) > 2 * most:
+    if abs(la - lb) > most:
+        return most + 1
+    same, least = 0, min(la, lb)
+    while same < least and a[same] == b[same]:  # what both begin and end with costs nothing
+        same += 1
+    tail = 0
+    while tail < least - same and a[la - 1 - tail] == b[lb - 1 - tail]:
+        tail += 1
+    a, b = a[same : la - tail], b[same : lb - tail]
+    la, lb = len(a), len(b)
+    if not la or not lb:
+        return la or lb
+    if len(set(a) ^ set(b)) > 2 * most:
         return most + 1
     top = la + lb
     where: dict[str, int] = {}
@@ -131,18 +143,48 @@ def allowed(form: str, max_edits: int) -> int:
     return max_edits if len(form) >= 8 else min(1, max_edits) if len(form) >= 6 else 0
 
 
-def checked(value: str, form: str, short: int, max_edits: int) -> int | None:
-    """The exact check: the slips from the value to the form (with its words in the order given or rotated) and its
-    shortness, or None if there are too many."""
-    flat, words = value.replace(" ", ""), form.split()
-    most = allowed("".join(words), max_edits) - short
-    if most < 0:
-        return None
-    best = most + 1
-    for k in range(len(words)):
-        turned = "".join(words[k:] + words[:k])
-        best = min(best, slips(flat, turned, best - 1)) if best else 0
-    return best + short if best <= most else None
+def letters(flat: str) -> int:
+    """Which letters a text has, as bits: one slip changes two of them at most."""
+    out = 0
+    for c in flat:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+class Form:
+    """What the exact check needs of a form."""
+
+    __slots__ = ("turned", "bits", "most")
+
+    def __init__(self, form: str, short: int, max_edits: int) -> None:
+        words = form.split()
+        self.turned = list(dict.fromkeys("".join(words[k:] + words[:k]) for k in range(len(words))))
+        self.bits = letters(self.turned[0])
+        self.most = allowed(self.turned[0], max_edits) - short
+
+
+def checked(flat: str, bits: int, form: Form, most: int) -> int:
+    """The exact check: the slips from the value (its spaces left out; ``bits``: its letters) to the form, with its words
+    in the order given or rotated; ``most`` + 1 if there are more than ``most``, or than the form allows."""
+    limit = min(most, form.most)
+    if limit < 0 or abs(len(flat) - len(form.turned[0])) > limit or (bits ^ form.bits).bit_count() > 2 * limit:
+        return most + 1
+    if flat in form.turned:
+        return 0
+    best = limit + 1
+    for turned in form.turned:
+        if best > 1:
+            best = min(best, slips(flat, turned, best - 1))
+    return best if best <= limit else most + 1
+
+
+def fewest(name: str, forms: list[tuple[Form, int]], max_edits: int) -> int | None:
+    """The fewest slips, shortness included, to one of an entry's forms; None if none passes."""
+    flat = name.replace(" ", "")
+    bits, best = letters(flat), max_edits + 1
+    for form, short in forms:
+        best = min(best, checked(flat, bits, form, best - 1 - short) + short) if best > short else best
+    return best if best <= max_edits else None
 
 
 class Index:
@@ -159,6 +201,7 @@ class Index:
         self.forms: dict[str, list[tuple[str, int]]] = defaultdict(list)
         for (uri, f), short in found.items():
             self.forms[uri].append((f, short))
+        self.ready: dict[str, list[tuple[Form, int]]] = {}
         held = [grams(f) for f in self.form]
         df = Counter(g for h in held for g in h)
         self.idf = {g: math.log(1 + len(held) / n) for g, n in df.items()}
@@ -175,11 +218,12 @@ class Index:
         """Forms above the threshold that none beats by the margin."""
         weights = {g: n * self.idf.get(g, self.unseen) for g, n in grams(value).items()}
         norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
-        touched = [(p, w / norm) for g, w in weights.items() if (p := self.postings.get(g)) is not None]
+        touched = [(*p, w / norm) for g, w in weights.items() if (p := self.postings.get(g)) is not None]
         if not touched:
             return []
-        ids = np.concatenate([p[0] for p, _ in touched])
-        scores = np.concatenate([p[1] * w for p, w in touched])
+        lists, shares, own = zip(*touched)
+        ids, scores = np.concatenate(lists), np.concatenate(shares)
+        scores *= np.repeat(own, [len(x) for x in lists])
         if 4 * len(ids) < len(self.form):  # few postings of a long list
             where, back = np.unique(ids, return_inverse=True)
             total = np.bincount(back, scores)
@@ -195,9 +239,11 @@ class Index:
             cosines[self.entry[i]] = max(c, cosines.get(self.entry[i], 0.0))
         best = {}
         for e in cosines:
-            found = [d for f, short in self.forms[e] if (d := checked(value, f, short, max_edits)) is not None]
-            if found:
-                best[e] = min(found)
+            if (ready := self.ready.get(e)) is None:
+                ready = self.ready[e] = [(Form(f, short, max_edits), short) for f, short in sorted(self.forms[e], key=lambda x: x[1])]
+            d = fewest(value, ready, max_edits)
+            if d is not None:
+                best[e] = d
         if not best:
             return NIL, -1, 0.0
         least = min(best.values())
@@ -260,7 +306,7 @@ def _map_joined(values: DataFrame, listed: DataFrame, threshold: float, margin:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = [checked(n, f, s, max_edits) for n, f, s in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+            d = [fewest(n, [(Form(f, s, max_edits), s)], max_edits) for n, f, s in zip(*(batch.column(k).to_pylist() for k in range(3)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.int32())], [*batch.schema.names, "edits"])
 
     form = cut(listed.mapInArrow(entry_forms, "uri string, form string, short int").groupBy("uri", "form").agg(F.min("short").alias("short")))
