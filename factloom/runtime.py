@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark import SparkContext
@@ -59,6 +60,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The path of a new folder in the shared checkpoint folder, for tables written between steps."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+
+
+def drop_scratch(spark: SparkSession, folder: str) -> None:
+    """Delete what was written below ``folder``."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, max_rows: int = 200_000, text: str | None = None, max_bytes: int = 1 << 26) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows and, where a column ``text`` of any length is named,
     at most ``max_bytes`` in it; else ``df`` itself, to be joined by shuffle."""
