@@ -6,8 +6,10 @@
 3. The merged ``again`` filter is probed where the records are read. A record none of whose copies can exist is emitted
    as a singleton at once; only possible repeats are shuffled, by their whole key, and counted exactly.
 
-The filter's size is a parameter with a hard bound (``max_bits``): it is the only thing that is broadcast. Beyond the
-number of records it is made for, it lets more records through to the exact grouping, and the result stays the same.
+A filter has 16 bits for each record and at most ``max_bits``; it is the only thing that is broadcast. More records than
+one filter is made for are cut into slices by their hashes, as many as it takes: their keys are written by slice, without
+a shuffle, to the shared folder, and every slice is filtered by itself. So the share of single records that a filter lets
+through (about 0.1 %) is the same at any number of records.
 
 Defined results: a null record, and one in which no field can be read, is no tuple and has no row; a field that is
 missing, null, or has neither letters nor digits is empty; ties are broken by the smallest id; rows that repeat an id
@@ -16,7 +18,7 @@ count once as copies of each other (``copy_id`` > ``kept_id``); an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.runtime import cut, join_groups
+from factloom.runtime import cut, drop_scratch, join_groups, scratch
 
 HASHES = 8
 CHUNK_BITS = 1 << 15  # 4 KB: what one merging group holds of each partition's filter
@@ -108,9 +110,12 @@ def _add(once: np.ndarray, again: np.ndarray, seen: list[np.ndarray]) -> None:
     seen.clear()
 
 
-def possible_repeats(keys: DataFrame, records: int, max_bits: int = 1 << 28) -> DataFrame:
-    """``keys`` (of about so many ``records``) with ``_maybe``: whether another record may have the same hash. False only
-    where none has."""
+MAX_BITS = 1 << 29
+
+
+def possible_repeats(keys: DataFrame, records: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """``keys`` (of about so many ``records``, one filter's worth) with ``_maybe``: whether another record may have the same
+    hash. False only where none has."""
     spark = keys.sparkSession
     bits = filter_bits(records, max_bits)
     chunks = repeat_filter(keys, bits, spark.sparkContext.defaultParallelism).collect()  # at most bits / 8 bytes
@@ -128,22 +133,41 @@ def possible_repeats(keys: DataFrame, records: int, max_bits: int = 1 << 28) ->
     return keys.withColumn("_maybe", maybe("_h"))
 
 
-def _groups(probed: DataFrame, id_col: str) -> DataFrame:
-    return probed.filter("_maybe").groupBy("_key").agg(F.min(id_col).alias("kept_id"), F.count("*").alias("n_copies"))
+def by_slice(df: DataFrame, id_col: str, record_col: str, fields: list[str], max_bits: int, take: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``take`` of the keys with ``_maybe``, slice by slice, each made before the next one's filter; no more than one filter
+    is held at a time."""
+    records = df.count()
+    keys = keyed(df, id_col, record_col, fields)
+    slices = -(-16 * records // max_bits)
+    if slices <= 1:
+        return take(possible_repeats(keys, records, max_bits))
+    spark = df.sparkSession
+    folder = scratch(spark)
+    keys.withColumn("_slice", F.pmod(F.xxhash64("_h"), F.lit(slices)).cast("int")).write.partitionBy("_slice").parquet(folder)
+    held = spark.read.parquet(folder)
+    out = None
+    for k in range(slices):
+        part = cut(take(possible_repeats(held.filter(F.col("_slice") == k).drop("_slice"), records // slices + 1, max_bits)))
+        out = part if out is None else out.unionByName(part)
+    drop_scratch(spark, folder)
+    return out
+
+
+def collapse(df: DataFrame, id_col: str, record_col: str, fields: list[str], max_bits: int = MAX_BITS) -> DataFrame:
+    """One row for each distinct tuple: ``kept_id`` (its smallest id), ``n_copies`` and the canonical fields."""
 
+    def take(probed: DataFrame) -> DataFrame:
+        single = probed.filter("NOT _maybe").select("_key", F.col(id_col).alias("kept_id"), F.lit(1).cast("bigint").alias("n_copies"))
+        grouped = probed.filter("_maybe").groupBy("_key").agg(F.min(id_col).alias("kept_id"), F.count("*").alias("n_copies"))
+        return grouped.unionByName(single)
 
-def collapse(df: DataFrame, id_col: str, record_col: str, fields: list[str], max_bits: int = 1 << 28) -> DataFrame:
-    """One row for each distinct tuple: ``kept_id`` (its smallest id), ``n_copies`` and the canonical fields."""
-    probed = possible_repeats(keyed(df, id_col, record_col, fields), df.count(), max_bits)
-    single = probed.filter("NOT _maybe").select("_key", F.col(id_col).alias("kept_id"), F.lit(1).cast("bigint").alias("n_copies"))
     parts = F.split("_key", "\u0001")
-    return _groups(probed, id_col).unionByName(single).select("kept_id", "n_copies", *[parts[i].alias(f) for i, f in enumerate(fields)])
+    return by_slice(df, id_col, record_col, fields, max_bits, take).select("kept_id", "n_copies", *[parts[i].alias(f) for i, f in enumerate(fields)])
 
 
-def copies(df: DataFrame, id_col: str, record_col: str, fields: list[str], max_bits: int = 1 << 28) -> DataFrame:
+def copies(df: DataFrame, id_col: str, record_col: str, fields: list[str], max_bits: int = MAX_BITS) -> DataFrame:
     """``kept_id``, ``copy_id``: each record that is not the one with the smallest id of its tuple."""
-    rows = cut(possible_repeats(keyed(df, id_col, record_col, fields), df.count(), max_bits).filter("_maybe").select(id_col, "_key", "_maybe"))
-    groups = cut(_groups(rows, id_col).filter("n_copies > 1"))
-    rows = rows.select(id_col, "_key")
+    rows = cut(by_slice(df, id_col, record_col, fields, max_bits, lambda probed: probed.filter("_maybe").select(id_col, "_key")))
+    groups = cut(rows.groupBy("_key").agg(F.min(id_col).alias("kept_id"), F.count("*").alias("n_copies")).filter("n_copies > 1"))
     joined = join_groups(rows, groups, ["_key"], "n_copies")
     return joined.filter(F.col(id_col) > F.col("kept_id")).select("kept_id", F.col(id_col).alias("copy_id")).distinct()

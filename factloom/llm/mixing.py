@@ -5,8 +5,11 @@ the number of its source's tokens up to and with it, divided by the source's wei
 and stopping at the budget gives every source its share, to within one document. A source may be passed through
 ``max_repeats`` times, in a new order each time.
 
-Running sums are built in two levels: sums of small buckets of the order, a running sum over the buckets, and one
-inside each bucket. So no source, however large, is in one task, and no order needs a single sorted partition.
+Running sums are built in two levels: sums of small buckets of the order, a running sum over the buckets (one row for
+each ``bucket_rows`` documents), and one inside each bucket. So no source, however large, is in one task, and no order
+needs a single sorted partition. In the merged order, buckets that begin beyond the budget are dropped before their rows
+are sorted; buckets get wider with the logarithm of time beyond the budget, so a source far larger than its share fills
+many of them.
 
 Defined results: documents with null text have 0 tokens; null sources and sources without target are left out of the
 mix and reported with share 0; targets without documents are reported and their weight is spread over the others, as
@@ -22,6 +25,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +38,15 @@ UNIT = 1 << 40
 
 
 def token_counts(df: DataFrame, id_col: str, text: str, keep: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
-    """``id_col``, ``keep`` and ``n_tokens``; a vocabulary file in tiktoken's, tokenizers' or sentencepiece's format."""
+    """``id_col``, ``keep`` and ``n_tokens``; a vocabulary file in tiktoken's, tokenizers' or sentencepiece's format. The
+    driver's file is shipped to the executors, which need no copy of their own."""
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
     columns = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
     def counter():
+        tokenizer = SparkFiles.get(name)
         if tokenizer.endswith(".tiktoken"):
             import tiktoken
 
@@ -67,11 +75,14 @@ def token_counts(df: DataFrame, id_col: str, text: str, keep: list[str], tokeniz
     return df.select(*columns, F.col(text)).mapInArrow(run, f"{kinds}, n_tokens bigint")
 
 
-def running_sum(df: DataFrame, groups: list[str], bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the running sum of ``value`` within ``groups``, in order of ``bucket`` and then ``order``."""
+def running_sum(df: DataFrame, groups: list[str], bucket: Column, order: list[str], value: str, name: str, limit: int | None = None) -> DataFrame:
+    """``df`` with the running sum of ``value`` within ``groups``, in order of ``bucket`` and then ``order``. With a
+    ``limit``, rows of buckets before which it is passed are left out."""
     b = df.withColumn("_b", bucket)
     over = Window.partitionBy(*groups).orderBy("_b") if groups else Window.orderBy("_b")
     sums = b.groupBy(*groups, "_b").agg(F.sum(value).alias("_s")).withColumn("_before", F.sum("_s").over(over) - F.col("_s")).drop("_s")
+    if limit is not None:
+        sums = sums.filter(F.col("_before") <= limit)
     inner = Window.partitionBy(*groups, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return b.join(sums, [*groups, "_b"]).withColumn(name, F.col("_before") + F.sum(value).over(inner)).drop("_b", "_before")
 
@@ -101,8 +112,9 @@ def mix(counts: DataFrame, targets: DataFrame, id_col: str, budget: int | None =
     copies = used.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1))).withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), "copy", id_col), F.lit(UNIT)))
     own = running_sum(copies, ["source", "copy"], (F.col("_u") * F.lit(buckets) / F.lit(UNIT)).cast("bigint"), ["_u", id_col], "n_tokens", "_cum")
     timed = own.withColumn("finish", (F.col("copy") * F.col("tokens") + F.col("_cum")) / F.col("weight")).select(id_col, "source", "copy", "n_tokens", "finish")
-    slot = F.least(F.col("finish") / F.lit(max(1.0, float(limit))), F.lit(2.0)) * F.lit(float(buckets))
-    merged = running_sum(cut(timed), [], slot.cast("bigint"), ["finish", "source", id_col, "copy"], "n_tokens", "_at")
+    late = F.col("finish") / F.lit(max(1.0, float(limit)))
+    slot = F.when(late <= 1, late).otherwise(1 + F.log2(late)) * F.lit(float(buckets))
+    merged = running_sum(cut(timed), [], slot.cast("bigint"), ["finish", "source", id_col, "copy"], "n_tokens", "_at", limit)
     sample = merged.filter(F.col("_at") <= limit).drop("_at")
     return sample, p.withColumn("budget", F.lit(limit).cast("bigint"))
 

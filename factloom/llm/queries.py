@@ -105,5 +105,9 @@ ORACLE = {
     "p1_found": _KEYED + ", w AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY subject, predicate, direct_object) AS kept_id FROM k) SELECT DISTINCT kept_id, rec_id AS copy_id FROM w WHERE rec_id > kept_id",
     "p1_collapse": _KEYED + " SELECT min(rec_id) AS kept_id, count(*) AS n_copies, subject, predicate, direct_object FROM k GROUP BY ALL",
     "p5_values": _VALS + " SELECT field, val, n, n_records, mark FROM m",
+    "p5_predicate_terms": """WITH v AS (SELECT DISTINCT tuple_id, doc_id, lower(trim(regexp_replace(predicate.word, '\\s+', ' ', 'g'))) AS predicate, trim(clause_type) AS clause_type FROM tuples),
+w AS (SELECT doc_id, string_split(predicate, ' ') AS w FROM v WHERE predicate <> ''), i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), j AS (SELECT doc_id, w, i, unnest(range(i, len(w) + 1)) AS j FROM i),
+n AS (SELECT array_to_string(w[i:j], ' ') AS gram, count(*) AS n, count(DISTINCT doc_id) AS n_records FROM j GROUP BY ALL)
+SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records / (SELECT count(DISTINCT doc_id) FROM tuples) > 0.1 THEN 'common' ELSE 'useful' END AS mark FROM n""",
     "p5_found": _VALS + " SELECT field, val FROM m WHERE mark <> 'useful'",
 }

@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from factloom.llm import formatting_duplicates as fd
 
@@ -50,3 +51,17 @@ def test_no_repeat_is_missed():
     fd._add(once, again, [fd._bits(h[30:50], 1 << 17).ravel()])
     held = np.unpackbits(again).astype(bool)[fd._bits(h, 1 << 17)].all(axis=0)
     assert held[:50].all() and held[50:].mean() < 0.05
+
+
+def test_slices_give_the_same(spark):
+    rows = [(i, f"subject=s{i % 700}|predicate=P {i % 3}|direct_object={'x' if i % 2 else 'X.'}") for i in range(9_000)]
+    df = spark.createDataFrame(rows, "rec_id bigint, record string")
+    fields = ["subject", "predicate", "direct_object"]
+    for work in (fd.copies, fd.collapse):
+        one = sorted(tuple(r) for r in work(df, "rec_id", "record", fields).collect())
+        assert one == sorted(tuple(r) for r in work(df, "rec_id", "record", fields, max_bits=1 << 15).collect())
+
+
+def test_few_single_records_pass(spark):
+    keys = spark.range(300_000).select(F.xxhash64("id").alias("_h"))
+    assert fd.possible_repeats(keys, 300_000).filter("_maybe").count() < 1_500
