@@ -3,13 +3,15 @@
 A text is cut at blank lines. In each block, the places after closing marks (and, between Thai letters, spaces) are
 candidates. The best sequence of whole spans between candidates is searched; a span's score is the sum of
 
-* how its last words and marks close a sentence (abbreviations, initials, ordinals, ellipses, decimals are weighed),
-* how the words after it open the next one (case, script, marks of opening),
-* its length, and
-* whether quotations and parentheses are balanced in it, and whether quoted speech keeps its reporting clause.
+* how its last words and marks close a sentence (abbreviations, initials, ordinals, ellipses, decimals are weighed)
+  before the words that open the next one (case, script, marks of opening),
+* its length,
+* whether quotations and parentheses are balanced in it: each end that lies inside one costs ``UNBALANCED``, and
+* whether quoted speech keeps its reporting clause, however long that is.
 
-A cut whose own score is above anything that the length of two spans can cost (``SURE``) lies in every best sequence, so
-the search never looks back beyond the last such cut: the result is that of the full search, in nearly linear time.
+The search is exact and linear in the number of candidates: length counts in four bands, so the best span before a place
+is the best of the few nearest ones, of a moving window, and of all earlier ones. Nothing else looks further than the
+next or last mark of its kind, whose places are found once.
 
 Offsets are code points of the text as stored. White space never belongs to a sentence's ends; all other characters
 belong to exactly one sentence. Defined results: null, empty and blank texts, and blocks in which nothing can be seen, have no sentences; text
@@ -18,8 +20,11 @@ without any closing mark is one sentence per block; characters that can't be see
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 import unicodedata
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +33,9 @@ from pyspark.sql import functions as F
 
 from factloom.llm.lookalike import TO_CLASS, UNSEEN
 
-NEVER, SURE, BLOCK = -6.0, 3.0, -9.0
+NEVER, BLOCK = -6.0, -9.0
+UNBALANCED = -6.5
+TOKEN = 64  # characters at the end of a token: longer than any that is listed
 
 # Abbreviations, in lower case without the last period.
 TITLES = "dr dra drs prof mr mrs ms mme mmes mlle m mm st ste rev gen capt col lt sgt maj cmdr adm hon gov sen rep pres fr sr sra srta d da ud uds hr fr. dipl ing"
@@ -37,9 +44,14 @@ ENDING = "etc usw a.m p.m am pm corp ltd inc co bros jr jh u.s.w и.т.д т.д
 WITH_NUMBER = "no nos pp p vol vols est fig nr ch sec art t s d núm num pág págs bd cap с д гл т ст"
 GERMAN_ORDINALS = "januar februar märz april mai juni juli august september oktober november dezember jahrhundert jahrhunderts jahrtausend jahrestag mal klasse auflage etage stock bezirk januars"
 REPORTING = "said told remarked explained insisted cried exclaimed observed noted murmured admitted said asked answered replied wrote whispered shouted added sagte fragte antwortete schrieb rief dit demanda répondit écrivit dijo preguntó contestó respondió escribió сказал сказала спросил спросила ответил ответила написал написала"
-NO_CASE_REPORT = re.compile(
-    r"^[^。！？“「]{0,60}?(?:说|道|问|答|喊|写)(?:道)?[。！？]|^(?:と|って)|^(?:라고|이라고|하고|고 )|^[^.!?\"“]{0,80}?(?:말했다|물었다|대답했다|외쳤다|썼다|덧붙였다)[.!?]|^[^।!?“\"]{0,80}?(?:कहा|पूछा|बोला|बोली|लिखा|दिया)\s?[।!?]|^(?:قال|قالت|سأل|سألت|أجاب|أجابت|كتب|كتبت)\s[^:.!؟]{0,80}[.!؟]|^[^“\"]{0,60}?(?:กล่าว|พูด|ถาม|ตอบ)(?:\s|$)"
-)
+REPORTS_BEFORE = {  # marks that may end a reporting clause, marks that begin a quotation, and what stands before the end
+    "cjk": ("。！？", "“「", re.compile(r"(?:说|道|问|答|喊|写)道?$")),
+    "korean": (".!?", '"“', re.compile(r"(?:말했다|물었다|대답했다|외쳤다|썼다|덧붙였다)$")),
+    "hindi": ("।!?", '"“', re.compile(r"(?:कहा|पूछा|बोला|बोली|लिखा|दिया)\s?$")),
+}
+REPORTS_AT_ONCE = re.compile(r"と|って|라고|이라고|하고|고 ")
+REPORTS_ARABIC = re.compile(r"(?:قال|قالت|سأل|سألت|أجاب|أجابت|كتب|كتبت)\s")
+REPORTS_THAI = re.compile(r"[^\s“\"]*(?:\s[^\s“\"]+){0,3}?(?<=กล่าว|..พูด|..ถาม|..ตอบ)(?:\s|$)")
 
 _FLAT = str.maketrans(TO_CLASS)
 
@@ -56,16 +68,21 @@ TITLES, INNER, ENDING, WITH_NUMBER, GERMAN_ORDINALS, REPORTING = map(_words, (TI
 END = ".!?;。！？；।॥؟…｡"
 STRONG = frozenset("!?。！？।॥؟｡‼⁇⁈⁉")
 PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "„": "“”", "(": ")", "（": "）", "[": "]", "‘": "’", "‹": "›"}
+OPENERS: dict[str, str] = {}
+for _o, _closing in PAIRS.items():
+    for _c in _closing:
+        OPENERS[_c] = OPENERS.get(_c, "") + _o
 CLOSERS = frozenset("”»」』)）]’\"'›“")
 OPENING = "“«「『„(（[‘\"'¿¡‹—–-•*"
 CLUSTER = re.compile(rf"[{re.escape(END)}]+")
 BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
-LAST_TOKEN = re.compile(r"[\w.'’ऀ-ॿ]+$")
+LAST_TOKEN = re.compile(r"[\w.'’ऀ-ॿ]+\Z")
 NEXT_WORD = re.compile(r"[\w'’]+")
 ACRONYM = re.compile(r"^[^\W\d_](?:\.[^\W\d_])+$")
 THAI = re.compile(r"[ก-๛]")
 THAI_SPACE = re.compile(r"(?<=[^\s])\s+(?=[^\s])")
-REPORT_BY_NAME = re.compile(r"^(?:[A-ZÀ-Þ][\w'’.-]*\s+){1,4}(" + "|".join(sorted(w for w in REPORTING if w.isascii())) + r")\b(?![^.!?]*:\s*[“\"'‘«])")
+REPORT_BY_NAME = re.compile(r"(?:[A-ZÀ-Þ][\w'’.-]*\s+){1,4}(" + "|".join(sorted(w for w in REPORTING if w.isascii())) + r")\b")
+_SPACES = re.compile(r"\s*")
 
 
 class _Shadow(dict):
@@ -107,32 +124,44 @@ def quotes(block: str) -> list[tuple[int, int, str]]:
     """Outermost pairs of quotation marks or parentheses: places of the opening and the closing one, and the opener."""
     found: list[tuple[int, int, str]] = []
     stack: list[tuple[int, str]] = []
+    open_marks: Counter = Counter()
     n = len(block)
+
+    def cut(k: int) -> None:
+        for _, o in stack[k:]:
+            open_marks[o] -= 1
+        del stack[k:]
+
     for m in re.finditer(r"[“”«»「」『』„()（）\[\]‘’\"'‹›]", block):
         i, ch = m.start(), m.group()
         before = block[i - 1] if i else " "
         after = block[i + 1] if i + 1 < n else " "
         if ch in "\"'":
-            if ch == "'" and before.isalnum() and (after.isalnum() or not any(o == "'" for _, o in stack)):
+            if ch == "'" and before.isalnum() and (after.isalnum() or not open_marks["'"]):
                 continue
-            held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == ch), None)
+            held = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == ch) if open_marks[ch] else None
             if held is not None and not (before.isspace() and not after.isspace()):
                 if ch == "'" and before.isalnum():
                     continue
                 found.append((stack[held][0], i, ch))
-                del stack[held:]
+                cut(held)
             elif ch == '"' or (after.isalnum() and not before.isalnum()):
-                stack = [x for x in stack if x[1] != ch]
+                if held is not None:
+                    stack = [x for x in stack if x[1] != ch]
                 stack.append((i, ch))
+                open_marks[ch] = 1
             continue
-        if ch == "’" and (after.isalpha() or not any(o == "‘" for _, o in stack)):
+        if ch == "’" and (after.isalpha() or not open_marks["‘"]):
             continue
-        held = next((k for k in range(len(stack) - 1, -1, -1) if ch in PAIRS.get(stack[k][1], "")), None)
+        held = None
+        if any(open_marks[o] for o in OPENERS.get(ch, ())):
+            held = next(k for k in range(len(stack) - 1, -1, -1) if ch in PAIRS.get(stack[k][1], ""))
         if held is not None:
             found.append((stack[held][0], i, stack[held][1]))
-            del stack[held:]
+            cut(held)
         elif ch in PAIRS:
             stack.append((i, ch))
+            open_marks[ch] += 1
     found.sort()
     outer: list[tuple[int, int, str]] = []
     for q in found:
@@ -141,17 +170,35 @@ def quotes(block: str) -> list[tuple[int, int, str]]:
     return outer
 
 
-def _opens(after: str) -> tuple[str, str]:
-    """Kind of the first letter or digit of what follows ('upper', 'lower', 'digit', 'caseless', ''), and the word."""
-    rest = after.lstrip()
-    if rest[:1] == "[":
+class Marks:
+    """The places of some characters (or matches) of a block, found once."""
+
+    def __init__(self, block: str) -> None:
+        self.block = block
+        self.places: dict[str, list[int]] = {}
+
+    def next(self, pattern: str, at: int) -> int:
+        """The first place of ``pattern`` from ``at`` on; the block's length if there is none."""
+        if (places := self.places.get(pattern)) is None:
+            places = self.places[pattern] = [m.start() for m in re.finditer(pattern, self.block)]
+        k = bisect.bisect_left(places, at)
+        return places[k] if k < len(places) else len(self.block)
+
+
+_OPENING = re.compile(rf"[{re.escape(OPENING)}]*\s*")
+
+
+def _opens(block: str, at: int) -> tuple[str, str]:
+    """Kind of the first letter or digit from ``at`` on ('upper', 'lower', 'digit', 'caseless', ''), and the word."""
+    at = _SPACES.match(block, at).end()
+    if block[at : at + 1] == "[":
         return "mark", "["  # an editor's remark stands apart
-    rest = rest.lstrip(OPENING).lstrip()
-    if not rest:
+    at = _OPENING.match(block, at).end()
+    if at >= len(block):
         return "", ""
-    m = NEXT_WORD.match(rest)
-    word = m.group() if m else rest[0]
-    ch = rest[0]
+    ch = block[at]
+    m = NEXT_WORD.match(block, at)
+    word = m.group() if m else ch
     if ch.isdigit():
         return "digit", word
     if ch.isupper():
@@ -161,9 +208,11 @@ def _opens(after: str) -> tuple[str, str]:
     return ("caseless" if ch.isalpha() else "mark"), word
 
 
-def closing(before: str, marks: str, after: str, spaced: bool) -> float:
-    """How well ``before`` + ``marks`` closes a sentence that ``after`` follows."""
-    kind, word = _opens(after)
+def closing(block: str, start: int, stop: int, marks: str) -> float:
+    """How well what stands before ``start``, and ``marks`` there, close a sentence that what stands from ``stop`` on
+    follows. A run of parts of one or two letters of over 64 characters counts by its last 64."""
+    kind, word = _opens(block, stop)
+    spaced = block[stop].isspace()
     if any(ch in STRONG for ch in marks):
         return -2.0 if kind == "lower" else 4.0
     if ";" in marks or "；" in marks:
@@ -172,7 +221,7 @@ def closing(before: str, marks: str, after: str, spaced: bool) -> float:
         if kind in ("lower", "caseless", "mark"):
             return NEVER
         return 1.5 if spaced else -1.0
-    m = LAST_TOKEN.search(before)
+    m = LAST_TOKEN.search(block, max(0, start - TOKEN), start)
     token = m.group().strip(".'’") if m else ""
     if "." in token and any(len(part) > 2 for part in token.split(".")[:-1]):
         token = token.rsplit(".", 1)[1]  # white space is missing before it
@@ -184,8 +233,10 @@ def closing(before: str, marks: str, after: str, spaced: bool) -> float:
     last = low.rsplit(".", 1)[-1]
     if not spaced and kind != "caseless" and (kind == "digit" or len(last) == 1 or token[-1].isdigit()):
         return NEVER
-    head = before[: m.start()].rstrip() if m else ""
-    earlier = LAST_TOKEN.search(head)
+    end = m.start() if m else 0
+    while end and block[end - 1].isspace():
+        end -= 1
+    earlier = LAST_TOKEN.search(block, max(0, end - TOKEN), end)
     earlier_low = earlier.group().lower().strip("'’") if earlier else ""
     whole = (earlier_low.rstrip(".") + "." + low) if earlier_low.endswith(".") and len(low) <= 2 else low
     if whole in INNER:
@@ -218,19 +269,24 @@ def _no_space_script(ch: str) -> bool:
     return "぀" <= ch <= "ヿ" or "㐀" <= ch <= "鿿" or "가" <= ch <= "힣"
 
 
+USUAL = (10, 600)
+
+
 def length_score(n: int) -> float:
     """Sentences of one or two characters, and very long ones, are less likely; always between -1.5 and 0."""
-    return -1.5 if n < 4 else -0.5 if n < 10 or n > 600 else 0.0
+    return -1.5 if n < 4 else -0.5 if n < USUAL[0] or n > USUAL[1] else 0.0
 
 
-def candidates(block: str) -> list[tuple[int, float]]:
-    """Places where a sentence may end, with the score of a cut there."""
+def candidates(block: str) -> list[tuple[int, float, bool]]:
+    """Places where a sentence may end, with the score of a cut there, and whether the place is inside a quotation."""
     pairs = quotes(block)
     closes = {q[1]: q for q in pairs}
     thai = THAI.search(block) is not None
-    places: dict[int, float] = {}
+    marked = Marks(block)
+    places: dict[int, tuple[float, bool]] = {}
     k = 0
     n = len(block)
+    seen = len(block.rstrip())
     for m in CLUSTER.finditer(block):
         start, end = m.span()
         if end in places:
@@ -248,19 +304,17 @@ def candidates(block: str) -> list[tuple[int, float]]:
                 stop += 1
             else:
                 break
-        if stop >= n or not block[stop:].strip():
+        if stop >= seen:
             continue
-        after = block[stop : stop + 200]
-        spaced = after[0].isspace()
         marks = m.group()
-        if marks == "." and not spaced and start and block[start - 1].isdigit() and after[0].isdigit():
+        if marks == "." and start and block[start - 1].isdigit() and block[stop].isdigit():
             continue
-        score = closing(block[max(0, start - 60) : start], marks, after, spaced)
-        if inside is not None:
-            score = BLOCK
-        elif closed is not None:
-            score = _after_quote(block, closed, score, after)
-        places[stop] = max(score, places.get(stop, -99.0))
+        score = closing(block, start, stop, marks)
+        if inside is None and closed is not None:
+            score = _after_quote(block, closed, score, stop, marked)
+        before = places.get(stop)
+        if before is None or (inside is None, score) > (not before[1], before[0]):
+            places[stop] = (score, inside is not None)
     if thai:
         at = 0
         for m in THAI_SPACE.finditer(block):
@@ -274,44 +328,86 @@ def candidates(block: str) -> list[tuple[int, float]]:
             if a in "“«„(" or b in "”»),.;:!?“«\"" or a in ":,":
                 continue
             if m.start() not in places:
-                places[m.start()] = 4.0
-    return sorted(places.items())
+                places[m.start()] = (4.0, False)
+    return sorted((p, score, within) for p, (score, within) in places.items())
 
 
-def _after_quote(block: str, pair: tuple[int, int, str], score: float, after: str) -> float:
+def _after_quote(block: str, pair: tuple[int, int, str], score: float, stop: int, marked: Marks) -> float:
     """The score of a cut right after a quotation or parenthesis that closes with an end mark inside it."""
-    rest = unicodedata.normalize("NFC", after.lstrip())
-    before = block[: pair[0]].rstrip()
-    kind, word = _opens(after)
+    at = _SPACES.match(block, stop).end()
+    first = unicodedata.normalize("NFC", block[at : at + 1])
+    end = pair[0]
+    while end and block[end - 1].isspace():
+        end -= 1
+    last = block[end - 1 : end]
+    kind, word = _opens(block, stop)
     if pair[2] in "(（[":
-        own = not before or before[-1] in END or before[-1] in CLOSERS
+        own = not last or last in END or last in CLOSERS
         return 4.0 if own and kind != "lower" else BLOCK
-    if rest[:1] in ",，、—–:;" or kind == "lower" or word.lower() in REPORTING:
-        return BLOCK
-    introduced = bool(before) and before[-1] in ":,：，、"
-    if not introduced and (NO_CASE_REPORT.match(rest) or REPORT_BY_NAME.match(rest)) and not re.match(r"^[^.!?。！？।؟]*[:：]\s*[“\"«「]", rest):
+    if first in ",，、—–:;" or kind == "lower" or word.lower() in REPORTING:
         return BLOCK
+    introduced = bool(last) and last in ":,：，、"
+    if not introduced and _reports(block, at, marked):
+        end = marked.next("[.!?。！？।؟]", at)
+        if marked.next("[:：]\\s*[“\"«「]", at) >= end:  # else what follows reports the next quotation
+            return BLOCK
     return 4.0 if score > NEVER else max(score, 1.5)
 
 
+def _reports(block: str, at: int, marked: Marks) -> bool:
+    """Whether the clause from ``at`` on reports the quotation before it."""
+    joined = lambda a, b: unicodedata.normalize("NFC", block[a:b])  # noqa: E731  # letters may be stored decomposed
+    begins_with = joined(at, at + 24)
+    if REPORTS_AT_ONCE.match(begins_with) or REPORTS_THAI.match(block, at):
+        return True
+    for ends, begins, verb in REPORTS_BEFORE.values():
+        stop = marked.next(f"[{ends}{begins}]", at)
+        if stop < len(block) and block[stop] in ends and verb.search(joined(max(at, stop - 24), stop)):
+            return True
+    if REPORTS_ARABIC.match(begins_with):
+        stop = marked.next("[:.!؟]", marked.next("\\s", at))
+        if stop < len(block) and block[stop] != ":":
+            return True
+    m = REPORT_BY_NAME.match(block, at)
+    return m is not None and marked.next(":\\s*[“\"'‘«]", m.end()) >= marked.next("[.!?]", m.end())
+
+
 def best_cuts(block: str) -> list[int]:
     """The places of the best sequence of spans, the block's end included."""
-    places = candidates(block)
-    ends = [*places, (len(block), 0.0)]
-    total = [0.0]
-    back = [0]
-    at = [0, *(p for p, _ in ends)]
-    floor = 0
+    found = candidates(block)
+    at = [0, *(p for p, _, _ in found), len(block)]
+    cut = [0.0, *(s for _, s, _ in found), 0.0]
+    within = [0.0, *(UNBALANCED if x else 0.0 for _, _, x in found), 0.0]
+    total, back = [0.0], [0]
+    window: deque[int] = deque()  # starts of spans of usual length, best first
+    entered = far = 0  # how many starts have come into the window; the best start of very long spans, after them
+    best_far = -1
     for j in range(1, len(at)):
-        best, frm = -1e18, floor
-        for i in range(j - 1, floor - 1, -1):
-            value = total[i] + length_score(at[j] - at[i])
+        best, frm = -math.inf, 0
+        i = j - 1
+        while i >= 0 and at[j] - at[i] < USUAL[0]:
+            value = total[i] + within[i] + length_score(at[j] - at[i])
             if value > best:
                 best, frm = value, i
-        total.append(best + ends[j - 1][1])
+            i -= 1
+        while entered <= i:
+            while window and total[window[-1]] + within[window[-1]] <= total[entered] + within[entered]:
+                window.pop()
+            window.append(entered)
+            entered += 1
+        while window and at[j] - at[window[0]] > USUAL[1]:
+            window.popleft()
+        while far <= i and at[j] - at[far] > USUAL[1]:
+            if best_far < 0 or total[far] + within[far] >= total[best_far] + within[best_far]:
+                best_far = far
+            far += 1
+        for k in (window[0] if window else -1, best_far):
+            if k >= 0:
+                value = total[k] + within[k] + length_score(at[j] - at[k])
+                if value > best:
+                    best, frm = value, k
+        total.append(best + cut[j] + within[j])
         back.append(frm)
-        if ends[j - 1][1] > SURE:
-            floor = j
     cuts, j = [], len(at) - 1
     while j:
         cuts.append(at[j])

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from factloom.llm.sentences import best_cuts, candidates, length_score, segment, split
+from factloom.llm.sentences import UNBALANCED, best_cuts, candidates, length_score, segment, split
 
 
 def cut(text):
@@ -46,19 +48,36 @@ def test_all_text_is_held():
 
 
 def full_search(block):
-    ends = [*candidates(block), (len(block), 0.0)]
-    at = [0, *(p for p, _ in ends)]
+    found = [*candidates(block), (len(block), 0.0, False)]
+    at = [0, *(p for p, _, _ in found)]
+    within = [0.0, *(UNBALANCED * x for _, _, x in found)]
     best = [(0.0, [])]
     for j in range(1, len(at)):
-        v, cuts = max(((best[i][0] + length_score(at[j] - at[i]), -i, best[i][1]) for i in range(j)), key=lambda x: x[:2])[::2]
-        best.append((v + ends[j - 1][1], [*cuts, at[j]]))
+        span = lambda i: length_score(at[j] - at[i]) + within[i] + within[j]
+        v, cuts = max(((best[i][0] + span(i), i, best[i][1]) for i in range(j)), key=lambda x: x[0])[::2]
+        best.append((v + found[j - 1][1], [*cuts, at[j]]))
     return best[-1]
 
 
-def test_bounded_search_is_the_full_one():
-    for block in ('"The roof leaks. Is it," said Ann. Dr. X. Y came... No. He left; why? I. J. K. went.', "A. B. C. D. E. F.", "One. two. Three... Four! five? Six."):
-        score, cuts = full_search(block)
-        assert best_cuts(block) == cuts and score > -1e9
+def value(block, cuts):
+    found = {p: (s, UNBALANCED * x) for p, s, x in [*candidates(block), (len(block), 0.0, False), (0, 0.0, False)]}
+    return sum(length_score(b - a) + found[a][1] + found[b][1] + found[b][0] for a, b in zip([0, *cuts], cuts))
+
+
+def test_linear_search_is_the_full_one():
+    rng = random.Random(4)
+    parts = ["One. ", "He left; ", "A. ", "B.", "why? ", "No... ", "Dr. Who. ", '"It is. Yes." ', "said Ann. ", "x" * 300 + ". ", "x" * 700 + "... ", "(Oh. No.) ", "e.g. so. ", "Is it? ", "3.5. "]
+    for _ in range(300):
+        block = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14))).strip()
+        cuts = best_cuts(block)
+        assert cuts[-1] == len(block) and abs(value(block, cuts) - full_search(block)[0]) < 1e-9
+
+
+def test_long_blocks_are_linear():
+    for piece in ("The house was old. He went home. ", "A. B. C. ", "a.b.c.", "“Hm.” x ", '(:( " '):
+        assert segment(piece * (300_000 // len(piece)))
+    assert len(segment('"' + "He went home. " * 20_000 + '" he said. Then he left.')) == 2
+    assert len(segment("“你好。”" + "他" * 500 + "说。再见。")) == 2
 
 
 def test_operator(spark):
