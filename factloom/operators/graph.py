@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import algebra, kb
-from factloom.runtime import cut
+from factloom.runtime import cut, small
 
 PRONOUNS = {"PERSON": ["he", "him", "his", "she", "her"], "OTHER": ["it", "its"]}
 
@@ -132,21 +132,6 @@ def normalized(w: DataFrame) -> DataFrame:
     return w.join(sums, ["doc_id", "j"]).filter("_s > 0").select("doc_id", "i", "j", (F.col("w") / F.col("_s")).alias("w"))
 
 
-def walk(w: DataFrame, v: DataFrame, gamma: float, steps: int = 20, every: int = 5) -> DataFrame:
-    """Random walk with restart, ``steps`` of r <- (1 - gamma) W r + gamma v: ``doc_id``, ``i``, ``r``."""
-    parts = int(w.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    w = cut(w).repartition(parts, "doc_id", "j").sortWithinPartitions("doc_id", "j").persist()  # placed and sorted as every step needs it
-    v = cut(v.select("doc_id", "i", "r"))
-    r = v
-    for k in range(1, steps + 1):
-        moved = w.join(r.select("doc_id", F.col("i").alias("j"), "r"), ["doc_id", "j"]).select("doc_id", "i", (F.col("w") * F.col("r") * (1 - gamma)).alias("r"))
-        r = moved.unionByName(v.withColumn("r", F.col("r") * gamma)).groupBy("doc_id", "i").agg(F.sum("r").alias("r"))
-        if k % every == 0 or k == steps:
-            r = cut(r)
-    w.unpersist()
-    return r
-
-
 def settle(w: DataFrame, v: DataFrame, gamma: float, tolerance: float = 1e-10, most: int = 1000, in_task: int = 500_000) -> DataFrame:
     """Where the random walk with restart ends, r = (1 - gamma) W r + gamma v: ``doc_id``, ``i``, ``r``.
 
@@ -172,6 +157,11 @@ def settle(w: DataFrame, v: DataFrame, gamma: float, tolerance: float = 1e-10, m
 
 def _settled_chunks(batches: Iterator[pa.RecordBatch], gamma: float, tolerance: float, most: int, rows: int = 300_000) -> Iterator[pa.RecordBatch]:
     """Whole documents, about ``rows`` rows at a time."""
+    for t in _whole_documents(batches, rows):
+        yield _settled(t, gamma, tolerance, most)
+
+
+def _whole_documents(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     held: list[pa.Table] = []
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
@@ -179,10 +169,10 @@ def _settled_chunks(batches: Iterator[pa.RecordBatch], gamma: float, tolerance:
             t = pa.concat_tables(held)
             whole = pc.index(t["doc_id"], t["doc_id"][-1]).as_py()
             if whole:
-                yield _settled(t.slice(0, whole), gamma, tolerance, most)
+                yield t.slice(0, whole)
             held = [t.slice(whole)]
     if held and sum(t.num_rows for t in held):
-        yield _settled(pa.concat_tables(held), gamma, tolerance, most)
+        yield pa.concat_tables(held)
 
 
 def _settled(t: pa.Table, gamma: float, tolerance: float, most: int) -> pa.RecordBatch:
@@ -241,9 +231,12 @@ def start(w: DataFrame) -> DataFrame:
 
 
 def candidates(t: DataFrame) -> DataFrame:
-    """``doc_id``, ``noun``, ``uri``, ``final_score``: each uri once per noun, with its greatest score."""
-    used = algebra.elements(t).filter("role <> 'predicate'").select("doc_id", F.col("word").alias("noun"), F.explode("entity").alias("x")).filter("x.uri IS NOT NULL AND x.final_score IS NOT NULL")
-    return used.groupBy("doc_id", "noun", F.col("x.uri").alias("uri")).agg(F.max("x.final_score").alias("final_score"))
+    """``doc_id``, ``noun``, ``uri``, ``final_score``: each uri once per noun, with the score it has where it first stands,
+    in order of tuples, roles and places."""
+    rank = F.array_position(F.array(*map(F.lit, algebra.ROLES)), F.col("role"))
+    used = algebra.elements(t).filter("role <> 'predicate'").select("doc_id", F.col("word").alias("noun"), "sent_id", "tuple_id", rank.alias("rank"), "ord", F.posexplode("entity").alias("at", "x")).filter("x.uri IS NOT NULL AND x.final_score IS NOT NULL")
+    first = F.struct("sent_id", "tuple_id", F.when(F.col("rank") == 0, 9).otherwise(F.col("rank")).alias("rank"), "ord", "at")
+    return used.groupBy("doc_id", "noun", F.col("x.uri").alias("uri")).agg(F.min_by("x.final_score", first).alias("final_score"))
 
 
 def level2(cand: DataFrame, related: DataFrame) -> DataFrame:
@@ -292,17 +285,79 @@ def prune_entities(means: DataFrame, best: DataFrame) -> DataFrame:
     return means.join(chosen, ["doc_id", "src"], "left").filter(F.col("_to").isNull() | (F.col("_to") == F.col("dst"))).drop("_to")
 
 
-def independent_set(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """The greedy independent set of each document's conflict graph, heaviest first, ties by id: ``doc_id``, ``id``.
+def independent_set(pairs: DataFrame, weights: DataFrame, trials: int = 0, seed: int = 1, in_task: int = 1_000_000) -> DataFrame:
+    """The greedy independent set of each document's conflict graph, heaviest first, ties by id: ``doc_id``, ``id``. With
+    ``trials``, so many sets are made besides in which nodes are drawn one after another with a chance by their weights,
+    from ``seed``, and of all the heaviest is given (of equals the first; the greedy one is the first of all).
 
-    Each round takes every node that comes before all its remaining neighbours and drops these: the same set as taking
-    nodes one by one in that order, in few rounds. ``pairs``: doc_id, a, b; ``weights``: doc_id, id, weight (null: 0).
+    ``pairs``: doc_id, a, b; ``weights``: doc_id, id, weight (null: 0). Documents of up to ``in_task`` pairs are done many
+    at a time within a task; larger ones by rounds of joins, in which every node that comes before all its remaining
+    neighbours is taken and these are dropped: the same set as taking nodes one by one, in few rounds.
     """
+    pairs = cut(pairs.filter("a <> b").select("doc_id", "a", "b").distinct())
     ids = pairs.select("doc_id", F.col("a").alias("id")).unionByName(pairs.select("doc_id", F.col("b").alias("id"))).distinct()
-    rank = ids.join(weights, ["doc_id", "id"], "left").select("doc_id", "id", F.struct((-F.round(F.coalesce("weight", F.lit(0.0)), 9)).alias("w"), "id").alias("rank"))
+    nodes = ids.join(weights, ["doc_id", "id"], "left").select("doc_id", "id", F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("w"))
+    clock = lambda k: -F.log((F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "doc_id", "id"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))) / F.greatest("w", F.lit(1e-5))
+    nodes = cut(nodes.select("doc_id", "id", "w", F.array(-F.col("w"), *[clock(k) for k in range(trials)]).alias("keys")))
+    large = small(cut(pairs.groupBy("doc_id").count().filter(F.col("count") > in_task).select("doc_id")))
+    some = large.limit(1).count() > 0
+    rest = lambda x: x.join(large, "doc_id", "left_anti") if some else x
+    none = F.lit(None)
+    rows = rest(pairs.select("doc_id", "a", "b", none.cast("double").alias("w"), none.cast("array<double>").alias("keys"))).unionByName(rest(nodes.select("doc_id", F.col("id").alias("a"), none.cast("string").alias("b"), "w", "keys")))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = pairs.schema["doc_id"].dataType.simpleString()
+    out = rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_independent_chunks, f"doc_id {kind}, id string")
+    if some:
+        big, best = pairs.join(large, "doc_id", "left_semi"), None
+        for k in range(trials + 1):
+            chosen = _independent_joined(big, nodes.join(large, "doc_id", "left_semi").select("doc_id", "id", F.struct(F.col("keys")[k].alias("key"), "id").alias("rank"))).join(nodes.select("doc_id", "id", "w"), ["doc_id", "id"]).withColumn("k", F.lit(k))
+            best = chosen if best is None else best.unionByName(chosen)
+        total = best.groupBy("doc_id", "k").agg(F.round(F.sum("w"), 9).alias("s")).groupBy("doc_id").agg(F.max(F.struct("s", (-F.col("k")).alias("k")))["k"].alias("k")).select("doc_id", (-F.col("k")).alias("k"))
+        out = out.unionByName(best.join(total, ["doc_id", "k"], "left_semi").select("doc_id", "id"))
+    return cut(out)
+
+
+def _independent_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in _whole_documents(batches, 300_000):
+        docs = t["doc_id"].combine_chunks().dictionary_encode()
+        doc = docs.indices.to_numpy(zero_copy_only=False)
+        names = pa.chunked_array([*t["a"].chunks, *t["b"].chunks], pa.string()).combine_chunks().dictionary_encode()
+        code = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        a, b = code[: len(t)], code[len(t) :]
+        width = len(names.dictionary)
+        node = np.flatnonzero(b < 0)
+        own = doc[node] * width + a[node]
+        order = np.argsort(own)
+        node, own = node[order], own[order]
+        edge = np.flatnonzero(b >= 0)
+        x, y = np.searchsorted(own, doc[edge] * width + a[edge]), np.searchsorted(own, doc[edge] * width + b[edge])
+        ends = np.concatenate([x, y])
+        by = np.argsort(ends, kind="stable")
+        start = np.searchsorted(ends[by], np.arange(len(own) + 1))
+        other = np.concatenate([y, x])[by]
+        weight = t["w"].combine_chunks().take(pa.array(node)).to_numpy(zero_copy_only=False)
+        keys = np.array(t["keys"].combine_chunks().take(pa.array(node)).to_pylist(), float).reshape(len(node), -1)
+        texts = names.dictionary.to_pylist()
+        text = [texts[c] for c in a[node]]
+        best, top = np.zeros(len(own), bool), np.full(len(docs.dictionary), -np.inf)
+        for k in range(keys.shape[1]):
+            taken, gone = np.zeros(len(own), bool), np.zeros(len(own), bool)
+            for n in sorted(range(len(own)), key=lambda n: (keys[n, k], text[n])):
+                if not gone[n]:
+                    taken[n] = True
+                    gone[other[start[n] : start[n + 1]]] = True
+            sums = np.round(np.bincount(doc[node][taken], weight[taken], len(top)), 9)
+            better = (sums > top)[doc[node]]
+            best[better] = taken[better]
+            top = np.maximum(top, sums)
+        yield pa.RecordBatch.from_arrays([docs.dictionary.take(pa.array(doc[node][best])), names.dictionary.take(pa.array(a[node][best]))], ["doc_id", "id"])
+
+
+def _independent_joined(pairs: DataFrame, rank: DataFrame) -> DataFrame:
+    """The set for one order of nodes, by joins."""
     ra, rb = rank.select("doc_id", F.col("id").alias("a"), F.col("rank").alias("ra")), rank.select("doc_id", F.col("id").alias("b"), F.col("rank").alias("rb"))
-    left = cut(pairs.filter("a <> b").join(ra, ["doc_id", "a"]).join(rb, ["doc_id", "b"]).select("doc_id", F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("first"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("second")).distinct())
-    alive = cut(ids)
+    left = cut(pairs.join(ra, ["doc_id", "a"]).join(rb, ["doc_id", "b"]).select("doc_id", F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("first"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("second")).distinct())
+    alive = cut(rank.select("doc_id", "id"))
     chosen = None
     while True:
         blocked = left.select("doc_id", F.col("second").alias("id")).distinct()
@@ -335,22 +390,41 @@ def score_tuples(edges: DataFrame, scores: DataFrame) -> DataFrame:
     return edges.join(scores.select("doc_id", F.col("i").alias("dst"), "r"), ["doc_id", "dst"]).groupBy("doc_id", "src").agg(F.round(F.avg("r"), 6).alias("score"))
 
 
-def resolve(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.1, gamma2: float = 0.2) -> DataFrame:
-    """Edges of every document's graph with collisions and entities resolved: scores by propagation, a greedy independent
-    set of the collision graph, removal of what loses (a noun with the predicates that point to it), then the remaining
-    graph refined, its nouns with the ``means`` edges to the entities chosen by propagation."""
+def resolve(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.1, gamma2: float = 0.2, trials: int = 0) -> DataFrame:
+    """Edges of every document's graph with collisions and entities resolved: scores by propagation, an independent set of
+    the collision graph, removal of what loses (a noun with the predicates that point to it), then the remaining graph
+    refined, its nouns with the ``means`` edges to the entities chosen by propagation."""
     t = cut(t)
     scores, best = propagate(t, kb_table, gamma1, gamma2)
     edges = cut(merged_edges(t))
     pairs = cut(collisions(t))
-    kept = independent_set(pairs, scores.select("doc_id", F.col("i").alias("id"), F.col("r").alias("weight")))
+    kept = independent_set(pairs, scores.select("doc_id", F.col("i").alias("id"), F.col("r").alias("weight")), trials)
     lost = cut(pairs.select("doc_id", F.col("a").alias("id")).unionByName(pairs.select("doc_id", F.col("b").alias("id"))).distinct().join(kept, ["doc_id", "id"], "left_anti"))
     with_noun = edges.join(lost.withColumnRenamed("id", "dst"), ["doc_id", "dst"], "left_semi").select("doc_id", "src").distinct()
-    rest = refine(edges.join(lost.withColumnRenamed("id", "src"), ["doc_id", "src"], "left_anti").join(with_noun, ["doc_id", "src"], "left_anti"))
+    rest = cut(refine(edges.join(lost.withColumnRenamed("id", "src"), ["doc_id", "src"], "left_anti").join(with_noun, ["doc_id", "src"], "left_anti")))
     means = prune_entities(means_edges(t), best).join(rest.select("doc_id", F.col("dst").alias("src")).distinct(), ["doc_id", "src"], "left_semi")
     return rest.unionByName(means)
 
 
-def join_optimize(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.1, gamma2: float = 0.2) -> DataFrame:
-    """Resolve collisions and entities of every document and give back its tuples."""
-    return collect_tuples(resolve(t, kb_table, gamma1, gamma2))
+def restore(t: DataFrame, edges: DataFrame) -> DataFrame:
+    """The tuples of ``t`` that a graph still holds, with all fields of the elements that still have their edge; of an
+    element's entities, those its noun still means (all of them where it means none)."""
+    edges = cut(edges)
+    roles = edges.filter("relation <> 'means'").select("doc_id", F.col("src").alias("_p"), F.col("dst").alias("word"), F.col("relation").alias("_r"))
+    label = F.create_map(*[F.lit(x) for kv in {"subject": "subj", "direct_object": "dobj", "indirect_object": "iobj"}.items() for x in kv])
+    one = t.select("doc_id", "tuple_id", predicate_id().alias("_p"), F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(0).alias("ord"), F.col(r).alias("e")) for r in algebra.ROLES if r != "predicate"])).alias("x"))
+    many = t.select("doc_id", "tuple_id", predicate_id().alias("_p"), F.posexplode("adverbial").alias("ord", "e")).select("doc_id", "tuple_id", "_p", F.struct(F.lit("adverbial").alias("role"), "ord", "e").alias("x"))
+    held = one.unionByName(many).filter("x.e.word IS NOT NULL").select("doc_id", "tuple_id", "_p", "x", F.col("x.e.word").alias("word"), F.coalesce(label[F.col("x.role")], F.col("x.e.prep")).alias("_r"))
+    held = held.join(roles, ["doc_id", "_p", "word", "_r"], "left_semi")
+    meant = edges.filter("relation = 'means'").select("doc_id", F.col("src").alias("word"), F.expr("substring(dst, 8)").alias("uri")).groupBy("doc_id", "word").agg(F.collect_set("uri").alias("_uris"))
+    known = held.join(meant, ["doc_id", "word"], "left").withColumn("_e", F.when(F.col("_uris").isNotNull(), F.filter("x.e.entity", lambda y: F.array_contains("_uris", y["uri"]))).otherwise(F.col("x.e.entity")))
+    role = lambda r: F.max(F.when(F.col("x.role") == r, F.col("x.e").withField("entity", F.col("_e")))).alias(r)  # noqa: E731  # one row each
+    adv = F.transform(F.array_sort(F.collect_list(F.when(F.col("x.role") == "adverbial", F.struct("x.ord", F.col("x.e").withField("entity", F.col("_e")).alias("e"))))), lambda y: y["e"]).alias("adverbial")
+    back = known.groupBy("doc_id", "tuple_id").agg(*[role(r) for r in algebra.ROLES if r != "predicate"], adv)
+    rest = t.drop(*[r for r in algebra.ROLES if r != "predicate"], "adverbial")
+    return rest.join(back, ["doc_id", "tuple_id"]).filter("subject IS NOT NULL").select(*t.columns)
+
+
+def join_optimize(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.1, gamma2: float = 0.2, trials: int = 0) -> DataFrame:
+    """Resolve collisions and entities of every document and give back its tuples, as words."""
+    return collect_tuples(resolve(t, kb_table, gamma1, gamma2, trials))

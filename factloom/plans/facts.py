@@ -131,9 +131,9 @@ def level2_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.level2(graph.candidates(tuples(spark, sf_dir)), kb.relatedness(table(spark, sf_dir, "kb"))).withColumn("w", F.round("w", 6))
 
 
-def rwr_20_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def restart_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = graph.level1(graph.merged_edges(tuples(spark, sf_dir)))
-    return graph.walk(w, graph.start(w), 0.3).withColumn("r", F.round("r", 6))
+    return graph.settle(w, graph.start(w), 0.3).withColumn("r", F.round("r", 6))
 
 
 def entity_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +158,16 @@ def greedy_independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joint_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.join_optimize(tuples(spark, sf_dir), table(spark, sf_dir, "kb"))
+    return graph.join_optimize(tuples(spark, sf_dir), table(spark, sf_dir, "kb")).withColumn("adverbial", F.array_join("adverbial", "||"))
+
+
+def joint_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolved tuples whole, by sentence: words, places, references and the entity each noun means."""
+    t = tuples(spark, sf_dir)
+    back = graph.restore(t, graph.resolve(t, table(spark, sf_dir, "kb")))
+    seen = lambda r: [F.col(f"{r}.word").alias(r), F.array_join(F.transform(f"{r}.word_index", lambda i: i.cast("string")), " ").alias(f"{r}_index"), F.col(f"{r}.reference").alias(f"{r}_reference"), F.array_join(F.array_sort(F.transform(f"{r}.entity", lambda e: e["uri"])), " ").alias(f"{r}_uris")]
+    adv = F.array_join(F.transform("adverbial", lambda a: F.concat_ws(" ", a["prep"], a["word"])), "||").alias("adverbial")
+    return back.select("doc_id", "sent_id", "tuple_id", "negation", F.col("predicate.word").alias("predicate"), *seen("subject"), *seen("direct_object"), *seen("indirect_object"), adv)
 
 
 def kb_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +201,7 @@ def kb_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = [
     "elements", "refine_word", "pronoun_type", "to_triples", "tuple_dedup", "tuple_hash", "equal_tuples", "compare_tuples", "merge_runs", "lexical_validate", "overlap_collisions", "triple_eval",
     "graph_nodes", "graph_edges", "means_edges", "reference_edges", "semantic_edges", "merge_triples", "collision_edges", "refine_graph", "collect_tuples", "mention_link", "entity_candidates", "best_entity",
-    "level1_matrix", "level2_matrix", "rwr_20_steps", "entity_argmax", "pruned_entities", "score_tuples", "greedy_independent_set", "joint_optimize",
+    "level1_matrix", "level2_matrix", "restart_walk", "entity_argmax", "pruned_entities", "score_tuples", "greedy_independent_set", "joint_optimize", "joint_tuples",
     "kb_neighbours", "kb_relations", "kb_heads", "kb_tails", "kb_paths", "kb_relatedness", "kb_pages",
 ]
 
@@ -234,17 +243,15 @@ _KT = "WITH k AS (SELECT DISTINCT head, rel, tail FROM kb WHERE head IS NOT NULL
 _REL = """h AS (SELECT rel, tail, count(*) AS n_heads FROM k GROUP BY ALL), tl AS (SELECT head, rel, count(*) AS n_tails FROM k GROUP BY ALL),
 d AS (SELECT k.head, k.tail, sum(2.0::DOUBLE / (n_heads + n_tails)) AS w FROM k JOIN h USING (rel, tail) JOIN tl USING (head, rel) WHERE k.head <> k.tail GROUP BY ALL),
 rel AS (SELECT least(head, tail) AS u1, greatest(head, tail) AS u2, round(max(w), 6) AS score FROM d GROUP BY ALL)"""
-_C = _E + """, x AS (SELECT doc_id, e.word AS noun, unnest(e.entity) AS x FROM e WHERE role <> 'predicate'),
-cand AS (SELECT doc_id, noun, x.uri AS uri, max(x.final_score) AS final_score FROM x WHERE x.uri IS NOT NULL AND x.final_score IS NOT NULL GROUP BY ALL)"""
+_CAND = """, x AS (SELECT doc_id, sent_id, tuple_id, CASE role WHEN 'subject' THEN 1 WHEN 'direct_object' THEN 3 WHEN 'indirect_object' THEN 4 ELSE 9 END AS rk, ord, generate_subscripts(e.entity, 1) AS pl, e.word AS noun, unnest(e.entity) AS x FROM e WHERE role <> 'predicate'),
+cand AS (SELECT DISTINCT ON (doc_id, noun, x.uri) doc_id, noun, x.uri AS uri, x.final_score AS final_score FROM x WHERE x.uri IS NOT NULL AND x.final_score IS NOT NULL ORDER BY doc_id, noun, x.uri, sent_id NULLS FIRST, tuple_id, rk, ord, pl)"""
+_C = _E + _CAND
 
 
-def _walk(first: str, matrix: str, gamma: float, steps: int, name: str) -> str:
-    parts, prev = [], first
-    for k in range(1, steps + 1):
-        now = f"{name}{k}"
-        parts.append(f"{now} AS (SELECT doc_id, i, sum(r) AS r FROM (SELECT {matrix}.doc_id, {matrix}.i, w * r * {1 - gamma} AS r FROM {matrix} JOIN {prev} ON {matrix}.doc_id = {prev}.doc_id AND {matrix}.j = {prev}.i UNION ALL SELECT doc_id, i, r * {gamma} FROM {first}) GROUP BY ALL)")
-        prev = now
-    return ", ".join(parts)
+def _settled(name: str, first: str, matrix: str, gamma: float, steps: int) -> str:
+    """The settled walk as the sum of its steps without restart; what is left after ``steps`` is below 1e-11."""
+    return f"""{name}t AS (SELECT doc_id, i, r, 0 AS k FROM {first} UNION ALL SELECT m.doc_id, m.i, sum(m.w * t.r * {1 - gamma}), t.k + 1 FROM {name}t t JOIN {matrix} m ON m.doc_id = t.doc_id AND m.j = t.i WHERE t.k < {steps} GROUP BY m.doc_id, m.i, t.k),
+{name} AS (SELECT doc_id, i, {gamma} * sum(r) AS r FROM {name}t GROUP BY ALL)"""
 
 
 _SIM = "({r}a = {r}b OR CASE WHEN coalesce({x}.reference, '') <> '' THEN lower({x}.reference) = {r}b ELSE coalesce(lower({y}.reference) = {r}a, FALSE) END)"
@@ -261,6 +268,43 @@ def _both(r: str) -> str:
 
 _USED = "role <> 'predicate' AND (role <> 'adverbial' OR e.prep IS NOT NULL)"
 
+_W2 = ", " + _KT.removeprefix("WITH ") + ", " + _REL + """, pr AS (SELECT DISTINCT a.doc_id, u1, u2, score FROM cand a JOIN rel ON a.uri = u1 JOIN cand b ON a.doc_id = b.doc_id AND b.uri = u2 WHERE a.noun <> b.noun),
+wx AS (SELECT doc_id, 'E:' || uri AS i, 'N:' || noun AS j, final_score AS w FROM cand UNION ALL SELECT doc_id, 'E:' || u1, 'E:' || u2, score FROM pr UNION ALL SELECT doc_id, 'E:' || u2, 'E:' || u1, score FROM pr),
+wy AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, j) AS s FROM wx), w2 AS (SELECT doc_id, i, j, w / s AS w FROM wy WHERE s > 0)"""
+
+
+def _steps(gamma: float) -> int:
+    return 80 if gamma >= 0.3 else 130 if gamma >= 0.2 else 270
+
+
+def _chosen(gamma1: float, gamma2: float) -> str:
+    return (
+        _L1 + _CAND + _W2 + ", " + _settled("r1", "r0", "w", gamma1, _steps(gamma1)) + """, sd AS (SELECT DISTINCT r1.* FROM r1 JOIN cand ON cand.doc_id = r1.doc_id AND cand.noun = r1.i),
+v2 AS (SELECT doc_id, 'N:' || i AS i, r / sum(r) OVER (PARTITION BY doc_id) AS r FROM sd), """ + _settled("r2", "v2", "w2", gamma2, _steps(gamma2)) + """,
+sc AS (SELECT cand.doc_id, noun, uri, round(r * final_score, 12) AS score FROM cand JOIN r2 ON r2.doc_id = cand.doc_id AND r2.i = 'E:' || cand.uri),
+bst AS (SELECT doc_id, noun, arg_max(uri, (score, uri)) AS uri, max(score) AS score FROM sc WHERE score > 0 GROUP BY doc_id, noun)"""
+    )
+
+
+_PRUNED = f""", mea AS (SELECT DISTINCT doc_id, src, x.uri AS uri FROM (SELECT doc_id, e.word AS src, unnest(e.entity) AS x FROM e WHERE {_USED}) WHERE x.uri IS NOT NULL),
+pruned AS (SELECT mea.doc_id, src, 'Entity:' || mea.uri AS dst, 'means' AS relation FROM mea LEFT JOIN bst ON bst.doc_id = mea.doc_id AND bst.noun = mea.src WHERE bst.uri IS NULL OR bst.uri = mea.uri)"""
+
+
+def _greedy(gamma1: float, gamma2: float) -> str:
+    """Nodes of each document one by one in their order, with the list of those taken."""
+    return (
+        _chosen(gamma1, gamma2) + """, fa AS (SELECT DISTINCT cand.doc_id, cand.noun AS i, coalesce(bst.score, 0.0) AS f FROM cand LEFT JOIN bst USING (doc_id, noun)),
+v3 AS (SELECT r1.doc_id, r1.i, r * coalesce(f, 1.0) AS r FROM r1 LEFT JOIN fa ON fa.doc_id = r1.doc_id AND fa.i = r1.i), """ + _settled("r3", "v3", "w", gamma1, _steps(gamma1)) + ", " + _OV.removeprefix(_E + ", ") + """,
+cp AS (SELECT DISTINCT doc_id, least(ai, bi) AS a, greatest(ai, bi) AS b FROM ov WHERE ai <> bi), nb AS (SELECT doc_id, id, list(other) AS others FROM (SELECT doc_id, a AS id, b AS other FROM cp UNION SELECT doc_id, b, a FROM cp) GROUP BY ALL),
+rk AS (SELECT nb.doc_id, id, others, row_number() OVER (PARTITION BY nb.doc_id ORDER BY round(coalesce(r, 0.0), 9) DESC, id) AS k FROM nb LEFT JOIN r3 ON r3.doc_id = nb.doc_id AND r3.i = nb.id),
+gr AS (SELECT doc_id, 1 AS k, [id] AS taken FROM rk WHERE k = 1 UNION ALL SELECT rk.doc_id, gr.k + 1, CASE WHEN list_has_any(others, taken) THEN taken ELSE list_append(taken, id) END FROM gr JOIN rk ON rk.doc_id = gr.doc_id AND rk.k = gr.k + 1),
+kept AS (SELECT doc_id, unnest(taken) AS id FROM (SELECT doc_id, arg_max(taken, k) AS taken FROM gr GROUP BY doc_id))"""
+    )
+
+
+_RESOLVED = _greedy(0.1, 0.2) + """, lost AS (SELECT doc_id, id FROM nb ANTI JOIN kept USING (doc_id, id)), dn AS (SELECT DISTINCT ge.doc_id, src FROM ge JOIN lost ON lost.doc_id = ge.doc_id AND lost.id = ge.dst UNION SELECT doc_id, id FROM lost),
+st AS (SELECT ge.* FROM ge ANTI JOIN dn ON dn.doc_id = ge.doc_id AND dn.src = ge.src), rest AS (SELECT st.* FROM st WHERE EXISTS (SELECT 1 FROM st s WHERE s.doc_id = st.doc_id AND s.src = st.src AND s.relation = 'subj'))"""
+
 ORACLE = {
     "elements": _E + " SELECT doc_id, sent_id, tuple_id, role, ord, e.word AS word, e.prep AS prep FROM e",
     "refine_word": _E + f" SELECT {_REFINE.format('e.word')} AS refined, count(*) AS n FROM e GROUP BY ALL",
@@ -308,14 +352,22 @@ SELECT x.doc_id, sent_id, tuple_id, role, ord, word, coalesce(a.t, b.t) AS ne_ty
     "entity_candidates": _C + " SELECT * FROM cand",
     "best_entity": _C + " SELECT doc_id, noun, arg_max(uri, (final_score, uri)) AS uri, max(final_score) AS final_score FROM cand WHERE final_score >= 0.5 GROUP BY doc_id, noun",
     "level1_matrix": _L1 + " SELECT doc_id, i, j, round(w, 6) AS w FROM w",
-    "level2_matrix": _C + ", " + _KT.removeprefix("WITH ") + ", " + _REL + """, pr AS (SELECT DISTINCT a.doc_id, u1, u2, score FROM cand a JOIN rel ON a.uri = u1 JOIN cand b ON a.doc_id = b.doc_id AND b.uri = u2 WHERE a.noun <> b.noun),
-w AS (SELECT doc_id, 'E:' || uri AS i, 'N:' || noun AS j, final_score AS w FROM cand UNION ALL SELECT doc_id, 'E:' || u1, 'E:' || u2, score FROM pr UNION ALL SELECT doc_id, 'E:' || u2, 'E:' || u1, score FROM pr),
-v AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, j) AS s FROM w) SELECT doc_id, i, j, round(w / s, 6) AS w FROM v WHERE s > 0""",
-    "rwr_20_steps": _L1 + ", " + _walk("r0", "w", 0.3, 20, "r_") + " SELECT doc_id, i, round(r, 6) AS r FROM r_20",
-    "score_tuples": _L1 + ", " + _walk("r0", "w", 0.3, 5, "r_") + " SELECT ge.doc_id, src, round(avg(r), 6) AS score FROM ge JOIN r_5 ON ge.doc_id = r_5.doc_id AND ge.dst = r_5.i GROUP BY ALL",
-    "pruned_entities": _C + f""", bst AS (SELECT doc_id, noun, arg_max(uri, (final_score, uri)) AS uri FROM cand GROUP BY doc_id, noun),
-me AS (SELECT DISTINCT doc_id, src, x.uri AS uri FROM (SELECT doc_id, e.word AS src, unnest(e.entity) AS x FROM e WHERE {_USED}) WHERE x.uri IS NOT NULL)
-SELECT me.doc_id, src, 'Entity:' || me.uri AS dst, 'means' AS relation FROM me LEFT JOIN bst ON bst.doc_id = me.doc_id AND bst.noun = me.src WHERE bst.uri IS NULL OR bst.uri = me.uri""",
+    "level2_matrix": _C + _W2 + " SELECT doc_id, i, j, round(w, 6) AS w FROM w2",
+    "restart_walk": _L1 + ", " + _settled("r1", "r0", "w", 0.3, 80) + " SELECT doc_id, i, round(r, 6) AS r FROM r1",
+    "score_tuples": _L1 + ", " + _settled("r1", "r0", "w", 0.3, 80) + " SELECT ge.doc_id, src, round(avg(r), 6) AS score FROM ge JOIN r1 ON ge.doc_id = r1.doc_id AND ge.dst = r1.i GROUP BY ALL",
+    "entity_argmax": _chosen(0.3, 0.1) + " SELECT doc_id, noun, uri, round(score, 6) AS score FROM bst",
+    "pruned_entities": _chosen(0.3, 0.1) + _PRUNED + " SELECT * FROM pruned",
+    "greedy_independent_set": _greedy(0.3, 0.1) + " SELECT doc_id, id FROM kept",
+    "joint_optimize": _RESOLVED + """ SELECT doc_id, src AS predicate_id, min(dst) FILTER (relation = 'subj') AS subject, min(dst) FILTER (relation = 'dobj') AS direct_object, min(dst) FILTER (relation = 'iobj') AS indirect_object,
+  coalesce(array_to_string(list_sort(list(relation || ' ' || dst) FILTER (relation NOT IN ('subj', 'dobj', 'iobj'))), '||'), '') AS adverbial FROM rest GROUP BY doc_id, src""",
+    "joint_tuples": _RESOLVED + _PRUNED + f""", mn AS (SELECT pruned.doc_id, src, list(substr(dst, 8)) AS uris FROM pruned SEMI JOIN rest ON rest.doc_id = pruned.doc_id AND rest.dst = pruned.src GROUP BY ALL),
+el AS (SELECT e.doc_id, e.sent_id, e.tuple_id, e.role, e.ord, e.e AS e, CASE WHEN mn.uris IS NULL THEN list_transform(e.e.entity, lambda y: y.uri) ELSE list_filter(list_transform(e.e.entity, lambda y: y.uri), lambda u: list_contains(mn.uris, u)) END AS uris
+  FROM e SEMI JOIN rest ON rest.doc_id = e.doc_id AND rest.src = concat_ws(':', e.doc_id, e.sent_id, e.tuple_id) AND rest.dst = e.e.word AND rest.relation = CASE e.role WHEN 'subject' THEN 'subj' WHEN 'direct_object' THEN 'dobj' WHEN 'indirect_object' THEN 'iobj' WHEN 'adverbial' THEN e.e.prep END
+  LEFT JOIN mn ON mn.doc_id = e.doc_id AND mn.src = e.e.word WHERE e.role <> 'predicate')
+SELECT t.doc_id, t.sent_id, t.tuple_id, t.negation, t.predicate.word AS predicate, """ + ", ".join(
+        f"max(el.e.word) FILTER (role = '{r}') AS {r}, max(array_to_string(el.e.word_index, ' ')) FILTER (role = '{r}') AS {r}_index, max(el.e.reference) FILTER (role = '{r}') AS {r}_reference, max(array_to_string(list_sort(uris), ' ')) FILTER (role = '{r}') AS {r}_uris" for r in ("subject", "direct_object", "indirect_object")
+    ) + """, coalesce(string_agg(concat_ws(' ', el.e.prep, el.e.word), '||' ORDER BY ord) FILTER (role = 'adverbial'), '') AS adverbial
+FROM t JOIN el USING (doc_id, tuple_id) GROUP BY ALL HAVING count(*) FILTER (role = 'subject') > 0""",
     "semantic_edges": _TR + f""", ix AS (SELECT tuple_id, 'subject' AS role, 0 AS o, subject AS e FROM x UNION ALL SELECT tuple_id, 'dobj', 0, direct_object FROM x UNION ALL SELECT tuple_id, 'iobj', 0, indirect_object FROM x
   UNION ALL SELECT tuple_id, 'adv', generate_subscripts(adv, 1), unnest(adv) FROM x),
 el AS (SELECT tuple_id, role, o, e.prep AS prep, concat_ws(' ', nullif(e.prep, ''), e.word) AS w, coalesce(list_min(e.word_index), -1) AS m FROM ix WHERE e.word IS NOT NULL),
