@@ -184,9 +184,10 @@ def clause_type(dialect: str = "corenlp") -> Column:
 
 
 def typed_verbs(sents: DataFrame, dialect: str = "corenlp") -> DataFrame:
-    """Verbs with their clause type (null: none) and ``negation``."""
+    """Verbs with their clause type (null: none) and ``negation``; that of a copula hangs on its complement."""
     e = enriched(sents).filter("pos LIKE 'VB%'")
-    return e.withColumn("clause_type", clause_type(dialect)).withColumn("negation", F.array_contains(rels(), "neg"))
+    where = F.when(F.col("rel") == "cop", rels("parent_kids")).otherwise(rels())
+    return e.withColumn("clause_type", clause_type(dialect)).withColumn("negation", F.array_contains(where, "neg"))
 
 
 def head_tuples(sents: DataFrame, kind: str) -> DataFrame:

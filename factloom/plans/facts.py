@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import algebra, graph, kb
-from factloom.runtime import table
+from factloom.runtime import ship, table
 
 COLUMNS = ["doc_id", "sent_id", "tuple_id", "run", "clause_type", "negation", "subject", "predicate", "direct_object", "indirect_object", "adverbial"]
 
@@ -198,11 +198,64 @@ def kb_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.page_urls(table(spark, sf_dir, "kb_things"))
 
 
+# Fixed tuples in which runs agree, as the tables hold none that do: run, sentence, subject, predicate, direct object,
+# indirect object and adverbials, each 'word', 'word/preposition' or 'word@reference'.
+CASES = [
+    ("raw", 1, "Ann", "met", "Bob", "", ["noon/at", "Vienna/in"]), ("decomposition", 1, "ann", "Met", "bob", "", ["vienna/in", "noon/at"]), ("decomposition", 1, "Ann", "met", "Bob", "", ["the park/in"]),
+    ("raw", 2, "She@Ann", "sold", "the map", "him@Bob", []), ("decomposition", 2, "Ann", "sold", "the map", "Bob", []), ("decomposition", 2, "Ann", "sold", "the map", "", []),
+    ("raw", 3, "the town 's hall", "opened", "", "", ["1874/in"]), ("decomposition", 3, "the town's hall", "opened", "", "", ["1874/in"]), ("decomposition", 3, "the hall", "opened", "", "", ["1874/in"]),
+    ("raw", 4, "the map", "was", "old", "", []), ("raw", 4, "the map", "was", "old", "", []), ("decomposition", 4, "The map", "was", "old", "", ["then/by"]), ("decomposition", 4, "the map", "was", "old", "", []), ("decomposition", 4, "the map", "was", "old", "", ["fact/in"]),
+    ("raw", 5, "It@the map", "burned", "", "", []), ("decomposition", 5, "the map", "burned", "It@the map", "", []), ("decomposition", 5, "he@Ann", "left", "", "", []),
+]
+ELEMENT = "struct<word:string,word_index:array<int>,prep:string,reference:string,ne_type:string,entity:array<struct<uri:string,final_score:double>>>"
+
+
+def _case(text: str) -> tuple | None:
+    word, _, prep = text.partition("/")
+    word, _, reference = word.partition("@")
+    return (word, [0], prep or None, reference or None, None, None) if word else None
+
+
+def _case_rows() -> list[tuple]:
+    return [(7, s, i, run, "SVO", False, _case(a), _case(b), _case(c), _case(d), [_case(x) for x in e]) for i, (run, s, a, b, c, d, e) in enumerate(CASES, 1)]
+
+
+def case_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = f"doc_id bigint, sent_id int, tuple_id bigint, run string, clause_type string, negation boolean, {', '.join(f'{r} {ELEMENT}' for r in algebra.ROLES)}, adverbial array<{ELEMENT}>"
+    ship(spark.sparkContext)
+    return spark.createDataFrame(_case_rows(), schema)
+
+
+def equal_tuples_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = case_tuples(spark, sf_dir)
+    return algebra.equal_pairs(t.filter("run = 'raw'"), t.filter("run = 'decomposition'"))
+
+
+def compare_tuples_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = case_tuples(spark, sf_dir)
+    return algebra.compared(t.filter("run = 'raw'"), t.filter("run = 'decomposition'"))
+
+
+def merge_runs_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = case_tuples(spark, sf_dir)
+    return algebra.merge_runs(t.filter("run = 'raw'"), t.filter("run = 'decomposition'")).withColumn("adv", F.array_join("adv", "\u0003"))
+
+
+def triple_eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = case_tuples(spark, sf_dir)
+    return algebra.evaluate(t.filter("run = 'decomposition'"), t.filter("run = 'raw'"))
+
+
+def reference_edges_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reference_edges(case_tuples(spark, sf_dir))
+
+
 _NAMES = [
     "elements", "refine_word", "pronoun_type", "to_triples", "tuple_dedup", "tuple_hash", "equal_tuples", "compare_tuples", "merge_runs", "lexical_validate", "overlap_collisions", "triple_eval",
     "graph_nodes", "graph_edges", "means_edges", "reference_edges", "semantic_edges", "merge_triples", "collision_edges", "refine_graph", "collect_tuples", "mention_link", "entity_candidates", "best_entity",
     "level1_matrix", "level2_matrix", "restart_walk", "entity_argmax", "pruned_entities", "score_tuples", "greedy_independent_set", "joint_optimize", "joint_tuples",
     "kb_neighbours", "kb_relations", "kb_heads", "kb_tails", "kb_paths", "kb_relatedness", "kb_pages",
+    "equal_tuples_cases", "compare_tuples_cases", "merge_runs_cases", "triple_eval_cases", "reference_edges_cases",
 ]
 
 
@@ -384,3 +437,15 @@ SELECT DISTINCT doc_id, p || '#' || i AS src, s AS dst, 'subj' AS relation FROM
     "kb_relatedness": _KT + ", " + _REL + " SELECT * FROM rel",
     "kb_pages": "SELECT DISTINCT uri, 'page:' || uri AS url FROM kb_things WHERE uri IS NOT NULL",
 }
+
+
+def _case_sql() -> str:
+    """The fixed tuples as a table in SQL."""
+    text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    kind = "STRUCT(word VARCHAR, word_index INT[], prep VARCHAR, reference VARCHAR, ne_type VARCHAR, entity STRUCT(uri VARCHAR, final_score DOUBLE)[])"
+    el = lambda e: f"CAST(NULL AS {kind})" if e is None else f"CAST({{'word': {text(e[0])}, 'word_index': [0], 'prep': {text(e[2])}, 'reference': {text(e[3])}, 'ne_type': NULL, 'entity': NULL}} AS {kind})"
+    rows = [f"({d}, {s}, {i}, '{run}', 'SVO', FALSE, {el(a)}, {el(b)}, {el(c)}, {el(x)}, CAST([{', '.join(map(el, adv))}] AS {kind}[]), TIMESTAMP '2020-01-01')" for d, s, i, run, _, _, a, b, c, x, adv in _case_rows()]
+    return f"(SELECT * FROM (VALUES {', '.join(rows)}) v(doc_id, sent_id, tuple_id, run, clause_type, negation, subject, predicate, direct_object, indirect_object, adverbial, loaded_at))"
+
+
+ORACLE |= {f"{n}_cases": ORACLE[n].replace("FROM tuples", f"FROM {_case_sql()}") for n in ("equal_tuples", "compare_tuples", "merge_runs", "triple_eval", "reference_edges")}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
@@ -22,7 +22,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotations.tokens(sentences(spark, sf_dir)).drop("ner")
+    return annotations.tokens(sentences(spark, sf_dir))
 
 
 def conllu_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ def svoo_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copula_svc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.head_tuples(sentences(spark, sf_dir), "SVc").drop("negation")
+    return trees.head_tuples(sentences(spark, sf_dir), "SVc")
 
 
 def extra_adverbial(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,8 @@ def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coref_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions as token spans of the whole text, with the span of their cluster's representative."""
     sizes = sentences(spark, sf_dir).select("ann_id", (F.col("sent_id") + 1).alias("sentNum"), F.size("tokens").alias("n"))
-    starts = sizes.alias("a").join(sizes.alias("b"), (F.col("a.ann_id") == F.col("b.ann_id")) & (F.col("b.sentNum") < F.col("a.sentNum")), "left").groupBy("a.ann_id", "a.sentNum").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
+    before = Window.partitionBy("ann_id").orderBy("sentNum").rowsBetween(Window.unboundedPreceding, -1)  # the sentences of one record
+    starts = sizes.select("ann_id", "sentNum", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     m = _mentions(spark, sf_dir).join(starts, ["ann_id", "sentNum"])
     placed = m.select("ann_id", "parent", "main", "child", (F.col("base") + F.col("startIndex") - 1).alias("start"), (F.col("base") + F.col("endIndex") - 1).alias("end"))
     main = placed.filter("main").groupBy("ann_id", "parent").agg(F.min(F.struct("child", "start", "end")).alias("r"))
@@ -199,7 +200,7 @@ def pronoun_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.filter(pronoun & ~F.coalesce(F.col("main"), F.lit(False))).join(main, ["ann_id", "parent"]).select("ann_id", "sentNum", "startIndex", "text", "reference")
 
 
-def tuple_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tuples written in the text format and read again: one row per tuple line, whole."""
     t = facts.tuples(spark, sf_dir).select("doc_id", "sent_id", "tuple_id", "negation", *algebra.ROLES, "adverbial")
     texts = tuple_text.to_text(t, "doc_id", "sent_id", F.concat(F.lit("sentence "), F.coalesce(F.col("sent_id").cast("string"), F.lit("unknown"))), "tuple_id")
@@ -208,6 +209,14 @@ def tuple_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "sentence", *[F.col(f"{r}.word").alias(r) for r in algebra.ROLES], "negation", *[F.col(f"{r}.reference").alias(f"{r}_reference") for r in nouns], *[F.col(f"{r}.word_index").alias(f"{r}_index") for r in algebra.ROLES], F.transform("adverbial", lambda a: F.struct(a["prep"].alias("prep"), a["word"].alias("word"), a["word_index"].alias("word_index"))).alias("adverbial"))
 
 
+def tuple_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = read_back(spark, sf_dir)
+    places = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), " ")
+    adv = F.transform("adverbial", lambda a: F.concat(F.coalesce(a["prep"], F.lit("-")), F.lit("|"), a["word"], F.lit("|"), places(a["word_index"])))
+    index = {f"{r}_index": places(f"{r}_index") for r in algebra.ROLES}
+    return back.withColumns(index).withColumn("adverbial", F.array_join(adv, "||"))
+
+
 def tuple_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = tuple_text.to_json(facts.tuples(spark, sf_dir))
     return j.select("tuple_id", F.get_json_object("json", "$.predicate.word").alias("predicate"), F.get_json_object("json", "$.clause_type").alias("clause_type"))
@@ -229,7 +238,7 @@ tl AS (SELECT ann_id, sent_id, json_extract(s, '$.tokens[*]') AS l FROM st), tk
 dl AS (SELECT ann_id, sent_id, list_concat(json_extract(s, '$.basicDependencies[*]'), json_extract(s, '$."basic-dependencies"[*]')) AS l FROM st),
 dp AS (SELECT ann_id, sent_id, generate_subscripts(l, 1) AS o, unnest(l) AS x FROM dl),
 dq AS (SELECT ann_id, sent_id, CAST(x->>'dependent' AS INT) AS i, arg_min(CAST(x->>'governor' AS INT), o) AS head, arg_min(lower(trim(x->>'dep')), o) AS dep FROM dp WHERE x->>'dependent' IS NOT NULL GROUP BY ALL),
-tok AS (SELECT ann_id, sent_id, i, coalesce(t->>'word', t->>'originalText') AS word, t->>'pos' AS pos, head,
+tok AS (SELECT ann_id, sent_id, i, coalesce(t->>'word', t->>'originalText') AS word, t->>'pos' AS pos, t->>'ner' AS ner, head,
   CASE dep WHEN 'obj' THEN 'dobj' WHEN 'obl' THEN 'nmod' WHEN 'nsubj:pass' THEN 'nsubjpass' WHEN 'aux:pass' THEN 'auxpass' WHEN 'csubj:pass' THEN 'csubjpass' WHEN 'dative' THEN 'iobj' WHEN 'nmod:of' THEN 'nmod' WHEN 'prt' THEN 'compound:prt' WHEN '' THEN NULL ELSE dep END AS rel
   FROM tk LEFT JOIN dq USING (ann_id, sent_id, i))"""
 _ON = "{0}.ann_id = {1}.ann_id AND {0}.sent_id = {1}.sent_id"
@@ -250,7 +259,7 @@ ty AS (SELECT *, CASE WHEN v IN ('is', 'am', 'are', 'was', 'were', 'be', 'been',
   WHEN v IN ('is', 'am', 'are', 'was', 'were', 'be', 'been', 'being') AND (s IS NOT NULL OR list_has_any(pr, ['nsubj', 'nsubjpass'])) AND list_has_any(r, ['ccomp', 'xcomp', 'expl'])
     THEN CASE WHEN list_contains(r, 'ccomp') THEN 'SVcC' WHEN list_contains(r, 'xcomp') THEN 'SVcX' ELSE 'SVb' END
   WHEN s IS NULL THEN NULL WHEN list_has_all(r, ['dobj', 'iobj']) THEN 'SVOO' WHEN list_has_all(r, ['dobj', 'xcomp']) THEN 'SVOC' WHEN list_contains(r, 'dobj') THEN 'SVO'
-  WHEN list_contains(r, 'xcomp') THEN 'SVX' WHEN list_contains(r, 'ccomp') THEN 'SVC' ELSE 'SV' END AS clause_type, list_contains(r, 'neg') AS negation FROM vb)"""
+  WHEN list_contains(r, 'xcomp') THEN 'SVX' WHEN list_contains(r, 'ccomp') THEN 'SVC' ELSE 'SV' END AS clause_type, list_contains(CASE WHEN rel = 'cop' THEN pr ELSE r END, 'neg') AS negation FROM vb)"""
 _DOWN = _TOK + f""", lk AS (SELECT ann_id, sent_id, i, nullif(head, 0) AS up, rel FROM tok WHERE head IS NOT NULL),
 w AS (SELECT ann_id, sent_id, i AS node, i, rel, coalesce(rel IN ('conj', 'cc', 'punct'), FALSE) AS cut, 0 AS d FROM lk
   UNION ALL SELECT w.ann_id, w.sent_id, w.node, l.i, l.rel, cut OR coalesce(l.rel IN ('conj', 'cc', 'punct'), FALSE), d + 1 FROM w JOIN lk c ON {_on('w', 'c')} AND c.i = w.i JOIN lk l ON {_on('w', 'l')} AND l.i = c.up WHERE d < 250),
@@ -282,11 +291,19 @@ rec AS (SELECT ann_id, coalesce(json_extract(d, '$.result'), d) AS d FROM (SELEC
 ck AS (SELECT ann_id, d, unnest(json_keys(d, '$.corefs')) AS parent FROM rec), cl AS (SELECT ann_id, parent, CAST(json_extract(d, '$.corefs."' || parent || '"') AS JSON[]) AS l FROM ck),
 cm AS (SELECT ann_id, parent, generate_subscripts(l, 1) AS child, unnest(l) AS x FROM cl),
 m AS (SELECT ann_id, parent, child, x->>'text' AS text, CAST(x->>'startIndex' AS INT) AS startIndex, CAST(x->>'endIndex' AS INT) AS endIndex, CAST(x->>'sentNum' AS INT) AS sentNum, (x->>'isRepresentativeMention') = 'true' AS main FROM cm)"""
-_CLEANED = "nullif(trim(regexp_replace({0}.word, '[;|()?#!\\s]+', ' ', 'g')), '')"
+_PARTS = "(1 + len(regexp_extract_all(regexp_replace(ltrim({0}.word, ' '), '([^ ]) $', '\\1'), ' +')))"
+_PLACED = f"CASE WHEN {_PARTS} = len({{0}}.word_index) OR ({{0}}.prep IS NOT NULL AND {_PARTS} + 1 = len({{0}}.word_index)) THEN array_to_string({{0}}.word_index, ' ') ELSE '' END"
+_PLACED_ADV = _PLACED.replace("({0}.prep IS NOT NULL AND", f"(({{0}}.prep IS NOT NULL OR {_PARTS} > 1) AND")
+_ROUND = (
+    "WITH t AS (SELECT DISTINCT ON (tuple_id) * FROM tuples ORDER BY tuple_id, loaded_at) SELECT doc_id, 'sentence ' || coalesce(CAST(sent_id AS VARCHAR), 'unknown') AS sentence, coalesce(negation, FALSE) AS negation, "
+    + ", ".join(f"CASE WHEN {r}.word IS NOT NULL THEN concat_ws(' ', {r}.prep, {r}.word) END AS {r}, CASE WHEN {r}.word IS NOT NULL THEN {_PLACED.format(r)} END AS {r}_index" for r in algebra.ROLES)
+    + ", " + ", ".join(f"CASE WHEN {r}.word IS NOT NULL THEN {r}.reference END AS {r}_reference" for r in algebra.ROLES if r != "predicate")
+    + ", array_to_string(list_transform(list_filter(coalesce(adverbial, []), lambda a: a.word IS NOT NULL), lambda a: coalesce(a.prep, '-') || '|' || a.word || '|' || " + _PLACED_ADV.format("a") + "), '||') AS adverbial FROM t"
+)
 
 ORACLE = {
     "tokens": _TOK + " SELECT * FROM tok",
-    "conllu_roundtrip": _TOK + " SELECT * FROM tok",
+    "conllu_roundtrip": _TOK + " SELECT * EXCLUDE (ner) FROM tok",
     "tokenize_count": "SELECT doc_id, coalesce(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]')), 0) AS n_tokens FROM documents",
     "whitespace_tokens": "SELECT token, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents) GROUP BY token",
     "clean_words": "SELECT uri, split_part(label, '(', 1) AS name FROM kb_things",
@@ -314,7 +331,7 @@ SELECT t.ann_id, t.sent_id, coalesce(string_agg(coalesce(word, ''), ' ' ORDER BY
     "svo_tuples": _SUBJ + f" SELECT ty.ann_id, ty.sent_id, ty.i, subject, v AS predicate, negation, object FROM ty JOIN sj ON {_on('ty', 'sj')} AND sj.i = ty.i JOIN ob ON {_on('ty', 'ob')} AND ob.i = ty.i AND ob.rel = 'dobj' WHERE clause_type = 'SVO'",
     "svoo_tuples": _SUBJ + f" SELECT ty.ann_id, ty.sent_id, ty.i, subject, v AS predicate, negation, d.object, x.object AS indirect_object FROM ty JOIN sj ON {_on('ty', 'sj')} AND sj.i = ty.i JOIN ob d ON {_on('ty', 'd')} AND d.i = ty.i AND d.rel = 'dobj' JOIN ob x ON {_on('ty', 'x')} AND x.i = ty.i AND x.rel = 'iobj' WHERE clause_type = 'SVOO'",
     "copula_svc": _SUBJ + f""", cp AS (SELECT p.ann_id, p.sent_id, p.i AS p, x.i AS o, x.word AS object FROM tok p JOIN tok x ON {_on('p', 'x')} AND (x.i = p.i OR (x.head = p.i AND x.rel = 'conj' AND NOT EXISTS (SELECT 1 FROM tok c WHERE {_on('c', 'x')} AND c.head = x.i AND c.rel = 'cop'))) WHERE NOT coalesce(x.pos LIKE 'VB%', FALSE))
-SELECT ty.ann_id, ty.sent_id, ty.i, subject, v AS predicate, object FROM ty JOIN sj ON {_on('ty', 'sj')} AND sj.i = ty.head JOIN cp ON {_on('ty', 'cp')} AND cp.p = ty.head WHERE clause_type = 'SVc'""",
+SELECT ty.ann_id, ty.sent_id, ty.i, subject, v AS predicate, object, list_contains(pr, 'neg') AS negation FROM ty JOIN sj ON {_on('ty', 'sj')} AND sj.i = ty.head JOIN cp ON {_on('ty', 'cp')} AND cp.p = ty.head WHERE clause_type = 'SVc'""",
     "extra_adverbial": _NM + " SELECT * FROM pn WHERE nth > 1",
     "verb_chunks": _TOK + """, cd AS (SELECT ann_id, sent_id, string_agg(CASE WHEN pos LIKE 'VB%' THEN 'V' WHEN pos IN ('IN', 'TO', 'PR') THEN 'p' WHEN regexp_matches(pos, '^(NN|JJ|RB.*|PRP.*|DT)$') THEN 'w' ELSE 'x' END, '' ORDER BY i) AS c FROM tok GROUP BY ALL),
 vc AS (SELECT t.ann_id, t.sent_id, t.i AS lo, CASE WHEN regexp_matches(substr(c, i), '^Vpp') THEN 3 WHEN regexp_matches(substr(c, i), '^Vp?w+p') THEN length(regexp_extract(substr(c, i), '^(Vp?w+)p', 1)) WHEN regexp_matches(substr(c, i), '^Vp') THEN 2 ELSE 1 END AS n FROM tok t JOIN cd USING (ann_id, sent_id) WHERE pos LIKE 'VB%')
@@ -326,6 +343,6 @@ pl AS (SELECT ann_id, parent, main, child, CAST(base + startIndex - 1 AS BIGINT)
 SELECT DISTINCT ann_id, s AS start, e AS "end", rs AS ref_start, re AS ref_end FROM pl JOIN mn USING (ann_id, parent)""",
     "pronoun_references": _CR + """, mn AS (SELECT ann_id, parent, arg_min(text, child) AS reference FROM m WHERE main GROUP BY ALL)
 SELECT ann_id, sentNum, startIndex, text, reference FROM m JOIN mn USING (ann_id, parent) WHERE lower(text) IN ('it', 'he', 'she', 'him', 'her', 'they', 'them') AND endIndex - startIndex = 1 AND NOT coalesce(main, FALSE)""",
-    "tuple_text_roundtrip": "WITH t AS (SELECT DISTINCT ON (tuple_id) * FROM tuples ORDER BY tuple_id, loaded_at) SELECT doc_id, 'sentence ' || sent_id AS sentence, " + ", ".join(f"{_CLEANED.format(r)} AS {r}" for r in ("subject", "predicate", "direct_object", "indirect_object")) + " FROM t WHERE sent_id IS NOT NULL",
+    "tuple_text_roundtrip": _ROUND,
     "tuple_json": "SELECT DISTINCT ON (tuple_id) tuple_id, predicate.word AS predicate, clause_type FROM tuples ORDER BY tuple_id, loaded_at",
 }

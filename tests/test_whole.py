@@ -1,12 +1,12 @@
 """Queries that once did less than their whole job, compared with exact results."""
 
+import random
 from collections import defaultdict
 
 import numpy as np
 
-from factloom.llm import queries as llm
 from factloom.operators import graph, kb
-from factloom.plans import catalog, facts
+from factloom.plans import catalog, facts, parses
 
 from .conftest import DATA
 
@@ -107,7 +107,7 @@ def _read(df):
 
 
 def test_whole_tuples_are_read_back_from_text(spark, tmp_path):
-    q = catalog.queries()["tuple_text_roundtrip"]
+    q = parses.read_back
     assert _read(q(spark, DATA)) == _written(facts.tuples(spark, DATA))
     el = lambda w, index=(), prep=None, reference=None: (w, list(index), prep, reference, None, None)
     rows = [
@@ -120,16 +120,26 @@ def test_whole_tuples_are_read_back_from_text(spark, tmp_path):
     assert got == want
 
 
-def test_predicate_terms_are_counted_up_to_the_longest_and_marked(spark, tmp_path):
-    said = [(1, 1, "would have been sold"), (2, 2, "would  have been sold"), (3, 3, "Would have been"), (4, 3, "was"), (5, 4, "")]
-    rows = [(i, d, (w, None, None, None, None, None), "SVO") for i, d, w in said]
-    spark.createDataFrame(rows, f"tuple_id bigint, doc_id bigint, predicate {E}, clause_type string").write.parquet(str(tmp_path / "tuples.parquet"))
-    docs, n = defaultdict(set), defaultdict(int)
-    for _, d, text in said:
-        ws = text.lower().split()
-        for g in (" ".join(ws[i:j]) for i in range(len(ws)) for j in range(i + 1, len(ws) + 1)):
-            docs[g].add(d)
-            n[g] += 1
-    want = {g: (n[g], len(docs[g]), "rare" if len(docs[g]) < 3 else "common") for g in n}
-    got = {r.gram: (r.n, r.n_records, r.mark) for r in llm.queries()["p5_predicate_terms"](spark, str(tmp_path)).collect()}
-    assert got == want and got["would have been sold"] == (2, 2, "rare")
+def test_independent_sets_by_task_and_by_joins(spark):
+    rng = random.Random(3)
+    pairs = [(d, f"n{a}", f"n{b}") for d in range(4) for a in range(25) for b in range(a + 1, 25) if rng.random() < 0.12] + [(9, "x", "x")]
+    weights = [(d, f"n{i}", rng.choice([0.1, 0.2, 0.2, 0.5, None])) for d in range(4) for i in range(25)]
+    p = spark.createDataFrame(pairs, "doc_id bigint, a string, b string")
+    w = spark.createDataFrame(weights, "doc_id bigint, id string, weight double")
+    by = {(d, i): x or 0.0 for d, i, x in weights}
+    want = set()
+    for d in range(4):
+        ids = {x for e in pairs if e[0] == d for x in e[1:]}
+        for i in sorted(ids, key=lambda i: (-by[d, i], i)):
+            if not any((d, o) in want for e in pairs if e[0] == d and i in e[1:] for o in e[1:] if o != i):
+                want.add((d, i))
+    sets = {}
+    for trials in (0, 3):
+        for in_task in (10**6, 0):
+            sets[trials, in_task] = {(r.doc_id, r.id) for r in graph.independent_set(p, w, trials, in_task=in_task).collect()}
+        assert sets[trials, 0] == sets[trials, 10**6]
+    assert sets[0, 0] == want
+    for d in range(4):
+        total = lambda s: sum(by[x] for x in s if x[0] == d)
+        assert total(sets[3, 0]) >= total(want) - 1e-9
+    assert not any((d, a) in sets[3, 0] and (d, b) in sets[3, 0] for d, a, b in pairs)
