@@ -120,6 +120,15 @@ def link(t: DataFrame, mentions: DataFrame, things: DataFrame, compat: bool = Fa
     return out.select("doc_id", "sent_id", "tuple_id", "role", "ord", "word", F.coalesce("t1", "t2").alias("ne_type"), F.coalesce("u1", "u2").alias("uri"))
 
 
+def annotated_edges(t: DataFrame, linked: DataFrame) -> DataFrame:
+    """The graph of tuples whose elements have been linked (``link``): its edges, and from each of its nouns a ``means``
+    edge to each entity that its elements were linked to."""
+    edges = merged_edges(t)
+    nouns = edges.select("doc_id", F.col("dst").alias("src")).distinct()
+    means = linked.filter("uri IS NOT NULL").select("doc_id", F.col("word").alias("src"), F.concat(F.lit("Entity:"), "uri").alias("dst"), F.lit("means").alias("relation")).distinct()
+    return edges.unionByName(means.join(nouns, ["doc_id", "src"], "left_semi").select("doc_id", "src", "dst", "relation"))
+
+
 def level1(edges: DataFrame) -> DataFrame:
     """Sparse column-normalized adjacency of predicates and nouns: ``doc_id``, ``i``, ``j``, ``w``."""
     both = edges.select("doc_id", F.col("src").alias("i"), F.col("dst").alias("j")).unionByName(edges.select("doc_id", F.col("dst").alias("i"), F.col("src").alias("j"))).distinct()

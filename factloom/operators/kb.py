@@ -39,7 +39,9 @@ def tail_counts(kb: DataFrame) -> DataFrame:
 def path_counts(kb: DataFrame) -> DataFrame:
     """``u1`` < ``u2``, ``n_paths``: paths of two steps from one to the other, in both directions.
 
-    Hot middle uris are kept from squaring: steps are counted by (from, middle) first, and only then joined.
+    Steps are counted by (from, middle) first and only then joined, so repeated relations don't multiply. A middle with
+    many ways in and many out still has as many pairs as their product: these are the result, and a join on a hot middle
+    is split where adaptive execution sees it.
     """
     k = triples(kb)
     first = k.groupBy(F.col("head").alias("a"), F.col("tail").alias("m")).agg(F.count("*").alias("n"))
@@ -61,3 +63,16 @@ def relatedness(kb: DataFrame) -> DataFrame:
 def page_urls(things: DataFrame, prefix: str = "page:") -> DataFrame:
     """``uri``, ``url``: uri to page address by lookup."""
     return things.select("uri", F.concat(F.lit(prefix), "uri").alias("url")).dropna().distinct()
+
+
+def remember(memo: DataFrame, kb: DataFrame, things: DataFrame, asked: DataFrame) -> DataFrame:
+    """``memo`` (``uri``, ``neighbour``) with the neighbours of all ``asked`` uris that it doesn't have yet. A uri without
+    neighbours has one row with null, so it isn't looked up again."""
+    missing = asked.select("uri").dropna().distinct().join(memo.select("uri").distinct(), "uri", "left_anti")
+    found = neighbours(kb, things).join(missing, "uri", "left_semi").distinct()
+    return memo.select("uri", "neighbour").unionByName(missing.join(found, "uri", "left").select("uri", "neighbour"))
+
+
+def recall(memo: DataFrame, asked: DataFrame) -> DataFrame:
+    """The remembered neighbours of the ``asked`` uris."""
+    return memo.join(asked.select("uri").distinct(), "uri", "left_semi").filter("neighbour IS NOT NULL")

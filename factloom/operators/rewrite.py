@@ -12,12 +12,11 @@ belong to no element; links that go round are followed once; a null word is an e
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from factloom.functions.text import COPULAS, stem
 
@@ -42,11 +41,16 @@ class Tree:
     kind: str = "CORE"
     mark: str | None = None
     side: str | None = None
+    parent: Tree | None = None  # the clause it was split off,
+    link: int | None = None  # the place of the word it hung on there,
+    linking_word: str | None = None  # and that word, where the kind of clause has one
+    complements: dict[int, Tree] = field(default_factory=dict)  # by the place of the verb they were split off
+    shared_objects: bool = False  # a coordinated verb without object has that of its head, if it follows
 
     @classmethod
-    def of(cls, tokens: list[dict]) -> Tree:
+    def of(cls, tokens: list[dict], shared_objects: bool = False) -> Tree:
         ids = [t["i"] for t in tokens]
-        return cls({t["i"]: t["word"] or "" for t in tokens}, {t["i"]: t["pos"] or "" for t in tokens}, {t["i"]: t["head"] if t["head"] is not None else -1 for t in tokens}, {t["i"]: t["rel"] or "" for t in tokens}, {i: i - 1 for i in ids})
+        return cls({t["i"]: t["word"] or "" for t in tokens}, {t["i"]: t["pos"] or "" for t in tokens}, {t["i"]: t["head"] if t["head"] is not None else -1 for t in tokens}, {t["i"]: t["rel"] or "" for t in tokens}, {i: i - 1 for i in ids}, shared_objects=shared_objects)
 
     def nodes(self) -> list[int]:
         return sorted(self.word)
@@ -73,14 +77,20 @@ class Tree:
                 part.pop(k, None)
 
     def subjects(self, i: int) -> list[int]:
-        """The first subject with its conjuncts; for a conjunct without one, that of its head."""
-        own = self.kids(i, *SUBJ)[:1]
-        if not own and self.rel.get(i) == "conj":
-            own = self.kids(self.head[i], *SUBJ)[:1]
+        """The first subject with its conjuncts; for a conjunct without one, that of its head, and so on upwards."""
+        own, at, seen = self.kids(i, *SUBJ)[:1], i, {i}
+        while not own and self.rel.get(at) == "conj" and self.head[at] not in seen:
+            at = self.head[at]
+            seen.add(at)
+            own = self.kids(at, *SUBJ)[:1]
         return own and [own[0], *self.kids(own[0], "conj")]
 
     def objects(self, i: int, label: str = "dobj") -> list[int]:
-        return [x for o in self.kids(i, label) for x in (o, *self.kids(o, "conj"))]
+        own = self.kids(i, label)
+        if not own and label == "dobj" and self.shared_objects and self.rel.get(i) == "conj":
+            own = [o for o in self.kids(self.head[i], label)]
+            own = own if own and min(own) > i else []
+        return [x for o in own for x in (o, *self.kids(o, "conj"))]
 
     def written(self, parts: list[int]) -> list[int]:
         """Coordinated nodes with all words between them, each with the words of its phrase."""
@@ -108,7 +118,7 @@ BE = 0  # stands for an inserted word in an order of nodes
 def clause(tree: Tree, order: list[int], top: int, subjects: list[int], kind: str, side: str, mark: str | None = None, words: dict[int, str] | None = None) -> Tree:
     """A new tree of the nodes in ``order`` (BE: inserted), with ``top`` on top and ``subjects`` hanging on it."""
     place = {k: n for n, k in enumerate(order, 1) if k != BE}
-    new = Tree({}, {}, {}, {}, {}, kind, mark, side)
+    new = Tree({}, {}, {}, {}, {}, kind, mark, side, complements=tree.complements, shared_objects=tree.shared_objects)
     lead = next((s for s in subjects if s in place), None)
     passive = tree.pos[top] == "VBN" and BE in order
     for n, k in enumerate(order, 1):
@@ -245,49 +255,97 @@ def split_point(tree: Tree, i: int, kind: str) -> Tree | None:
     return None
 
 
-def restructure(tree: Tree, appositives_first: bool = False) -> list[Tree]:
-    """The sentence and the clauses split off it, breadth first."""
+LINKED = frozenset(["OBJCL", "ACL", "ADVCL", "PARADVCL"])  # kinds of clauses that name the word they hang on
+
+
+def _linked(tree: Tree, i: int, kind: str) -> Iterator[Tree]:
+    """The clause split off at ``i``, if there is one, with its link to ``tree``."""
+    up = tree.head[i]
+    place, word = tree.origin.get(up), tree.word.get(up)
+    new = split_point(tree, i, kind)
+    if new is not None:
+        new.parent, new.link, new.linking_word = tree, place, word if kind in LINKED else None
+        new.complements = {}
+        if kind == "OBJCL" and place is not None:
+            tree.complements[place] = new
+        yield new
+
+
+def _appositives(tree: Tree) -> Iterator[Tree]:
+    """Appositives split off, last ones first, until there are none left."""
+    while True:
+        points = [i for i in reversed(tree.nodes()) if tree.rel[i] == "appos" and tree.head[i] in tree.word]
+        if not points:
+            return
+        for i in points:
+            if i in tree.word and tree.head[i] in tree.word:
+                yield from _linked(tree, i, "APPOS")
+
+
+def restructure(tree: Tree, strategy: str = "once") -> list[Tree]:
+    """The sentence and the clauses split off it, breadth first. ``strategy``: 'once' goes through the points from left to
+    right; 'multiple' begins again after each split, as points may have changed; 'appositives' splits all appositives off
+    first and then goes on as 'once'."""
     out, todo = [], deque([tree])
     while todo:
         t = todo.popleft()
-        new: list[Tree] = []
-        if appositives_first:
-            for i in reversed(t.nodes()):
-                if i in t.word and t.rel[i] == "appos" and t.head[i] in t.word:
-                    new += filter(None, [split_appositive(t, i)])
-        for i in t.nodes():
-            if i in t.word and t.head[i] != 0:
+        new = [*_appositives(t)] if strategy == "appositives" else []
+        tried: set[int] = set()
+        again = True
+        while again:
+            again = False
+            for i in t.nodes():
+                if i not in t.word or t.head[i] == 0 or i in tried:
+                    continue
+                tried.add(i)
                 kind = kind_of(t, i)
                 if kind not in ("CORE", "APPOSCL", "SUBJCL"):
-                    new += filter(None, [split_point(t, i, kind)])
+                    before = len(t.word)
+                    new += _linked(t, i, kind)
+                    if strategy == "multiple" and len(t.word) != before:
+                        again, tried = True, set()
+                        break
         out.append(t)
         todo += new
     return out
 
 
-def decompose_compound(tree: Tree) -> list[Tree]:
-    """Coordinated verbs as clauses of their own, with subject, auxiliary and shared end copied; the rest last."""
+def decompose_compound(tree: Tree, every: bool = False) -> list[Tree]:
+    """Coordinated verbs as clauses of their own, with subject, auxiliary and shared end copied; the rest last. With
+    ``every``, also verbs that are coordinated without a conjunction between them."""
     out: list[Tree] = []
+
+    def split(up: int, c: int) -> bool:
+        sub = tree.below(c)
+        subjects = tree.subjects(c)
+        order = list(sub)
+        if not tree.kids(c, *SUBJ):
+            if not subjects:
+                return False
+            lead: list[int] = [k for k in tree.written(subjects) if k not in sub]
+            if tree.pos[c] in ("VBG", "VBN") and not any(tree.word[k] in COPULAS for k in tree.kids(c, *AUX)):
+                lead += [k for k in tree.kids(up, *AUX) if tree.word[k] in COPULAS][:1]
+            tail = [] if tree.kids(c, "dobj") else [k for k in tree.below(up, COORDINATION) if k > c and k not in sub]
+            order = [*lead, *order, *tail]
+        new = clause(tree, order, c, subjects, "CONJ", "right")
+        new.parent, new.link, new.linking_word = tree, tree.origin[up], tree.word[up]
+        out.append(new)
+        tree.drop(sub)
+        return True
+
     for i in reversed(tree.nodes()):
-        if i not in tree.word or tree.rel[i] != "cc" or not tree.pos.get(tree.head[i], "").startswith("VB"):
+        if i not in tree.word:
             continue
         up = tree.head[i]
-        for c in tree.kids(up, "conj"):
-            sub = tree.below(c)
-            subjects = tree.subjects(c)
-            order = list(sub)
-            if not tree.kids(c, *SUBJ):
-                if not subjects:
-                    continue
-                lead: list[int] = [k for k in tree.written(subjects) if k not in sub]
-                if tree.pos[c] in ("VBG", "VBN") and not any(tree.word[k] in COPULAS for k in tree.kids(c, *AUX)):
-                    lead += [k for k in tree.kids(up, *AUX) if tree.word[k] in COPULAS][:1]
-                tail = [] if tree.kids(c, "dobj") else [k for k in tree.below(up, COORDINATION) if k > c and k not in sub]
-                order = [*lead, *order, *tail]
-            out.append(clause(tree, order, c, subjects, "CONJ", "right"))
-            tree.drop(sub)
-        for k in tree.kids(up, "cc"):
-            tree.drop([k])
+        if not tree.pos.get(up, "").startswith("VB"):
+            continue
+        if tree.rel[i] == "cc":
+            for c in tree.kids(up, "conj"):
+                split(up, c)
+            for k in tree.kids(up, "cc"):
+                tree.drop([k])
+        elif every and tree.rel[i] == "conj" and tree.pos[i].startswith("VB"):
+            split(up, i)
     return [*out, tree]
 
 
@@ -303,10 +361,13 @@ class Fact:
     complement: list[int] = field(default_factory=list)
     adverbials: list[list[int]] = field(default_factory=list)
     negation: bool = False
+    linked: Tree | None = None  # the clause that is the complement, if it was split off
 
 
 def type_of(tree: Tree, v: int) -> str | None:
     out = {tree.rel[k] for k in tree.kids(v)}
+    if tree.origin[v] in tree.complements:
+        out.add("ccomp")
     if tree.word[v].lower() in COPULAS and tree.rel[v] in ("cop", "aux", "auxpass"):
         return "SVc" if tree.rel[v] == "cop" else None
     if not tree.subjects(v):
@@ -315,7 +376,7 @@ def type_of(tree: Tree, v: int) -> str | None:
         for label, kind in (("ccomp", "SVcC"), ("xcomp", "SVcX"), ("expl", "SVb")):
             if label in out:
                 return kind
-    if "dobj" in out:
+    if "dobj" in out or tree.shared_objects and tree.objects(v):
         return "SVOO" if "iobj" in out else "SVOC" if "xcomp" in out else "SVO"
     return "SVX" if "xcomp" in out else "SVC" if "ccomp" in out else "SV"
 
@@ -342,23 +403,24 @@ def predicate(tree: Tree, v: int, span: list[int]) -> list[int]:
     return sorted({*span, *(k for k in aux if tree.word[k].lower() not in ("did", "do", "does"))})
 
 
-def adverbials(tree: Tree, v: int) -> list[list[int]]:
-    """One adverbial for each prepositional dependent and each of its conjuncts, which share its preposition."""
-    out: list[list[int]] = []
-    for n in tree.kids(v, "nmod"):
-        case = tree.kids(n, "case")
-        if not case:
-            continue
-        if tree.word[case[0]].lower() in ("between", "among"):
-            out.append([k for k in tree.below(n, CLAUSAL)])
-            continue
-        out.append([k for k in tree.below(n, COORDINATION | CLAUSAL)])
-        for c in tree.kids(n, "conj"):
-            own = tree.below(c, COORDINATION | CLAUSAL)
-            out.append(own if tree.kids(c, "case") else [case[0], *own])
+def adverbial(tree: Tree, n: int) -> list[list[int]]:
+    """A prepositional dependent, and one more for each of its conjuncts, which share its preposition."""
+    case = tree.kids(n, "case")
+    if not case:
+        return []
+    if tree.word[case[0]].lower() in ("between", "among"):
+        return [[k for k in tree.below(n, CLAUSAL)]]
+    out = [[k for k in tree.below(n, COORDINATION | CLAUSAL)]]
+    for c in tree.kids(n, "conj"):
+        own = tree.below(c, COORDINATION | CLAUSAL)
+        out.append(own if tree.kids(c, "case") else [case[0], *own])
     return [a for a in out if len(a) > 1]
 
 
+def adverbials(tree: Tree, v: int) -> list[list[int]]:
+    return [a for n in tree.kids(v, "nmod") for a in adverbial(tree, n)]
+
+
 def facts(tree: Tree) -> list[Fact]:
     """All tuples of a clause, verbs in order. Existential, SVOC and SVcX clauses give none."""
     out: list[Fact] = []
@@ -392,7 +454,10 @@ def facts(tree: Tree) -> list[Fact]:
             subjects = [tree.phrase(s) for s in tree.subjects(up)]
             comps = [k for k in [up, *tree.kids(up, "conj")] if not tree.pos[k].startswith("VB") and (k == up or not tree.kids(k, "cop"))]
             cop = [v, *(k for k in tree.kids(up, "aux") if tree.word[k].lower() not in ("did", "do", "does"))]
-            out += [Fact("SVc", s, sorted(cop), tree.phrase(c), adverbials=adverbials(tree, up), negation=bool(tree.kids(up, "neg"))) for s in subjects for c in comps]
+            for s in subjects:
+                for c in comps:
+                    what = tree.phrase(c)  # with an 'of' complement, which then is no adverbial
+                    out.append(Fact("SVc", s, sorted(cop), what, adverbials=[a for a in adverbials(tree, up) if not set(a) <= set(what)], negation=bool(tree.kids(up, "neg"))))
         elif kind == "SVOO":
             out += [Fact(kind, s, verb, tree.phrase(d), tree.phrase(i), adverbials=advs, negation=negated) for s in subjects for d in tree.objects(v) for i in tree.objects(v, "iobj")]
         elif kind == "SVO" or kind in ("SVX", "SVOC") and last != v:
@@ -404,30 +469,59 @@ def facts(tree: Tree) -> list[Fact]:
             out += [Fact(kind, s, verb, tree.phrase(o), adverbials=advs, negation=negated) for s in subjects for o in nouns]
         elif kind in ("SVC", "SVcC"):
             comp = [x for k in tree.kids(v, "ccomp") for x in tree.below(k)]
-            out += [Fact(kind, s, verb, complement=comp, adverbials=advs, negation=negated) for s in subjects]
+            linked = tree.complements.get(tree.origin[v])
+            out += [Fact(kind, s, verb, complement=comp, adverbials=advs, negation=negated, linked=linked) for s in subjects]
         elif kind == "SV":
             out += [Fact(kind, s, verb, adverbials=advs, negation=negated) for s in subjects]
     return out
 
 
-def simplified(tree: Tree) -> Tree:
-    """Modifiers out: adjectives, numbers, compounds, 'nmod' of nouns and second and later 'nmod' of verbs are dropped.
-    Origins keep track of what was there."""
-    drop: set[int] = set()
+@dataclass
+class Aside:
+    """What simplification takes out of a sentence, by the place of the word it belongs to, as lists of places."""
+
+    nouns: dict[int, list[list[int]]] = field(default_factory=dict)
+    verbs: dict[int, list[list[int]]] = field(default_factory=dict)
+
+
+def _gerund_case(tree: Tree, n: int) -> bool:
+    return any(tree.pos[c] == "VBG" for c in tree.kids(n, "case"))
+
+
+def _trimmed(tree: Tree, nodes: list[int]) -> list[int]:
+    """``nodes`` without relative, participial and adverbial clauses, and without complements of prepositions in -ing."""
+    gone = {x for k in nodes if tree.rel[k] in CLAUSAL or tree.rel[k] == "nmod" and _gerund_case(tree, k) for x in tree.below(k)}
+    return [k for k in nodes if k not in gone]
+
+
+def simplified(tree: Tree) -> tuple[Tree, Aside]:
+    """A sentence without modifiers: first 'nmod' of nouns and second and later 'nmod' of verbs are set aside, then
+    adjectives, numbers and compounds are dropped, which the phrases of the whole tree still have."""
+    aside = Aside()
+    places = lambda nodes: [tree.origin[k] for k in nodes]
+    taken: list[list[int]] = []
     for i in tree.nodes():
         if tree.pos[i].startswith("NN"):
-            for k in tree.kids(i):
-                if tree.rel[k] in ("amod", "nummod", "quantmod", "nn", "compound"):
-                    drop.update(tree.below(k))
-                elif tree.rel[k] == "nmod" and not any(tree.pos[c] == "VBG" for c in tree.kids(k, "case")):
-                    drop.update(tree.below(k))
+            for k in tree.kids(i, "nmod"):
+                if not _gerund_case(tree, k):
+                    sub = tree.below(k)
+                    aside.nouns.setdefault(tree.origin[i], []).append(places(_trimmed(tree, sub)))
+                    taken.append(sub)
         elif tree.pos[i].startswith("VB"):
             for k in tree.kids(i, "nmod")[1:]:
-                drop.update(tree.below(k))
-    for k in sorted(drop):
+                for a in adverbial(tree, k):
+                    if trimmed := _trimmed(tree, a):
+                        aside.verbs.setdefault(tree.origin[i], []).append(places(trimmed))
+                taken.append(tree.below(k))
+    gone = {x for sub in taken for x in sub}
+    for i in tree.nodes():
+        if tree.pos[i].startswith("NN") and i not in gone:
+            for k in tree.kids(i, "amod", "nummod", "quantmod", "nn", "compound"):
+                gone.update(tree.below(k))
+    for k in sorted(gone):
         for part in (tree.word, tree.pos, tree.head, tree.rel, tree.origin):
             part.pop(k, None)
-    return tree
+    return tree, aside
 
 
 def from_spacy(tokens: list[dict]) -> list[dict]:
@@ -455,22 +549,58 @@ def from_spacy(tokens: list[dict]) -> list[dict]:
     return out
 
 
-def decompose(tokens: list[dict], simplify: bool = False, appositives_first: bool = True) -> list[Tree]:
-    """A sentence as simple clauses."""
-    tree = Tree.of(tokens)
+ORDERS = ("appositives", "compounds", "once", "multiple")
+
+
+def decompose(tokens: list[dict], simplify: bool = False, order: str = "appositives", shared_objects: bool = False) -> list[Tree]:
+    """A sentence as simple clauses. ``order``: a strategy of ``restructure``, after which coordinated verbs are split; or
+    'compounds', in which they are split first, and each clause by strategy 'appositives' after."""
+    return _decomposed(tokens, simplify, order, shared_objects)[0]
+
+
+def _decomposed(tokens: list[dict], simplify: bool, order: str, shared_objects: bool) -> tuple[list[Tree], Aside | None]:
+    tree, aside = Tree.of(tokens, shared_objects), None
     if simplify:
-        tree = simplified(tree)
-    return [c for t in restructure(tree, appositives_first) if t.word for c in decompose_compound(t) if c.word]
+        tree, aside = simplified(tree)
+    if order == "compounds":
+        out = [c for part in decompose_compound(tree, shared_objects) if part.word for c in restructure(part, "appositives")]
+    else:
+        out = [c for t in restructure(tree, order) if t.word for c in decompose_compound(t, shared_objects)]
+    return [c for c in out if c.word], aside
+
+
+def parent_numbers(trees: list[Tree]) -> list[int | None]:
+    """For each clause the number of the clause it was split off: the one that now has the word it hung on."""
+    own = {id(t): n for n, t in enumerate(trees)}
+    parts: dict[int, list[int]] = {}
+    for n, t in enumerate(trees):
+        if t.kind == "CONJ" and t.parent is not None:
+            parts.setdefault(id(t.parent), []).append(n)
+    out: list[int | None] = []
+    for t in trees:
+        if t.parent is None:
+            out.append(None)
+            continue
+        among = ([own[id(t.parent)]] if id(t.parent) in own else []) + [n for n in parts.get(id(t.parent), []) if trees[n] is not t]
+        holds = [n for n in among if t.link in trees[n].origin.values()]
+        out.append((holds or among or [None])[0])
+    return out
 
 
-def rebuilt(full: Tree, places: list[int]) -> list[int]:
-    """Original nodes of an element with the modifiers that simplification took: the phrases of its nouns, and of one
-    noun its other complements."""
+def rebuilt(full: Tree, places: list[int], aside: Aside) -> list[int]:
+    """Original nodes of an element with what simplification took: the complements set aside from its nouns, and the
+    phrases of all its nouns."""
     nodes = {p + 1 for p in places if p >= 0}
+    todo = sorted(nodes)
+    while todo:
+        for part in aside.nouns.get(todo.pop() - 1, []):
+            new = {p + 1 for p in part if p >= 0} - nodes
+            nodes |= new
+            todo += new
     out = set(nodes)
-    for k in sorted(nodes):
+    for k in nodes:
         if full.pos.get(k, "").startswith("NN"):
-            out.update(full.phrase(k))
+            out.update(x for x in full.phrase(k) if x in full.word)
     return sorted(out)
 
 
@@ -478,69 +608,111 @@ ELEMENT = pa.struct([("word", pa.string()), ("word_index", pa.list_(pa.int32()))
 SPARK_ELEMENT = "struct<word:string,word_index:array<int>,prep:string>"
 
 
-def _element(tree: Tree, parts: list[int], full: Tree | None) -> dict | None:
+def _element(tree: Tree, parts: list[int], full: Tree | None, aside: Aside | None) -> dict | None:
     if not parts:
         return None
     index = [tree.origin[k] for k in parts]
     if full is not None:
-        nodes = rebuilt(full, index)
+        nodes = rebuilt(full, index, aside)
         if len(nodes) > len([x for x in index if x >= 0]):
             return {"word": full.text(nodes), "word_index": [k - 1 for k in nodes], "prep": None}
     return {"word": tree.text(parts), "word_index": index, "prep": None}
 
 
-def _adverbial(tree: Tree, parts: list[int]) -> dict:
-    return {"word": tree.text(parts[1:]), "word_index": [tree.origin[k] for k in parts], "prep": tree.word[parts[0]]}
-
-
-def extract(sents: DataFrame, how: str = "raw", dialect: str = "corenlp") -> DataFrame:
-    """Tuples of sentences: ``how`` is 'raw', 'clauses' (appositives and clauses split first) or 'simplified' (modifiers
-    taken out before, and put back after). With ``dialect`` 'spacy', trees are turned into the own dialect first."""
+def _adverbial(tree: Tree, parts: list[int], full: Tree | None, aside: Aside | None) -> dict:
+    index = [tree.origin[k] for k in parts]
+    return _placed(full, index, aside) if full is not None and min(index) >= 0 else {"word": tree.text(parts[1:]), "word_index": index, "prep": tree.word[parts[0]]}
+
+
+def _placed(full: Tree, places: list[int], aside: Aside) -> dict:
+    """An adverbial from the places of its words, its preposition first, with what simplification took."""
+    rest = [k for k in rebuilt(full, places[1:], aside) if k != places[0] + 1]
+    return {"word": full.text(rest), "word_index": [places[0], *(k - 1 for k in rest)], "prep": full.word[places[0] + 1]}
+
+
+def sentence_facts(tokens: list[dict], how: str = "raw", dialect: str = "corenlp", order: str = "appositives") -> list[dict]:
+    """All tuples of a sentence, see ``extract``."""
+    spacy = dialect == "spacy"
+    if spacy:
+        tokens = from_spacy(tokens)
+    full = Tree.of(tokens) if how == "simplified" else None
+    trees, aside = ([Tree.of(tokens, spacy)], None) if how == "raw" else _decomposed(tokens, how == "simplified", order, spacy)
+    parents = parent_numbers(trees)
+    rows: list[dict] = []
+    said: list[tuple[dict, Fact, int]] = []
+    for c, t in enumerate(trees):
+        for f in facts(t):
+            advs = [_adverbial(t, a, full, aside) for a in f.adverbials]
+            if aside is not None:
+                verb = next((t.origin[k] for k in f.predicate if t.origin[k] in aside.verbs), None)
+                advs += [_placed(full, a, aside) for a in aside.verbs.get(verb, [])]
+            row = {
+                "tuple_no": len(rows), "clause_type": f.kind, "negation": f.negation, "subject": _element(t, f.subject, full, aside), "predicate": _element(t, f.predicate, None, None),
+                "direct_object": _element(t, f.object, full, aside), "indirect_object": _element(t, f.indirect, full, aside), "adverbial": advs, "complement": t.text(f.complement) if f.complement else None,
+                "complement_tuples": [], "clause": t.text(), "clause_no": c, "parent_clause": parents[c],
+            }
+            rows.append(row)
+            said.append((row, f, c))
+    for row, f, c in said:
+        if f.linked is not None:
+            inside = [n for n, t in enumerate(trees) if t is f.linked or t.kind == "CONJ" and t.parent is f.linked]
+            row["complement"] = " ".join(trees[n].text() for n in sorted(inside, key=lambda n: max(trees[n].origin.values()))) or row["complement"]
+            row["complement_tuples"] = [r["tuple_no"] for r, _, n in said if n in inside]
+        elif f.complement:
+            row["complement_tuples"] = [r["tuple_no"] for r, g, n in said if n == c and set(g.predicate) <= set(f.complement)]
+    return rows
+
+
+FIELDS = [("tuple_no", pa.int32(), "int"), ("clause_type", pa.string(), "string"), ("negation", pa.bool_(), "boolean"), *((r, ELEMENT, SPARK_ELEMENT) for r in ("subject", "predicate", "direct_object", "indirect_object")), ("adverbial", pa.list_(ELEMENT), f"array<{SPARK_ELEMENT}>"), ("complement", pa.string(), "string"), ("complement_tuples", pa.list_(pa.int32()), "array<int>"), ("clause", pa.string(), "string"), ("clause_no", pa.int32(), "int"), ("parent_clause", pa.int32(), "int")]
+CLAUSE_FIELDS = [("clause_no", pa.int32(), "int"), ("parent_clause", pa.int32(), "int"), *((n, pa.string(), "string") for n in ("kind", "side", "mark", "linking_word", "text"))]
+
+
+def _by_sentence(sents: DataFrame, made: Callable[[list[dict]], list[dict]], fields: list[tuple]) -> DataFrame:
+    """The rows that ``made`` gives for the tokens of each sentence, with the sentence's ids."""
     keys = [c for c in sents.columns if c != "tokens"]
-    types = [sents.schema[k].dataType.simpleString() for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            heads = [batch.column(n).to_pylist() for n in range(len(keys))]
+            at: list[int] = []
+            rows: list[dict] = []
             for n, tokens in enumerate(batch.column(len(keys)).to_pylist()):
-                if not tokens:
-                    continue
-                if dialect == "spacy":
-                    tokens = from_spacy(tokens)
-                full = Tree.of(tokens) if how == "simplified" else None
-                trees = [Tree.of(tokens)] if how == "raw" else decompose(tokens, how == "simplified")
-                number = 0
-                for t in trees:
-                    for f in facts(t):
-                        subject, verb = _element(t, f.subject, full), _element(t, f.predicate, None)
-                        rows.append((*(h[n] for h in heads), number, f.kind, f.negation, subject, verb, _element(t, f.object, full), _element(t, f.indirect, full), [_adverbial(t, a) for a in f.adverbials], t.text(f.complement) if f.complement else None, t.text()))
-                        number += 1
-            cols = [*zip(*rows)] or [()] * (len(keys) + 10)
-            kinds = [batch.schema.field(n).type for n in range(len(keys))] + [pa.int32(), pa.string(), pa.bool_(), ELEMENT, ELEMENT, ELEMENT, ELEMENT, pa.list_(ELEMENT), pa.string(), pa.string()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[*keys, *NAMES])
-
-    out = ", ".join(f"`{k}` {t}" for k, t in zip(keys, types)) + f", tuple_no int, clause_type string, negation boolean, subject {SPARK_ELEMENT}, predicate {SPARK_ELEMENT}, direct_object {SPARK_ELEMENT}, indirect_object {SPARK_ELEMENT}, adverbial array<{SPARK_ELEMENT}>, complement string, clause string"
+                found = made(tokens) if tokens else []
+                at += [n] * len(found)
+                rows += found
+            where = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(where) for n in range(len(keys))), *(pa.array([r[f] for r in rows], kind) for f, kind, _ in fields)], [*keys, *(f for f, _, _ in fields)])
+
+    out = ", ".join([f"`{k}` {sents.schema[k].dataType.simpleString()}" for k in keys] + [f"{f} {kind}" for f, _, kind in fields])
     return sents.select(*keys, "tokens").mapInArrow(run, out)
 
 
-NAMES = ["tuple_no", "clause_type", "negation", "subject", "predicate", "direct_object", "indirect_object", "adverbial", "complement", "clause"]
+def extract(sents: DataFrame, how: str = "raw", dialect: str = "corenlp", order: str = "appositives") -> DataFrame:
+    """Tuples of sentences: ``how`` is 'raw', 'clauses' (the sentence decomposed first, in the ``order`` of ``decompose``)
+    or 'simplified' (modifiers taken out before, and put back by their places after). With ``dialect`` 'spacy', trees are
+    turned into the own dialect first, and coordinated verbs share what follows them.
 
+    A tuple with a clause as complement has its text in ``complement`` and the numbers of its tuples in
+    ``complement_tuples``; ``clause_no`` and ``parent_clause`` link clauses as in ``clauses``."""
+    return _by_sentence(sents, lambda tokens: sentence_facts(tokens, how, dialect, order), FIELDS)
 
-def clauses(sents: DataFrame, simplify: bool = False) -> DataFrame:
-    """The simple clauses of each sentence: ``clause_no``, ``kind``, ``side``, ``mark``, ``text``."""
-    keys = [c for c in sents.columns if c != "tokens"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            heads = [batch.column(n).to_pylist() for n in range(len(keys))]
-            for n, tokens in enumerate(batch.column(len(keys)).to_pylist()):
-                for c, t in enumerate(decompose(tokens or [], simplify)):
-                    rows.append((*(h[n] for h in heads), c, t.kind, t.side, t.mark, t.text()))
-            cols = [*zip(*rows)] or [()] * (len(keys) + 5)
-            kinds = [batch.schema.field(n).type for n in range(len(keys))] + [pa.int32(), *[pa.string()] * 4]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[*keys, "clause_no", "kind", "side", "mark", "text"])
-
-    out = ", ".join(f"`{k}` {sents.schema[k].dataType.simpleString()}" for k in keys) + ", clause_no int, kind string, side string, mark string, text string"
-    return sents.select(*keys, F.col("tokens")).mapInArrow(run, out)
+def clauses(sents: DataFrame, simplify: bool = False, order: str = "appositives", dialect: str = "corenlp") -> DataFrame:
+    """The simple clauses of each sentence: ``clause_no``, ``parent_clause`` (the one it was split off), ``kind``, ``side``,
+    ``mark``, ``linking_word`` (the word it hung on), ``text``."""
+    spacy = dialect == "spacy"
+
+    def made(tokens: list[dict]) -> list[dict]:
+        trees = decompose(from_spacy(tokens) if spacy else tokens, simplify, order, spacy)
+        return [{"clause_no": n, "parent_clause": up, "kind": t.kind, "side": t.side, "mark": t.mark, "linking_word": t.linking_word, "text": t.text()} for n, (t, up) in enumerate(zip(trees, parent_numbers(trees)))]
+
+    return _by_sentence(sents, made, CLAUSE_FIELDS)
+
+
+def noun_phrases(sents: DataFrame) -> DataFrame:
+    """For each noun, ``i``, the words of its phrase."""
+
+    def made(tokens: list[dict]) -> list[dict]:
+        tree = Tree.of(tokens)
+        return [{"i": i, "phrase": tree.text(tree.phrase(i))} for i in tree.nodes() if tree.pos[i].startswith("NN")]
+
+    return _by_sentence(sents, made, [("i", pa.int32(), "int"), ("phrase", pa.string(), "string")])

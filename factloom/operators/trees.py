@@ -1,7 +1,8 @@
 """Tree primitives, clause detection, clause types and head-word tuples over sentences of tokens.
 
-Everything works inside the row of a sentence with higher-order functions, or on its exploded tokens: nothing is
-shuffled. Defined results: null rel or head means no link; a head that is no token has no word; of several subjects the
+Most works inside the row of a sentence with higher-order functions, or on its exploded tokens, without a shuffle.
+Subtrees, chains of conjuncts and trimming double pointers over exploded tokens (``hierarchy``), which places them by
+sentence once. Defined results: null rel or head means no link; a head that is no token has no word; of several subjects the
 first counts, with its conjuncts; empty sentences give no rows; ``keys`` are the sentence's ids and may be any columns.
 """
 
@@ -135,6 +136,17 @@ def noun_chunks(sents: DataFrame) -> DataFrame:
     return found.select(*keys, "lo", (F.col("lo") + F.col("n") - 1).alias("hi"), F.array_join(words, " ").alias("words"))
 
 
+def kept_tokens(sents: DataFrame) -> DataFrame:
+    """The tokens left when noun chunks of several words are cut down to their head (the first word whose head is outside)
+    and their determiners and possessives: ``i`` (the place in the sentence) and ``word``."""
+    keys = keys_of(sents)
+    spans = noun_chunks(sents).filter("hi > lo").groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one sentence
+    both = sents.join(spans, keys, "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")))
+    heads = F.transform("spans", lambda s: F.array_min(F.transform(F.filter("tokens", lambda t: t["i"].between(s["lo"], s["hi"]) & ~F.coalesce(t["head"].between(s["lo"], s["hi"]), F.lit(False))), lambda t: t["i"])))
+    kept = F.filter("tokens", lambda t: ~F.exists("spans", lambda s: t["i"].between(s["lo"], s["hi"])) | F.coalesce(F.array_contains("heads", t["i"]), F.lit(False)) | F.coalesce(t["rel"].isin("det", "nmod:poss"), F.lit(False)))
+    return both.withColumn("heads", heads).select(*keys, F.explode(kept).alias("t")).select(*keys, "t.i", "t.word")
+
+
 def clause_points(sents: DataFrame, dialect: str = "corenlp") -> DataFrame:
     """Where sentences may be decomposed, and the kind of clause there (CORE is not split)."""
     keys = keys_of(sents)
@@ -173,8 +185,12 @@ def clause_type(dialect: str = "corenlp") -> Column:
     up = rels("parent_kids")
     up_has = lambda r: F.array_contains(up, r)
     if dialect == "spacy":
-        copula = F.when(has("attr", "acomp"), F.when(has("expl"), "SVb").otherwise("SVc")).when(F.col("rel").isin("aux", "auxpass"), None)
-        return F.when(F.col("word").isin(COPULAS) & (has("attr", "acomp") | F.col("rel").isin("aux", "auxpass")), copula).when(~subj, None).when(has("dobj") & has("iobj"), "SVOO").when(has("dobj") & has("oprd"), "SVOC").when(has("dobj"), "SVO").when(has("oprd", "xcomp"), "SVX").when(has("ccomp"), "SVC").otherwise("SV")
+        copula = F.col("word").isin(COPULAS)
+        above = F.transform(_of(F.coalesce(F.col("parent_kids"), F.array().cast(f"array<{NODE}>")), ["dobj"]), lambda k: k["i"])
+        shared = F.coalesce((F.col("rel") == "conj") & (F.array_min(above) > F.col("i")), F.lit(False))  # the object of the verb it is coordinated with
+        kind = F.when(copula & F.col("rel").isin("aux", "auxpass"), None).when(copula & subj & has("ccomp"), "SVcC").when(copula & subj & has("xcomp"), "SVcX").when(copula & has("attr") & has("expl"), "SVb").when(subj & has("attr", "acomp"), "SVc")
+        kind = kind.when(subj & has("dobj") & has("iobj"), "SVOO").when(subj & has("dobj") & has("oprd"), "SVOC").when(subj & has("dobj") | shared, "SVO")
+        return kind.when(~subj, None).when(has("xcomp"), "SVX").when(has("ccomp"), "SVC").when(has("oprd"), "SVX").otherwise("SV")
     up_subj = F.arrays_overlap(up, F.array(*map(F.lit, SUBJECTS)))
     any_subj = subj | up_subj
     copula = F.when(F.col("rel") == "cop", "SVc").when(F.col("rel").isin("aux", "auxpass"), None).when(any_subj & has("ccomp"), "SVcC").when(any_subj & has("xcomp"), "SVcX").when(any_subj & has("expl"), "SVb")
@@ -225,9 +241,11 @@ def extra_adverbials(sents: DataFrame) -> DataFrame:
 
 
 def trimmed(sents: DataFrame, exclusion: list[str] | None = None) -> DataFrame:
-    """``text`` of each sentence without the subtrees of relative, participial and adverbial clauses."""
+    """``text`` of each sentence without the subtrees of relative, participial and adverbial clauses, and of complements
+    of prepositions in -ing."""
     keys = keys_of(sents)
-    cut_at = sents.select(*keys, F.explode("tokens").alias("t")).filter(F.col("t.rel").isin(exclusion or CUTS)).select(*keys, F.col("t.i").alias("i"))
+    gerund = F.exists("tokens", lambda c: (c["head"] == F.col("t.i")) & (c["rel"] == "case") & (c["pos"] == "VBG"))
+    cut_at = sents.select(*keys, "tokens", F.explode("tokens").alias("t")).filter(F.col("t.rel").isin(exclusion or CUTS) | ((F.col("t.rel") == "nmod") & gerund)).select(*keys, F.col("t.i").alias("i"))
     gone = subtrees(sents).join(cut_at, [*keys, "i"], "left_semi").groupBy(*keys).agg(F.collect_set("node").alias("gone"))
     both = sents.join(gone, keys, "left")
     held = F.filter("tokens", lambda t: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), t["i"]))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import facts, parses, training
+from factloom.plans import facts, golden, parses, training
 
-MODULES = [training, facts, parses]
+MODULES = [training, facts, parses, golden]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import algebra, graph, kb
-from factloom.runtime import ship, table
+from factloom.runtime import cut, scratch, ship, table
+from factloom.sources import sinks
 
 COLUMNS = ["doc_id", "sent_id", "tuple_id", "run", "clause_type", "negation", "subject", "predicate", "direct_object", "indirect_object", "adverbial"]
 
@@ -114,6 +115,25 @@ def mention_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.link(tuples(spark, sf_dir), mentions, table(spark, sf_dir, "kb_things"))
 
 
+def annotated_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements linked by the mentions of their document, then the graph built from them."""
+    return graph.annotated_edges(tuples(spark, sf_dir), mention_link(spark, sf_dir))
+
+
+def graph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph written and read again."""
+    t, folder = tuples(spark, sf_dir), scratch(spark)
+    sinks.write_graph(graph.nodes(t), graph.merged_edges(t).unionByName(graph.means_edges(t)), folder)
+    nodes, edges = sinks.read_graph(spark, folder)
+    named = edges.join(nodes.select("doc_id", F.col("node_id").alias("dst"), "name", "type").filter("type <> 'Predicate'"), ["doc_id", "dst"])
+    return named.select("doc_id", "src", "relation", "name", "type")
+
+
+def stage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage's result written and read again."""
+    return sinks.write_stage(algebra.triples(tuples(spark, sf_dir)), scratch(spark))
+
+
 def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.candidates(tuples(spark, sf_dir))
 
@@ -174,6 +194,13 @@ def kb_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.neighbours(table(spark, sf_dir, "kb"), table(spark, sf_dir, "kb_things"))
 
 
+def kb_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours asked for in two rounds, the second of which finds the first one's answers remembered."""
+    kb_table, things = table(spark, sf_dir, "kb"), table(spark, sf_dir, "kb_things")
+    first = kb.remember(spark.createDataFrame([], "uri string, neighbour string"), kb_table, things, things.filter("uri < 'M'"))
+    return kb.remember(cut(first), kb_table, things, things)
+
+
 def kb_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.relations(table(spark, sf_dir, "kb")).withColumn("rels", F.array_join("rels", ","))
 
@@ -252,9 +279,9 @@ def reference_edges_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = [
     "elements", "refine_word", "pronoun_type", "to_triples", "tuple_dedup", "tuple_hash", "equal_tuples", "compare_tuples", "merge_runs", "lexical_validate", "overlap_collisions", "triple_eval",
-    "graph_nodes", "graph_edges", "means_edges", "reference_edges", "semantic_edges", "merge_triples", "collision_edges", "refine_graph", "collect_tuples", "mention_link", "entity_candidates", "best_entity",
+    "graph_nodes", "graph_edges", "means_edges", "reference_edges", "semantic_edges", "merge_triples", "collision_edges", "refine_graph", "collect_tuples", "mention_link", "annotated_graph", "graph_roundtrip", "stage_roundtrip", "entity_candidates", "best_entity",
     "level1_matrix", "level2_matrix", "restart_walk", "entity_argmax", "pruned_entities", "score_tuples", "greedy_independent_set", "joint_optimize", "joint_tuples",
-    "kb_neighbours", "kb_relations", "kb_heads", "kb_tails", "kb_paths", "kb_relatedness", "kb_pages",
+    "kb_neighbours", "kb_memo", "kb_relations", "kb_heads", "kb_tails", "kb_paths", "kb_relatedness", "kb_pages",
     "equal_tuples_cases", "compare_tuples_cases", "merge_runs_cases", "triple_eval_cases", "reference_edges_cases",
 ]
 
@@ -430,6 +457,7 @@ ns AS (SELECT ok.tuple_id, ok.doc_id, ok.p, w || ':' || sent_id || '-' || m AS s
 n AS (SELECT tuple_id, count(*) AS n FROM tr GROUP BY tuple_id), sx AS (SELECT ns.*, unnest(range(n.n)) AS i FROM ns JOIN n USING (tuple_id))
 SELECT DISTINCT doc_id, p || '#' || i AS src, s AS dst, 'subj' AS relation FROM sx UNION SELECT doc_id, p || '#' || i, id, label FROM os WHERE label IS NOT NULL""",
     "kb_neighbours": _KT + ", b AS (SELECT head AS uri, tail AS neighbour FROM k UNION ALL SELECT tail, head FROM k) SELECT uri, neighbour FROM b WHERE neighbour IN (SELECT uri FROM kb_things)",
+    "kb_memo": _KT + ", b AS (SELECT head AS uri, tail AS neighbour FROM k UNION SELECT tail, head FROM k), n AS (SELECT * FROM b WHERE neighbour IN (SELECT uri FROM kb_things)) SELECT t.uri, n.neighbour FROM (SELECT DISTINCT uri FROM kb_things WHERE uri IS NOT NULL) t LEFT JOIN n USING (uri)",
     "kb_relations": _KT + " SELECT head, tail, array_to_string(list_sort(list(rel)), ',') AS rels FROM k GROUP BY ALL",
     "kb_heads": _KT + " SELECT rel, tail, count(*) AS n_heads FROM k GROUP BY ALL",
     "kb_tails": _KT + " SELECT head, rel, count(*) AS n_tails FROM k GROUP BY ALL",
@@ -449,3 +477,8 @@ def _case_sql() -> str:
 
 
 ORACLE |= {f"{n}_cases": ORACLE[n].replace("FROM tuples", f"FROM {_case_sql()}") for n in ("equal_tuples", "compare_tuples", "merge_runs", "triple_eval", "reference_edges")}
+_LINKS, _LINKED = ORACLE["mention_link"].rsplit("\nSELECT x.doc_id", 1)
+ORACLE["annotated_graph"] = _LINKS + ", lk AS (SELECT x.doc_id" + _LINKED + ")" + _ME.removeprefix(_E) + " SELECT * FROM ge UNION SELECT doc_id, word, 'Entity:' || uri, 'means' FROM lk WHERE uri IS NOT NULL AND EXISTS (SELECT 1 FROM ge WHERE ge.doc_id = lk.doc_id AND ge.dst = lk.word)"
+ORACLE["graph_roundtrip"] = _ME + f""" SELECT doc_id, src, relation, dst AS name, 'Noun' AS type FROM ge
+UNION SELECT doc_id, src, 'means', uri, 'Entity' FROM (SELECT doc_id, src, x.uri AS uri FROM (SELECT doc_id, e.word AS src, unnest(e.entity) AS x FROM e WHERE {_USED})) WHERE uri IS NOT NULL"""
+ORACLE["stage_roundtrip"] = ORACLE["to_triples"]

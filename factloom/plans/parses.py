@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.operators import algebra, nested, rewrite, trees
-from factloom.plans import facts, training
+from factloom.plans import facts, golden, training
 from factloom.runtime import table
 from factloom.sources import annotations, tuple_text
 
@@ -91,6 +91,10 @@ def noun_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.noun_chunks(sentences(spark, sf_dir))
 
 
+def kept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.kept_tokens(sentences(spark, sf_dir))
+
+
 def phrase_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sentences(spark, sf_dir)
     return trees.phrase_heads(trees.noun_chunks(s).withColumn("span_id", F.col("lo")), s)
@@ -141,12 +145,7 @@ def adverbial_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flat(how: str) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = rewrite.extract(sentences(spark, sf_dir), how)
-        word = lambda r: F.col(f"{r}.word").alias(r)
-        return t.select(*KEYS, "tuple_no", "clause_type", "negation", word("subject"), word("predicate"), word("direct_object"), word("indirect_object"), F.array_join(F.transform("adverbial", lambda a: F.concat_ws(" ", a["prep"], a["word"])), "||").alias("adverbial"), "complement")
-
-    return query
+    return lambda spark, sf_dir: golden.flat(rewrite.extract(sentences(spark, sf_dir), how), KEYS)
 
 
 def verb_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,15 +217,21 @@ def tuple_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tuple_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuples as JSON, with the fields that the JSON then has."""
     j = tuple_text.to_json(facts.tuples(spark, sf_dir))
-    return j.select("tuple_id", F.get_json_object("json", "$.predicate.word").alias("predicate"), F.get_json_object("json", "$.clause_type").alias("clause_type"))
+    got = lambda path, name: F.get_json_object("json", path).alias(name)
+    return j.select("tuple_id", *[got(f"$.{r}.word", r) for r in algebra.ROLES], got("$.subject.reference", "reference"), got("$.clause_type", "clause_type"), got("$.negation", "negation"), got("$.sent_id", "sent_id"), got("$.adverbial[0].word", "first_adverbial"), got("$.adverbial[0].prep", "first_prep"))
+
+
+def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.noun_phrases(sentences(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
         "tokens", "conllu_roundtrip", "tokenize_count", "whitespace_tokens", "sentence_split", "clean_words", "pos_tag_hist", "tree_children", "tree_relations", "tree_subjects", "tree_objects", "conjunction_chain", "conjunction_span",
-        "subtree_size", "subtree_pruned", "trim_clauses", "noun_chunks", "phrase_head", "clause_points", "clause_points_spacy", "clause_type_hist", "clause_type_spacy", "negation_flag", "sv_tuples", "svo_tuples", "svoo_tuples", "copula_svc",
-        "extra_adverbial", "adverbial_attach", "verb_chunks", "extract_from_conllu", "sentence_tuples", "lexical_decomposition", "clause_rewrite", "coref_map", "pronoun_references", "tuple_text_roundtrip", "tuple_json",
+        "subtree_size", "subtree_pruned", "trim_clauses", "noun_chunks", "kept_tokens", "phrase_head", "clause_points", "clause_points_spacy", "clause_type_hist", "clause_type_spacy", "negation_flag", "sv_tuples", "svo_tuples", "svoo_tuples", "copula_svc",
+        "extra_adverbial", "adverbial_attach", "verb_chunks", "extract_from_conllu", "sentence_tuples", "lexical_decomposition", "clause_rewrite", "coref_map", "pronoun_references", "tuple_text_roundtrip", "tuple_json", "noun_phrases",
     ]
     return {n: globals()[n] for n in names} | {"extract_raw": _flat("raw"), "extract_clauses": _flat("clauses"), "extract_simplified": _flat("simplified")}
 
@@ -319,9 +324,11 @@ SELECT b.ann_id, b.sent_id, b.i, string_agg(coalesce(x.word, ''), ' ' ORDER BY x
 SELECT ann_id, sent_id, i, member, step FROM w""",
     "subtree_size": _DOWN + " SELECT ann_id, sent_id, i, count(*) AS n FROM sb GROUP BY ALL",
     "subtree_pruned": _DOWN + " SELECT ann_id, sent_id, i, count(*) AS n FROM sb WHERE NOT cut GROUP BY ALL",
-    "trim_clauses": _DOWN + f""", ct AS (SELECT ann_id, sent_id, i FROM tok WHERE rel IN ('acl', 'advcl', 'acl:relcl', 'relcl')), gone AS (SELECT DISTINCT ann_id, sent_id, node FROM sb JOIN ct USING (ann_id, sent_id, i))
+    "trim_clauses": _DOWN + f""", ct AS (SELECT ann_id, sent_id, i FROM tok t WHERE rel IN ('acl', 'advcl', 'acl:relcl', 'relcl') OR rel = 'nmod' AND EXISTS (SELECT 1 FROM tok g WHERE {_on('g', 't')} AND g.head = t.i AND g.rel = 'case' AND g.pos = 'VBG')), gone AS (SELECT DISTINCT ann_id, sent_id, node FROM sb JOIN ct USING (ann_id, sent_id, i))
 SELECT t.ann_id, t.sent_id, coalesce(string_agg(coalesce(word, ''), ' ' ORDER BY t.i) FILTER (g.node IS NULL), '') AS text FROM tok t LEFT JOIN gone g ON {_on('t', 'g')} AND g.node = t.i GROUP BY t.ann_id, t.sent_id""",
     "noun_chunks": _CHUNK + " SELECT * FROM ch",
+    "kept_tokens": _CHUNK + f""", hd AS (SELECT ch.ann_id, ch.sent_id, lo, ch.hi, min(t.i) FILTER (NOT coalesce(head BETWEEN lo AND ch.hi, FALSE)) AS h FROM ch JOIN tok t ON {_on('ch', 't')} AND t.i BETWEEN lo AND ch.hi WHERE ch.hi > lo GROUP BY ALL)
+SELECT t.ann_id, t.sent_id, t.i, t.word FROM tok t LEFT JOIN hd ON {_on('hd', 't')} AND t.i BETWEEN lo AND hd.hi WHERE hd.lo IS NULL OR t.i IS NOT DISTINCT FROM hd.h OR coalesce(t.rel IN ('det', 'nmod:poss'), FALSE)""",
     "phrase_head": _CHUNK + f" SELECT ch.ann_id, ch.sent_id, lo AS span_id, CASE WHEN count(*) FILTER (NOT coalesce(head BETWEEN lo AND hi, FALSE)) = 1 THEN min(t.i) FILTER (NOT coalesce(head BETWEEN lo AND hi, FALSE)) END AS head_i FROM ch JOIN tok t ON {_on('ch', 't')} AND t.i BETWEEN lo AND hi GROUP BY ch.ann_id, ch.sent_id, lo, hi",
     "clause_points": _points(False),
     "clause_points_spacy": _points(True),
@@ -344,5 +351,19 @@ SELECT DISTINCT ann_id, s AS start, e AS "end", rs AS ref_start, re AS ref_end F
     "pronoun_references": _CR + """, mn AS (SELECT ann_id, parent, arg_min(text, child) AS reference FROM m WHERE main GROUP BY ALL)
 SELECT ann_id, sentNum, startIndex, text, reference FROM m JOIN mn USING (ann_id, parent) WHERE lower(text) IN ('it', 'he', 'she', 'him', 'her', 'they', 'them') AND endIndex - startIndex = 1 AND NOT coalesce(main, FALSE)""",
     "tuple_text_roundtrip": _ROUND,
-    "tuple_json": "SELECT DISTINCT ON (tuple_id) tuple_id, predicate.word AS predicate, clause_type FROM tuples ORDER BY tuple_id, loaded_at",
+    "tuple_json": "SELECT DISTINCT ON (tuple_id) tuple_id, subject.word AS subject, predicate.word AS predicate, direct_object.word AS direct_object, indirect_object.word AS indirect_object, subject.reference AS reference, clause_type, CAST(negation AS VARCHAR) AS negation, CAST(sent_id AS VARCHAR) AS sent_id, adverbial[1].word AS first_adverbial, adverbial[1].prep AS first_prep FROM tuples ORDER BY tuple_id, loaded_at",
+    "noun_phrases": _TOK + f""", ph AS (SELECT k.ann_id, k.sent_id, n.i AS noun, k.i FROM tok n JOIN tok k ON {_on('n', 'k')} AND k.head = n.i AND k.i <> n.i WHERE n.pos LIKE 'NN%' AND (k.rel IN ('amod', 'det', 'nummod', 'quantmod', 'nn', 'compound', 'nmod:poss')
+    OR k.rel = 'nmod' AND EXISTS (SELECT 1 FROM tok c WHERE {_on('c', 'k')} AND c.head = k.i AND c.rel = 'case' AND c.word = 'of'))
+  UNION SELECT c.ann_id, c.sent_id, ph.noun, c.i FROM ph JOIN tok c ON {_on('ph', 'c')} AND c.head = ph.i AND c.i <> ph.i AND coalesce(c.rel, '') NOT IN ('acl', 'advcl', 'acl:relcl', 'relcl', 'appos')),
+al AS (SELECT * FROM ph UNION SELECT ann_id, sent_id, i, i FROM tok WHERE pos LIKE 'NN%')
+SELECT al.ann_id, al.sent_id, noun AS i, string_agg(coalesce(word, ''), ' ' ORDER BY t.i) AS phrase FROM al JOIN tok t ON {_on('al', 't')} AND t.i = al.i GROUP BY al.ann_id, al.sent_id, noun""",
 }
+
+ORACLE["clause_type_spacy"] = _SUBJ + f""", ss AS (SELECT vb.*, rel = 'conj' AND (SELECT min(o.i) FROM tok o WHERE {_on('o', 'vb')} AND o.head = vb.head AND o.rel = 'dobj') > vb.i AS shared FROM vb),
+sp AS (SELECT CASE WHEN v IN ('is', 'am', 'are', 'was', 'were', 'be', 'been', 'being') AND rel IN ('aux', 'auxpass') THEN NULL
+  WHEN v IN ('is', 'am', 'are', 'was', 'were', 'be', 'been', 'being') AND s IS NOT NULL AND list_contains(r, 'ccomp') THEN 'SVcC' WHEN v IN ('is', 'am', 'are', 'was', 'were', 'be', 'been', 'being') AND s IS NOT NULL AND list_contains(r, 'xcomp') THEN 'SVcX'
+  WHEN v IN ('is', 'am', 'are', 'was', 'were', 'be', 'been', 'being') AND list_has_all(r, ['attr', 'expl']) THEN 'SVb' WHEN s IS NOT NULL AND list_has_any(r, ['attr', 'acomp']) THEN 'SVc'
+  WHEN s IS NOT NULL AND list_has_all(r, ['dobj', 'iobj']) THEN 'SVOO' WHEN s IS NOT NULL AND list_has_all(r, ['dobj', 'oprd']) THEN 'SVOC' WHEN s IS NOT NULL AND list_contains(r, 'dobj') OR shared THEN 'SVO'
+  WHEN s IS NULL THEN NULL WHEN list_contains(r, 'xcomp') THEN 'SVX' WHEN list_contains(r, 'ccomp') THEN 'SVC' WHEN list_contains(r, 'oprd') THEN 'SVX' ELSE 'SV' END AS clause_type FROM ss)
+SELECT clause_type, count(*) AS n FROM sp GROUP BY clause_type"""
+ORACLE["svoo_tuples_cases"] = ORACLE["svoo_tuples"].replace(_TOK, golden.token_rows())

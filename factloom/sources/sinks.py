@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -13,6 +13,11 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.dropDuplicates(["doc_id", "src", "dst", "relation"]).write.mode("overwrite").parquet(os.path.join(path, "edges"))
 
 
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges written by ``write_graph``."""
+    return spark.read.parquet(os.path.join(path, "nodes")), spark.read.parquet(os.path.join(path, "edges"))
+
+
 def write_stage(df: DataFrame, path: str) -> DataFrame:
     """A stage's result as Parquet, read back: later stages don't repeat it."""
     df.write.mode("overwrite").parquet(path)

@@ -124,5 +124,7 @@ def to_text(tuples: DataFrame, doc: str, sent: str, sentence: Column, order: str
 
 
 def to_json(tuples: DataFrame) -> DataFrame:
-    """Tuples as JSON objects."""
-    return tuples.select("tuple_id", F.to_json(F.struct("subject", "predicate", "direct_object", "indirect_object", "adverbial", "clause_type")).alias("json"))
+    """Tuples as JSON objects: every role as its whole element, null where absent, the adverbials, and what else the table
+    has of clause type, negation, clause, sentence."""
+    rest = [c for c in ("clause_type", "negation", "clause", "sentence", "sent_id") if c in tuples.columns]
+    return tuples.select("tuple_id", F.to_json(F.struct("subject", "predicate", "direct_object", "indirect_object", "adverbial", *rest), {"ignoreNullFields": "false"}).alias("json"))

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from factloom.functions.text import stem
-from factloom.operators.rewrite import Tree, decompose, facts
+from factloom.operators.rewrite import ORDERS, Tree, decompose, facts, parent_numbers, sentence_facts
 
 
 def tree(text):
@@ -83,3 +83,31 @@ def test_other_dialect():
     assert found(from_spacy(was)) == ["He; was; a composer; ; in Vienna !"]
     assert found(from_spacy(gave)) == ["She; gave; books; him; "]
     assert found(from_spacy(made)) == ["They; became; friends; ; "]
+
+
+def said(text, how, **options):
+    word = lambda e: e and e["word"]
+    return [(r["clause_type"], word(r["subject"]), word(r["predicate"]), word(r["direct_object"]), [f"{a['prep']} {a['word']}" for a in r["adverbial"]], r["complement_tuples"], r["parent_clause"]) for r in sentence_facts(tree(text), how, **options)]
+
+
+def test_what_is_set_aside_comes_back():
+    gave = "He/PRP(2,nsubj) gave/VBD(0,root) a/DT(4,det) talk/NN(2,dobj) at/IN(6,case) noon/NN(2,nmod) in/IN(8,case) Vienna/NNP(2,nmod) and/CC(8,cc) Graz/NNP(8,conj)"
+    assert said(gave, "simplified") == [("SVO", "He", "gave", "a talk", ["at noon", "in Vienna", "in Graz"], [], None)]
+    house = "He/PRP(2,nsubj) saw/VBD(0,root) a/DT(5,det) big/JJ(5,amod) house/NN(2,dobj) near/IN(8,case) old/JJ(8,amod) Vienna/NNP(5,nmod) in/IN(10,case) Austria/NNP(8,nmod)"
+    assert said(house, "simplified") == [("SVO", "He", "saw", "a big house near old Vienna in Austria", [], [], None)]
+
+
+def test_complements_are_linked():
+    text = "He/PRP(2,nsubj) said/VBD(0,root) that/IN(5,mark) she/PRP(5,nsubj) left/VBD(2,ccomp) and/CC(5,cc) wept/VBD(5,conj)"
+    for how, links in (("raw", [1, 2]), ("clauses", [1, 2]), ("simplified", [1, 2])):
+        rows = said(text, how)
+        assert rows[0][0] == "SVC" and rows[0][5] == links and {r[2] for r in rows[1:]} == {"left", "wept"}
+
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_orders_hold_all_clauses(order):
+    text = "Tom/NNP(5,nsubj) ,/,(1,punct) a/DT(4,det) baker/NN(1,appos) left/VBD(0,root) Rome/NNP(5,dobj) when/WRB(9,advmod) it/PRP(9,nsubj) rained/VBD(5,advcl) and/CC(5,cc) sold/VBD(5,conj) bread/NN(11,dobj)"
+    clauses = decompose(tree(text), order=order)
+    up = parent_numbers(clauses)
+    assert {"when it rained"} < {c.text() for c in clauses} and len(clauses) == 4
+    assert sum(n is None for n in up) == 1 and all(n is None or clauses[n] is not c for n, c in zip(up, clauses))
