@@ -90,7 +90,7 @@ def test_independent_set_is_the_greedy_one(spark):
 def test_walk_numbers(spark):
     w = spark.createDataFrame([(1, "a", "b", 1.0), (1, "b", "a", 1.0)], "doc_id bigint, i string, j string, w double")
     v = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.0)], "doc_id bigint, i string, r double")
-    got = {r.i: round(r.r, 5) for r in graph.walk(w, v, 0.5, steps=40, every=10).collect()}
+    got = {r.i: round(r.r, 5) for r in graph.settle(w, v, 0.5).collect()}
     assert got == {"a": 0.66667, "b": 0.33333}
 
 
