@@ -257,38 +257,45 @@ def distinct_values(df: DataFrame, value: Column) -> DataFrame:
 
 def map_values(values: DataFrame, entries: DataFrame, threshold: float = 0.25, margin: float = 0.05, max_edits: int = 2, index_rows: int = 50_000) -> DataFrame:
     """``value``, ``uri`` (or NIL), ``edits``, ``score`` for every distinct value of ``values``; ``entries`` has ``uri``,
-    ``label`` and ``ne_type``."""
+    ``label`` and ``ne_type``. Values with the same normalized name are mapped once."""
     listed = entries.select("uri", "label", "ne_type").dropna(subset=["uri", "label"]).distinct()
-    rows, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("label") + F.octet_length("uri")), F.lit(0))).first()
-    if rows > index_rows or size > 1 << 24:
-        return _map_joined(values, listed, threshold, margin, max_edits)
-    index = values.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in listed.orderBy("uri", "label", "ne_type").collect()]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
+    def normalized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = batch.column(0).to_pylist()
-            found = [ix.choose(name, threshold, margin, max_edits) if (name := normal(v)) else (NIL, -1, 0.0) for v in given]
-            yield _mapped(given, found)
+            yield pa.record_batch([batch.column(0), pa.array([normal(v) for v in batch.column(0).to_pylist()], pa.string())], names=["value", "name"])
 
-    held = cut(values.select("value"))
-    return spread(held, held.count()).mapInArrow(run, MAPPED)
+    named = cut(values.select("value").mapInArrow(normalized, "value string, name string"))
+    names = cut(named.filter("name <> ''").groupBy("name").agg(F.count("*").alias("n_values")))
+    rows, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("label") + F.octet_length("uri")), F.lit(0))).first()
+    if rows > index_rows or size > 1 << 24:
+        mapped = names.join(_map_joined(names.select("name"), listed, threshold, margin, max_edits), "name")
+    else:
+        mapped = _map_indexed(names, listed, threshold, margin, max_edits)
+    there = join_groups(named.filter("name <> ''"), cut(mapped), ["name"], "n_values").select("value", "uri", "edits", "score")
+    nothing = named.filter("name = ''").select("value", F.lit(NIL).alias("uri"), F.lit(-1).alias("edits"), F.lit(0.0).alias("score"))
+    return there.unionByName(nothing)
 
 
-MAPPED = "value string, uri string, edits int, score double"
+def _map_indexed(names: DataFrame, listed: DataFrame, threshold: float, margin: float, max_edits: int) -> DataFrame:
+    """``names`` with ``uri``, ``edits`` and ``score``, by the broadcast index."""
+    index = names.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in listed.orderBy("uri", "label", "ne_type").collect()]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = index.value
+        for batch in batches:
+            found = [ix.choose(name, threshold, margin, max_edits) for name in batch.column(0).to_pylist()]
+            uri, edits, score = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(uri, pa.string()), pa.array(edits, pa.int32()), pa.array(score, pa.float64())], [*batch.schema.names, "uri", "edits", "score"])
 
-def _mapped(given: list[str], found: list[tuple[str, int, float]]) -> pa.RecordBatch:
-    uri, edits, score = zip(*found) if found else ((), (), ())
-    return pa.record_batch([pa.array(given, pa.string()), pa.array(uri, pa.string()), pa.array(edits, pa.int32()), pa.array(score, pa.float64())], names=["value", "uri", "edits", "score"])
+    return spread(names, names.count()).mapInArrow(run, "name string, n_values bigint, uri string, edits int, score double")
 
 
 def _gram_maps(texts: list[str]) -> pa.Array:
     return pa.array([list(grams(t).items()) for t in texts], pa.map_(pa.string(), pa.int32()))
 
 
-def _map_joined(values: DataFrame, listed: DataFrame, threshold: float, margin: float, max_edits: int) -> DataFrame:
-    """The same by joins, for lists too long to broadcast."""
+def _map_joined(names: DataFrame, listed: DataFrame, threshold: float, margin: float, max_edits: int) -> DataFrame:
+    """``name``, ``uri``, ``edits`` and ``score`` by joins, for lists too long to broadcast."""
 
     def entry_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,10 +307,6 @@ def _map_joined(values: DataFrame, listed: DataFrame, threshold: float, margin:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, _gram_maps(batch.column(0).to_pylist())], [*batch.schema.names, "grams"])
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([normal(v) for v in batch.column(0).to_pylist()], pa.string())], names=["value", "name"])
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = [fewest(n, [(Form(f, s, max_edits), s)], max_edits) for n, f, s in zip(*(batch.column(k).to_pylist() for k in range(3)))]
@@ -322,8 +325,7 @@ def _map_joined(values: DataFrame, listed: DataFrame, threshold: float, margin:
         rows = rows.join(small(idf), "g", "left" if unseen else "inner").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unseen)))
         return rows.join(rows.groupBy(key).agg(norm("w").alias("_norm")), key).select(key, "g", (F.col("w") / F.col("_norm")).alias("w"))
 
-    named = cut(values.select("value").mapInArrow(names, "value string, name string"))
-    distinct = named.select("name").distinct().filter("name <> ''").mapInArrow(with_grams, "name string, grams map<string,int>")
+    distinct = names.mapInArrow(with_grams, "name string, grams map<string,int>")
     vectors = cut(weighed(distinct, "name", math.log(1 + total)))
     # A form that shares only the last of a value's grams, in order of weight, has a cosine of at most their norm.
     rest = Window.partitionBy("name").orderBy(F.col("w"), "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -343,8 +345,8 @@ def _map_joined(values: DataFrame, listed: DataFrame, threshold: float, margin:
     per = cut(passed.groupBy("name", "uri").agg(F.min("edits").alias("edits"), F.max("score").alias("score")))
     least = per.groupBy("name").agg(F.min("edits").alias("edits"))
     chosen = per.join(least, ["name", "edits"]).groupBy("name", "edits").agg(F.count("*").alias("_n"), F.min("uri").alias("uri"), F.max("score").alias("score"))
-    done = named.join(chosen, "name", "left")
-    return done.select("value", F.when(F.col("_n") == 1, F.col("uri")).otherwise(NIL).alias("uri"), F.coalesce("edits", F.lit(-1)).alias("edits"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    done = names.join(chosen, "name", "left")
+    return done.select("name", F.when(F.col("_n") == 1, F.col("uri")).otherwise(NIL).alias("uri"), F.coalesce("edits", F.lit(-1)).alias("edits"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def link(df: DataFrame, id_col: str, value: Column, entries: DataFrame, **options: float) -> DataFrame:
