@@ -134,21 +134,28 @@ def lexically_valid(t: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(ok).drop("text", "_tokens")
 
 
+def overlapping(e: DataFrame, keep: list[str], skip_inserted: bool = True) -> DataFrame:
+    """Pairs ``a``, ``b`` (structs of ``tuple_id`` and ``keep``) of ``elements`` of different tuples of a sentence that share
+    a word index but are not equal. Elements are exploded to their indices and joined on (doc_id, sent_id, index)."""
+    e = e.select(*SENTENCE, F.struct("tuple_id", *keep, F.lower("word").alias("_w"), F.lower("prep").alias("_p")).alias("x"), F.explode(F.array_distinct("word_index")).alias("ix"))
+    if skip_inserted:
+        e = e.filter("ix >= 0")
+    pairs = e.withColumnRenamed("x", "a").join(e.withColumnRenamed("x", "b"), [*SENTENCE, "ix"]).filter("a.tuple_id < b.tuple_id")
+    same = F.col("a._w") == F.col("b._w")
+    equal = same & F.col("a._p").eqNullSafe(F.col("b._p"))
+    one_prep = (F.col("a._p").isNull() != F.col("b._p").isNull()) & same
+    return pairs.filter(~equal & ~one_prep).select(*SENTENCE, "a", "b")
+
+
 def overlaps(t: DataFrame, skip_inserted: bool = True) -> DataFrame:
     """Pairs of elements of different tuples of a sentence that share a word index but are not equal.
 
-    Elements are exploded to their indices and joined on (doc_id, sent_id, index); equal words with just one
-    preposition don't count. Index -1 marks an inserted word and is left out unless ``skip_inserted`` is off.
+    Equal words with just one preposition don't count. Index -1 marks an inserted word and is left out unless
+    ``skip_inserted`` is off.
     """
-    e = elements(t).select(*SENTENCE, "tuple_id", "role", "ord", F.lower("word").alias("w"), F.lower("prep").alias("pr"), F.explode(F.array_distinct("word_index")).alias("ix"))
-    if skip_inserted:
-        e = e.filter("ix >= 0")
-    a = e.select(*SENTENCE, "ix", F.struct("tuple_id", "role", "ord", "w", "pr").alias("a"))
-    b = e.select(*SENTENCE, "ix", F.struct("tuple_id", "role", "ord", "w", "pr").alias("b"))
-    pairs = a.join(b, [*SENTENCE, "ix"]).filter("a.tuple_id < b.tuple_id")
-    equal = (F.col("a.w") == F.col("b.w")) & F.col("a.pr").eqNullSafe(F.col("b.pr"))
-    one_prep = (F.col("a.pr").isNull() != F.col("b.pr").isNull()) & (F.col("a.w") == F.col("b.w"))
-    return pairs.filter(~equal & ~one_prep).select(*SENTENCE, F.col("a.tuple_id").alias("left_id"), F.col("a.role").alias("left_role"), F.col("a.ord").alias("left_ord"), F.col("b.tuple_id").alias("right_id"), F.col("b.role").alias("right_role"), F.col("b.ord").alias("right_ord")).distinct()
+    pairs = overlapping(elements(t), ["role", "ord"], skip_inserted)
+    side = lambda p, q: [F.col(f"{p}.tuple_id").alias(f"{q}_id"), F.col(f"{p}.role").alias(f"{q}_role"), F.col(f"{p}.ord").alias(f"{q}_ord")]
+    return pairs.select(*SENTENCE, *side("a", "left"), *side("b", "right")).distinct()
 
 
 def evaluate(gold: DataFrame, found: DataFrame) -> DataFrame:

@@ -98,12 +98,9 @@ def merge_triples(edges: DataFrame) -> DataFrame:
 
 def collisions(t: DataFrame) -> DataFrame:
     """Undirected collision edges between nouns or predicates of the merged graph, as ``a`` < ``b``."""
-    e = algebra.elements(t)
-    named = e.select("doc_id", "sent_id", "tuple_id", "role", "ord", F.when(F.col("role") == "predicate", predicate_id()).otherwise(F.col("word")).alias("id"))
-    o = algebra.overlaps(t)
-    side = lambda p: named.select("doc_id", "sent_id", F.col("tuple_id").alias(f"{p}_id"), F.col("role").alias(f"{p}_role"), F.col("ord").alias(f"{p}_ord"), F.col("id").alias(p))
-    both = o.join(side("left"), ["doc_id", "sent_id", "left_id", "left_role", "left_ord"]).join(side("right"), ["doc_id", "sent_id", "right_id", "right_role", "right_ord"])
-    return both.filter("left <> right").select("doc_id", F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).distinct()
+    named = algebra.elements(t).withColumn("id", F.when(F.col("role") == "predicate", predicate_id()).otherwise(F.col("word")))
+    pairs = algebra.overlapping(named, ["id"]).select("doc_id", F.col("a.id").alias("x"), F.col("b.id").alias("y")).filter("x <> y")
+    return pairs.select("doc_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def link(t: DataFrame, mentions: DataFrame, things: DataFrame, compat: bool = False) -> DataFrame:
@@ -149,12 +146,15 @@ def settle(w: DataFrame, v: DataFrame, gamma: float, tolerance: float = 1e-10, m
     Ends once each document's scores are proven to be within ``tolerance`` of the exact ones in sum: with residual d,
     the result's error is at most (1 - gamma) |d| / gamma. Fails rather than giving scores that are not.
 
-    Documents of up to ``in_task`` entries are walked many at a time within a task; a larger one, by joins.
+    Documents of up to ``in_task`` entries are walked many at a time within a task; a larger one, by joins. ``w`` is read
+    twice and should be held.
     """
-    w, v = cut(w), cut(v.select("doc_id", "i", "r"))
+    v = v.select("doc_id", "i", "r")
     parts = int(w.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    large = cut(w.groupBy("doc_id").count().filter(F.col("count") > in_task).select("doc_id"))
+    large = w.groupBy("doc_id").count().filter(F.col("count") > in_task).select("doc_id")
     some = large.limit(1).count() > 0
+    if some:
+        large, v = small(cut(large)), cut(v)
     rest = lambda x: x.join(large, "doc_id", "left_anti") if some else x
     rows = rest(w.select("doc_id", "i", "j", "w")).unionByName(rest(v.select("doc_id", "i", F.lit(None).cast("string").alias("j"), F.col("r").alias("w"))))
     kind = v.schema["doc_id"].dataType.simpleString()
@@ -264,7 +264,7 @@ def _chosen(t: DataFrame, kb_table: DataFrame, gamma1: float, gamma2: float) ->
     w1 = cut(level1(merged_edges(t)))
     r1 = settle(w1, start(w1), gamma1)
     cand = cut(candidates(t))
-    w2 = level2(cand, kb.relatedness(kb_table))
+    w2 = cut(level2(cand, kb.relatedness(kb_table)))
     seed = r1.join(cand.select("doc_id", F.col("noun").alias("i")).distinct(), ["doc_id", "i"])
     total = seed.groupBy("doc_id").agg(F.sum("r").alias("_s"))
     v2 = seed.join(total, "doc_id").filter("_s > 0").select("doc_id", F.concat(F.lit("N:"), "i").alias("i"), (F.col("r") / F.col("_s")).alias("r"))
@@ -299,17 +299,19 @@ def independent_set(pairs: DataFrame, weights: DataFrame, trials: int = 0, seed:
     ``trials``, so many sets are made besides in which nodes are drawn one after another with a chance by their weights,
     from ``seed``, and of all the heaviest is given (of equals the first; the greedy one is the first of all).
 
-    ``pairs``: doc_id, a, b; ``weights``: doc_id, id, weight (null: 0). Documents of up to ``in_task`` pairs are done many
+    ``pairs``: doc_id, a, b, held and without repeats; ``weights``: doc_id, id, weight (null: 0). Documents of up to ``in_task`` pairs are done many
     at a time within a task; larger ones by rounds of joins, in which every node that comes before all its remaining
     neighbours is taken and these are dropped: the same set as taking nodes one by one, in few rounds.
     """
-    pairs = cut(pairs.filter("a <> b").select("doc_id", "a", "b").distinct())
+    pairs = pairs.filter("a <> b").select("doc_id", "a", "b")
     ids = pairs.select("doc_id", F.col("a").alias("id")).unionByName(pairs.select("doc_id", F.col("b").alias("id"))).distinct()
     nodes = ids.join(weights, ["doc_id", "id"], "left").select("doc_id", "id", F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("w"))
     clock = lambda k: -F.log((F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "doc_id", "id"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))) / F.greatest("w", F.lit(1e-5))
-    nodes = cut(nodes.select("doc_id", "id", "w", F.array(-F.col("w"), *[clock(k) for k in range(trials)]).alias("keys")))
-    large = small(cut(pairs.groupBy("doc_id").count().filter(F.col("count") > in_task).select("doc_id")))
+    nodes = nodes.select("doc_id", "id", "w", F.array(-F.col("w"), *[clock(k) for k in range(trials)]).alias("keys"))
+    large = pairs.groupBy("doc_id").count().filter(F.col("count") > in_task).select("doc_id")
     some = large.limit(1).count() > 0
+    if some:
+        large, nodes = small(cut(large)), cut(nodes)
     rest = lambda x: x.join(large, "doc_id", "left_anti") if some else x
     none = F.lit(None)
     rows = rest(pairs.select("doc_id", "a", "b", none.cast("double").alias("w"), none.cast("array<double>").alias("keys"))).unionByName(rest(nodes.select("doc_id", F.col("id").alias("a"), none.cast("string").alias("b"), "w", "keys")))

@@ -152,7 +152,7 @@ def level2_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restart_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = graph.level1(graph.merged_edges(tuples(spark, sf_dir)))
+    w = cut(graph.level1(graph.merged_edges(tuples(spark, sf_dir))))
     return graph.settle(w, graph.start(w), 0.3).withColumn("r", F.round("r", 6))
 
 
@@ -166,15 +166,15 @@ def pruned_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.merged_edges(tuples(spark, sf_dir))
-    w = graph.level1(edges)
+    edges = cut(graph.merged_edges(tuples(spark, sf_dir)))
+    w = cut(graph.level1(edges))
     return graph.score_tuples(edges, graph.settle(w, graph.start(w), 0.3))
 
 
 def greedy_independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tuples(spark, sf_dir)
+    t = cut(tuples(spark, sf_dir))
     scores, _ = graph.propagate(t, table(spark, sf_dir, "kb"))
-    return graph.independent_set(graph.collisions(t), scores.select("doc_id", F.col("i").alias("id"), F.col("r").alias("weight")))
+    return graph.independent_set(cut(graph.collisions(t)), scores.select("doc_id", F.col("i").alias("id"), F.col("r").alias("weight")))
 
 
 def joint_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
