@@ -311,6 +311,7 @@ ORACLE = {
     "conllu_roundtrip": _TOK + " SELECT * EXCLUDE (ner) FROM tok",
     "tokenize_count": "SELECT doc_id, coalesce(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]')), 0) AS n_tokens FROM documents",
     "whitespace_tokens": "SELECT token, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents) GROUP BY token",
+    "sentence_split": "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, ';', ';' || chr(1)), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^ +| +$', '', 'g')), lambda s: s <> '') AS l FROM documents) SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS sent_id, unnest(l) AS sentence FROM l",
     "clean_words": "SELECT uri, split_part(label, '(', 1) AS name FROM kb_things",
     "pos_tag_hist": _TOK + " SELECT pos, count(*) AS n, count(*) FILTER (word IN ('is', 'am', 'are', 'was', 'were', 'be', 'been', 'being')) AS n_copula FROM tok GROUP BY pos",
     "tree_children": _TOK + f" SELECT p.ann_id, p.sent_id, p.i, c.i AS child, c.word, c.rel FROM tok p JOIN tok c ON {_on('p', 'c')} AND c.head = p.i",
