@@ -305,9 +305,7 @@ def independent_set(pairs: DataFrame, weights: DataFrame, trials: int = 0, seed:
     """
     pairs = pairs.filter("a <> b").select("doc_id", "a", "b")
     ids = pairs.select("doc_id", F.col("a").alias("id")).unionByName(pairs.select("doc_id", F.col("b").alias("id"))).distinct()
-    nodes = ids.join(weights, ["doc_id", "id"], "left").select("doc_id", "id", F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("w"))
-    clock = lambda k: -F.log((F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "doc_id", "id"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))) / F.greatest("w", F.lit(1e-5))
-    nodes = nodes.select("doc_id", "id", "w", F.array(-F.col("w"), *[clock(k) for k in range(trials)]).alias("keys"))
+    nodes = _ranked(ids, weights, trials, seed)
     large = pairs.groupBy("doc_id").count().filter(F.col("count") > in_task).select("doc_id")
     some = large.limit(1).count() > 0
     if some:
@@ -381,6 +379,143 @@ def _independent_joined(pairs: DataFrame, rank: DataFrame) -> DataFrame:
         left = cut(left.join(alive.withColumnRenamed("id", "first"), ["doc_id", "first"], "left_semi").join(alive.withColumnRenamed("id", "second"), ["doc_id", "second"], "left_semi"))
 
 
+def resolved_collisions(t: DataFrame, weights: DataFrame, trials: int = 0, seed: int = 1, in_task: int = 1_000_000) -> DataFrame:
+    """Every node of each document's conflict graph (``collisions``) and whether it is in its independent set (see
+    ``independent_set``): ``doc_id``, ``id``, ``taken``.
+
+    A sentence with many tuples has a number of collisions that grows with their square. So documents with up to
+    ``in_task`` places of elements are resolved from these, without their pairs: what a taken element keeps out is known at
+    its places in the sentence. Only larger documents are resolved by pairs.
+    """
+    e = algebra.elements(t).filter("sent_id IS NOT NULL").withColumn("id", F.when(F.col("role") == "predicate", predicate_id()).otherwise(F.col("word")))
+    places = e.select("doc_id", "id", "sent_id", F.explode(F.array_distinct("word_index")).alias("ix"), "tuple_id", F.lower("word").alias("w"), F.lower("prep").alias("p")).filter("ix >= 0")
+    places = cut(places)
+    large = places.groupBy("doc_id").count().filter(F.col("count") > in_task).select("doc_id")
+    some = large.limit(1).count() > 0
+    if some:
+        large = small(cut(large))
+    rest = places.join(large, "doc_id", "left_anti") if some else places
+    nodes = _ranked(rest.select("doc_id", "id").distinct(), weights, trials, seed)
+    none = F.lit(None)
+    rows = rest.select("*", none.cast("double").alias("weight"), none.cast("array<double>").alias("keys")).unionByName(nodes.withColumnRenamed("w", "weight"), allowMissingColumns=True)
+    parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = t.schema["doc_id"].dataType.simpleString()
+    out = rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_resolved_chunks, f"doc_id {kind}, id string, taken boolean")
+    if some:
+        pairs = cut(collisions(t.join(large, "doc_id", "left_semi")))
+        kept = independent_set(pairs, weights, trials, seed).withColumn("taken", F.lit(True))
+        ids = pairs.select("doc_id", F.col("a").alias("id")).unionByName(pairs.select("doc_id", F.col("b").alias("id"))).distinct()
+        out = out.unionByName(ids.join(kept, ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce("taken", F.lit(False)).alias("taken")))
+    return cut(out)
+
+
+def _ranked(ids: DataFrame, weights: DataFrame, trials: int, seed: int) -> DataFrame:
+    """``doc_id``, ``id``, ``w`` and for the greedy set and each trial the key by which nodes are ordered, ``keys``."""
+    nodes = ids.join(weights, ["doc_id", "id"], "left").select("doc_id", "id", F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("w"))
+    clock = lambda k: -F.log((F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "doc_id", "id"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))) / F.greatest("w", F.lit(1e-5))
+    return nodes.select("doc_id", "id", "w", F.array(-F.col("w"), *[clock(k) for k in range(trials)]).alias("keys"))
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each value, -1 for null."""
+    return pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _alike(*columns: np.ndarray) -> np.ndarray:
+    """A number for each combination of values."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = np.unique(out * (c.max(initial=0) + 2) + c + 1, return_inverse=True)[1]
+    return out
+
+
+def _times(*columns: np.ndarray) -> np.ndarray:
+    """How many rows have the same combination of values as each row."""
+    code = np.unique(_alike(*columns), return_inverse=True)[1]
+    return np.bincount(code)[code] if len(code) else code
+
+
+def _colliding(g: np.ndarray, node: np.ndarray, u: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For each place of an element whether another tuple's element collides with it there, by counting those that don't:
+    it collides with other words, and with the same word of another node where both prepositions are known and differ."""
+    out = _times(g) - _times(g, w) - _times(g, u) + _times(g, w, u) > 0
+    known = p >= 0
+    gw, n, v, q = _alike(g, w)[known], node[known], u[known], p[known]
+    rest = _times(gw) - _times(gw, q) - _times(gw, n) - _times(gw, v) + _times(gw, q, n) + _times(gw, q, v) + _times(gw, n, v) - _times(gw, q, n, v)
+    out[known] |= rest > 0
+    return out
+
+
+MANY = -9
+
+
+def _taken_in_order(order: list[int], start: list[int], g: list[int], u: list[int], w: list[int], p: list[int]) -> np.ndarray:
+    """Nodes taken one by one unless a taken one collides with them. At each place the words taken are held with their tuple
+    (or MANY), and for each word the prepositions with their nodes and tuples."""
+    taken = np.zeros(len(start) - 1, bool)
+    words: dict[int, dict[int, int]] = {}
+    preps: dict[tuple[int, int], dict[int, dict[int, int]]] = {}
+    for n in order:
+        mine = range(start[n], start[n + 1])
+        free = True
+        for k in mine:
+            there = words.get(g[k])
+            if there is None:
+                continue
+            if any(x != w[k] and t != u[k] for x, t in there.items()):
+                free = False
+                break
+            if p[k] >= 0 and any(q != p[k] and any(m != n and t != u[k] for m, t in by.items()) for q, by in preps.get((g[k], w[k]), {}).items()):
+                free = False
+                break
+        if not free:
+            continue
+        taken[n] = True
+        for k in mine:
+            there = words.setdefault(g[k], {})
+            there[w[k]] = u[k] if there.get(w[k], u[k]) == u[k] else MANY
+            if p[k] >= 0:
+                by = preps.setdefault((g[k], w[k]), {}).setdefault(p[k], {})
+                by[n] = u[k] if by.get(n, u[k]) == u[k] else MANY
+    return taken
+
+
+def _resolved_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in _whole_documents(batches, 300_000):
+        docs = t["doc_id"].combine_chunks().dictionary_encode()
+        doc = docs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        names = t["id"].combine_chunks().dictionary_encode()
+        name = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        of = _alike(doc, name)  # the node of each row
+        is_node = t["keys"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(is_node)
+        rows = rows[np.argsort(of[rows])]  # one row for each node, in order
+        place = np.flatnonzero(~is_node)
+        place = place[np.argsort(of[place], kind="stable")]
+        code = lambda c: _codes(t[c])[place]
+        node, u, w, p = of[place], code("tuple_id"), code("w"), code("p")
+        g = _alike(doc[place], code("sent_id"), code("ix"))
+        collides = np.zeros(len(rows), bool)
+        collides[node[_colliding(g, node, u, w, p)]] = True
+        start = np.searchsorted(node, np.arange(len(rows) + 1)).tolist()
+        held = [x.tolist() for x in (g, u, w, p)]
+        keys = np.array(t["keys"].combine_chunks().take(pa.array(rows)).to_pylist(), float).reshape(len(rows), -1)
+        weight = t["weight"].combine_chunks().take(pa.array(rows)).to_numpy(zero_copy_only=False)
+        texts = names.dictionary.to_pylist()
+        text = [texts[c] for c in name[rows]]
+        where = doc[rows]
+        ids = np.flatnonzero(collides).tolist()
+        best, top = np.zeros(len(rows), bool), np.full(len(docs.dictionary), -np.inf)
+        for k in range(keys.shape[1]):
+            key = keys[:, k].tolist()
+            taken = _taken_in_order(sorted(ids, key=lambda n: (key[n], text[n])), start, *held)
+            sums = np.round(np.bincount(where[taken], weight[taken], len(top)), 9)
+            better = (sums > top)[where]
+            best[better] = taken[better]
+            top = np.maximum(top, sums)
+        yield pa.RecordBatch.from_arrays([docs.dictionary.take(pa.array(where[collides])), names.dictionary.take(pa.array(name[rows][collides])), pa.array(best[collides])], ["doc_id", "id", "taken"])
+
+
 def refine(edges: DataFrame) -> DataFrame:
     """Edges of predicates with a subject; edges of others, and so nodes that nothing points to, are dropped."""
     with_subject = edges.filter("relation = 'subj'").select("doc_id", "src").distinct()
@@ -408,9 +543,7 @@ def resolve(t: DataFrame, kb_table: DataFrame, gamma1: float = 0.1, gamma2: floa
     t = cut(t)
     scores, best = propagate(t, kb_table, gamma1, gamma2)
     edges = cut(merged_edges(t))
-    pairs = cut(collisions(t))
-    kept = independent_set(pairs, scores.select("doc_id", F.col("i").alias("id"), F.col("r").alias("weight")), trials)
-    lost = cut(pairs.select("doc_id", F.col("a").alias("id")).unionByName(pairs.select("doc_id", F.col("b").alias("id"))).distinct().join(kept, ["doc_id", "id"], "left_anti"))
+    lost = resolved_collisions(t, scores.select("doc_id", F.col("i").alias("id"), F.col("r").alias("weight")), trials).filter("NOT taken").select("doc_id", "id")
     with_noun = edges.join(lost.withColumnRenamed("id", "dst"), ["doc_id", "dst"], "left_semi").select("doc_id", "src").distinct()
     rest = cut(refine(edges.join(lost.withColumnRenamed("id", "src"), ["doc_id", "src"], "left_anti").join(with_noun, ["doc_id", "src"], "left_anti")))
     means = prune_entities(means_edges(t), best).join(rest.select("doc_id", F.col("dst").alias("src")).distinct(), ["doc_id", "src"], "left_semi")

@@ -174,7 +174,8 @@ def score_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = cut(tuples(spark, sf_dir))
     scores, _ = graph.propagate(t, table(spark, sf_dir, "kb"))
-    return graph.independent_set(cut(graph.collisions(t)), scores.select("doc_id", F.col("i").alias("id"), F.col("r").alias("weight")))
+    weights = scores.select("doc_id", F.col("i").alias("id"), F.col("r").alias("weight"))
+    return graph.resolved_collisions(t, weights).filter("taken").select("doc_id", "id")
 
 
 def joint_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:

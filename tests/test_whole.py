@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from factloom.operators import graph, kb
 from factloom.plans import catalog, facts, parses
@@ -143,3 +144,21 @@ def test_independent_sets_by_task_and_by_joins(spark):
         total = lambda s: sum(by[x] for x in s if x[0] == d)
         assert total(sets[3, 0]) >= total(want) - 1e-9
     assert not any((d, a) in sets[3, 0] and (d, b) in sets[3, 0] for d, a, b in pairs)
+
+
+def test_collisions_resolved_by_places_are_those_of_pairs(spark):
+    rng = random.Random(12)
+
+    def el():
+        word = rng.choice(["map", "Map", "old map", "hall", None])
+        return None if rng.random() < 0.1 else (word, rng.choice([None, [rng.randint(-1, 4) for _ in range(rng.randint(0, 3))]]), rng.choice([None, None, "in", "In", "at"]), None, None, None)
+
+    rows = [(rng.randint(1, 3), rng.choice([None, 0, 1, 1]), i, "raw", "SVO", None, el(), el(), el(), None, rng.choice([None, [el(), el()], []])) for i in range(90)]
+    schema = f"doc_id bigint, sent_id int, tuple_id bigint, run string, clause_type string, negation boolean, subject {E}, predicate {E}, direct_object {E}, indirect_object {E}, adverbial array<{E}>"
+    t = spark.createDataFrame(rows, schema)
+    ids = graph.nodes(t).filter("type <> 'Entity'").select("doc_id", F.col("node_id").alias("id"), (F.pmod(F.xxhash64("node_id"), F.lit(5)) / 10).alias("weight"))
+    pairs = {(r.doc_id, x) for r in graph.collisions(t).collect() for x in (r.a, r.b)}
+    for trials in (0, 2):
+        by_places, by_pairs = ({(r.doc_id, r.id): r.taken for r in graph.resolved_collisions(t, ids, trials, in_task=n).collect()} for n in (10**6, 0))
+        assert by_places == by_pairs and by_places.keys() == pairs and any(by_places.values()) and not all(by_places.values())
+    assert graph.resolved_collisions(t.limit(0), ids).count() == 0
