@@ -1,6 +1,7 @@
 """Extraction from fixed sentences whose tuples and clauses are known.
 
-The annotations of the tables come with no tuples, so full extraction is compared here with rows checked by hand. Trees
+The annotations of the tables come with no tuples, so full extraction is compared here with rows that it gave and
+that were then read through by hand: they show change, and are no independent truth. Trees
 are written word/tag(head,label).
 """
 
