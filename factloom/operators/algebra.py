@@ -8,9 +8,16 @@ one sentence only, so every join has (doc_id, sent_id) and a word among its equa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.runtime import cut, small
+
 ROLES = ("subject", "predicate", "direct_object", "indirect_object")
 SENTENCE = ["doc_id", "sent_id"]
 
@@ -147,15 +154,105 @@ def overlapping(e: DataFrame, keep: list[str], skip_inserted: bool = True) -> Da
     return pairs.filter(~equal & ~one_prep).select(*SENTENCE, "a", "b")
 
 
-def overlaps(t: DataFrame, skip_inserted: bool = True) -> DataFrame:
+def overlaps(t: DataFrame, skip_inserted: bool = True, block: int = 200) -> DataFrame:
     """Pairs of elements of different tuples of a sentence that share a word index but are not equal.
 
     Equal words with just one preposition don't count. Index -1 marks an inserted word and is left out unless
     ``skip_inserted`` is off.
+
+    Pairs grow with the square of a sentence's tuples, so they are made where they are given and never shuffled. A sentence
+    with more than ``block`` tuples is dealt into blocks of about that many, and each two of them are paired on their own:
+    what is shuffled is far less than the pairs, and no task gets all pairs of a sentence.
     """
-    pairs = overlapping(elements(t), ["role", "ord"], skip_inserted)
-    side = lambda p, q: [F.col(f"{p}.tuple_id").alias(f"{q}_id"), F.col(f"{p}.role").alias(f"{q}_role"), F.col(f"{p}.ord").alias(f"{q}_ord")]
-    return pairs.select(*SENTENCE, *side("a", "left"), *side("b", "right")).distinct()
+    places = lambda e: F.filter(F.array_distinct(e["word_index"]), (lambda i: i >= 0) if skip_inserted else (lambda i: i.isNotNull()))
+    part = lambda k, ord, e: F.struct(F.lit(k).cast("tinyint").alias("role"), ord.alias("ord"), F.lower(e["word"]).alias("w"), F.lower(e["prep"]).alias("p"), places(e).alias("ix"))
+    many = F.transform("adverbial", lambda e, i: part(len(ROLES), i, e))
+    every = F.concat(F.array(*[part(k, F.lit(0), F.col(r)) for k, r in enumerate(ROLES)]), F.coalesce(many, F.array().cast("array<struct<role:tinyint,ord:int,w:string,p:string,ix:array<int>>>")))
+    t = t.filter("doc_id IS NOT NULL AND sent_id IS NOT NULL AND tuple_id IS NOT NULL")
+    hot = small(cut(t.groupBy(*SENTENCE).agg(F.ceil(F.count("*") / block).cast("int").alias("_n")).filter("_n > 1")))
+    rows = t.select(*SENTENCE, "tuple_id", F.filter(every, lambda x: x["w"].isNotNull() & (F.size(x["ix"]) > 0)).alias("es")).filter(F.size("es") > 0)
+    dealt = rows.join(hot, SENTENCE, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("tuple_id"), F.col("_n")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select(*SENTENCE, F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), (F.col("_own") > F.col("_other")).cast("tinyint").alias("side"), "tuple_id", "es")
+    kind = {f.name: f.dataType.simpleString() for f in t.schema}
+    schema = f"doc_id {kind['doc_id']}, sent_id {kind['sent_id']}, " + ", ".join(f"{q}_id {kind['tuple_id']}, {q}_role tinyint, {q}_ord int" for q in ("left", "right"))
+    parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = dealt.repartition(parts, *UNIT).sortWithinPartitions(*UNIT).mapInArrow(_overlap_chunks, schema)
+    role = lambda q: F.array(*map(F.lit, (*ROLES, "adverbial")))[F.col(f"{q}_role")].alias(f"{q}_role")
+    return pairs.select(*SENTENCE, *[c for q in ("left", "right") for c in (f"{q}_id", role(q), f"{q}_ord")])
+
+
+UNIT = [*SENTENCE, "lo", "hi"]
+
+
+def _overlap_chunks(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Whole units (two blocks of a sentence, or one with itself), about ``rows`` tuples at a time."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) >= rows:
+            t = pa.concat_tables(held)
+            whole = int(np.searchsorted(units := _units(t), units[-1]))
+            if whole:
+                yield from _overlapping_pairs(t.slice(0, whole))
+            held = [t.slice(whole)]
+    if held and sum(t.num_rows for t in held):
+        yield from _overlapping_pairs(pa.concat_tables(held))
+
+
+def _units(t: pa.Table) -> np.ndarray:
+    """A rising number for the unit of each row."""
+    new = np.zeros(t.num_rows, np.int64)
+    for c in UNIT:
+        x = t[c].combine_chunks()
+        new[1:] |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+    return np.cumsum(new)
+
+
+def _overlapping_pairs(t: pa.Table, most: int = 250_000) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole units, about ``most`` candidates at a time. Elements are sorted by place, side and tuple, so those
+    that an element is to be paired with at a place are a run; what shares several places is met at each, and counts once."""
+    number = lambda c: np.asarray(c).astype(np.int64)
+    code = lambda c: number(pc.fill_null(c.dictionary_encode().indices, -1))
+    doc, sent, ids, lists = (t[c].combine_chunks() for c in (*SENTENCE, "tuple_id", "es"))
+    unit, side, cross = _units(t), number(t["side"]), number(t["lo"]) != number(t["hi"])
+    rank = number(pc.rank(ids, tiebreaker="dense")) - 1
+    of, n = number(pc.list_parent_indices(lists)), int(rank.max()) + 1
+    role, ord, w, p, ix = pc.list_flatten(lists).flatten()
+    role, ord, w, p = np.asarray(role), np.asarray(ord), code(w), code(p)
+    own = ((unit * n + rank)[of] * (len(ROLES) + 1) + role) * (int(ord.max()) + 1) + ord
+    first, own = np.unique(own, return_index=True, return_inverse=True)[1:]  # rows of one tuple_id give an element once
+    by, x = number(pc.list_parent_indices(ix)), number(pc.list_flatten(ix))
+    place = np.unique(unit[of][by] * (int(x.max() - x.min()) + 1) + x - x.min(), return_inverse=True)[1]
+    r, s = rank[of][by], side[of][by]
+    run = (place * 2 + s) * n
+    order = np.argsort(run + r)
+    there, runs = by[order], (run + r)[order]
+    other = (place * 2 + np.where(cross[of][by], 1 - s, s)) * n
+    left = np.argsort(own[by], kind="stable")
+    begin = np.searchsorted(runs, other + r, "right")[left]
+    count = np.searchsorted(runs, other + n, "left")[left] - begin
+    left = by[left]
+    last = np.flatnonzero(np.diff(own[left], append=-1))  # a chunk holds all places of its left elements
+    ends = last[np.flatnonzero(np.diff(np.cumsum(count)[last] // most, append=-1))] + 1
+    lo, lw, lp = own[left], w[left], p[left]
+    ro, rw, rp = own[there], w[there], p[there]
+    row, role, ord = of[first], role[first], ord[first]
+    at = 0
+    for end in ends.tolist():
+        c = count[at:end]
+        total = int(c.sum())
+        if total:
+            b = np.arange(total) + np.repeat(begin[at:end] - (np.cumsum(c) - c), c)
+            differ = np.repeat(lw[at:end], c) != rw[b]
+            same = np.flatnonzero(~differ)
+            x, y = np.repeat(lp[at:end], c)[same], rp[b[same]]
+            differ[same] = (x >= 0) & (y >= 0) & (x != y)
+            pair = np.sort(((np.repeat(lo[at:end], c) << 32) | ro[b])[differ])
+            pair = pair[np.diff(pair, prepend=-1) != 0]  # np.unique hashes, which takes ten times as long
+            a, b = pair >> 32, pair & 0xFFFFFFFF
+            x, y = pa.array(row[a]), pa.array(row[b])
+            yield pa.RecordBatch.from_arrays([doc.take(x), sent.take(x), ids.take(x), pa.array(role[a]), pa.array(ord[a]), ids.take(y), pa.array(role[b]), pa.array(ord[b])], [*SENTENCE, "left_id", "left_role", "left_ord", "right_id", "right_role", "right_ord"])
+        at = end
 
 
 def evaluate(gold: DataFrame, found: DataFrame) -> DataFrame:

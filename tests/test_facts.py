@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import Row
 
 from factloom.operators import algebra, graph, kb
@@ -73,6 +74,29 @@ def test_collision_of_the_readme_case(spark):
     assert graph.join_optimize(t, spark.createDataFrame([], "head string, rel string, tail string")).count() >= 1
 
 
+def test_overlaps_of_a_hot_sentence_are_made_by_blocks_and_not_shuffled(spark):
+    rng, rows = random.Random(5), []
+    word = lambda: el(rng.choice(["a", "A", "b", "c d"]), rng.choices([-1, 0, 1, 2, 3, 70, 150, None], k=rng.randrange(5)), rng.choice([None, "in", "IN", "at"])) if rng.random() < 0.9 else rng.choice([None, el(None, [1])])
+    for doc, sent, n in ((1, 0, 40), (1, 1, 3), (2, 0, 25), (None, 0, 4), (3, None, 4), (4, 7, 1)):
+        rows += [tup(len(rows) + i, word(), word(), word(), word(), rng.choice([None, [word() for _ in range(3)]]), doc=doc, sent=sent) for i in range(n)]
+    rows += [tup(r[2], word(), *r[7:11], doc=r[0], sent=r[1]) for r in rows[:9]] + [tup(None, el("x", [0]), el("y", [1]), doc=1, sent=0)]  # ids that recur, and none
+    for inserted in (False, True):
+        e = [(r.doc_id, r.sent_id, r.tuple_id, r.role, r.ord, r.word.lower(), r.prep and r.prep.lower(), {i for i in r.word_index if i is not None and (inserted or i >= 0)}) for r in algebra.elements(make(spark, *rows)).collect() if None not in (r.doc_id, r.sent_id, r.tuple_id)]
+        expected = {(*a[:5], *b[2:5]) for a in e for b in e if a[:2] == b[:2] and a[2] < b[2] and a[7] & b[7] and (a[5] != b[5] or None not in (a[6], b[6]) and a[6] != b[6])}
+        assert len(expected) > 2000
+        for size in (200, 7):
+            got = algebra.overlaps(make(spark, *rows), not inserted, size)
+            assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+    above, below = algebra.overlaps(make(spark, *rows))._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    assert "Exchange" not in above and "Exchange" in below
+    assert algebra.overlaps(make(spark, *rows[:1]).limit(0)).count() == 0
+    t = pa.table({"doc_id": [1] * 60, "sent_id": [0] * 60, "lo": [0] * 60, "hi": [1] * 60, "side": pa.array([i % 2 for i in range(60)], pa.int8()), "tuple_id": list(range(60)), "es": pa.array([[{"role": 0, "ord": 0, "w": str(i), "p": None, "ix": [0, 1]}] for i in range(60)], pa.list_(pa.struct([("role", pa.int8()), ("ord", pa.int32()), ("w", pa.string()), ("p", pa.string()), ("ix", pa.list_(pa.int32()))])))})
+    parts = [b.num_rows for b in algebra._overlapping_pairs(t, most=100)]
+    assert sum(parts) == 900 and len(parts) > 10  # held a part at a time
+    whole = sum(b.num_rows for b in algebra._overlap_chunks(iter(t.to_batches(max_chunksize=7)), rows=10))
+    assert whole == 900
+
+
 def test_independent_set_is_the_greedy_one(spark):
     rng = random.Random(7)
     edges = [(d, f"n{a}", f"n{b}") for d in (1, 2) for a in range(25) for b in range(a + 1, 25) if rng.random() < 0.15]
