@@ -67,7 +67,10 @@ def lexical_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return algebra.overlaps(tuples(spark, sf_dir))
+    """Of elements only what is compared is read and shuffled."""
+    slim = lambda e: F.struct(*[e[f].alias(f) for f in ("word", "word_index", "prep")])
+    roles = [slim(F.col(r)).alias(r) for r in algebra.ROLES]
+    return algebra.overlaps(algebra.once(table(spark, sf_dir, "tuples").select("doc_id", "sent_id", "tuple_id", *roles, F.transform("adverbial", slim).alias("adverbial"))))
 
 
 def triple_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
